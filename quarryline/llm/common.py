@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows of an Arrow batch; with whole texts the default of 10,000 would hold too much in a worker.
 BATCH_ROWS = 2000
 
@@ -23,7 +25,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Keeps Arrow batches small unless the session has chosen a size itself."""
+    """Brings the package to the workers, and keeps Arrow batches small unless the session has chosen a size itself."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark

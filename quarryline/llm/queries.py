@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
+from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .media import op8_media_columns
 from .packing import op9_packing
 from .records import op1_token_records
+from .secrets import op5_secret_scans
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_secret_scans": op5_secret_scans,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_media_columns": op8_media_columns,
     "op9_packing": op9_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
