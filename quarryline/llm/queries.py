@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .language import op2_language_id
 from .media import op8_media_columns
+from .near_dedup import op3_near_dedup
 from .packing import op9_packing
 from .records import op1_token_records
 from .secrets import op5_secret_scans
+from .substring_dedup import op10_substring_dedup
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_language_id": op2_language_id,
+    "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_media_columns": op8_media_columns,
     "op9_packing": op9_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
