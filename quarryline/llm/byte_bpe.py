@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import ChunkEncoder, blocks, split_bytes
+from .chunks import ChunkEncoder, blocks, byte_characters, split_bytes
 from .common import documents, texts, tuned
 
 
@@ -31,18 +31,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def byte_characters() -> list[str]:
-    """The printable character that stands for each byte: itself where it prints, else the next one from U+0100 on."""
-    out, free = [], 0x100
-    for b in range(256):
-        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF:
-            out.append(chr(b))
-        else:
-            out.append(chr(free))
-            free += 1
-    return out
-
-
 class ByteBpe:
     """One for each Python worker."""
 

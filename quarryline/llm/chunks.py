@@ -27,10 +27,10 @@ _BYTE_CHUNK = re.compile(f"[{UNICODE_SPACE}]?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Chunks of a tokenizer that lower-cases and drops white space, and where each text's chunks end.
 
-    Only ASCII white space is cut at; a lone full stop or comma at a word's end becomes a chunk
-    of its own, as the tokenizer's own pattern has it.
+    Only ASCII white space is cut at; the signs at a word's end become a chunk of their own, as the
+    tokenizer's own pattern has it (but for an apostrophe, which can begin an ending).
     """
-    lower = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])([ \n]|$)", r"\1 \2\3")
+    lower = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([^\pL\pN\s']+)([ \n]|$)", r"\1 \2\3")
     lists = pc.ascii_split_whitespace(lower)
     return lists.flatten(), np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
 
@@ -45,7 +45,7 @@ def split_bytes(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.array(found, pa.string()), ends
 
 
-def blocks(texts: pa.Array, size: int = 4 << 20):
+def blocks(texts: pa.Array, size: int = 1 << 20):
     """Slices of the array of about ``size`` bytes, one text at least."""
     sizes = np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64)
     at, held = 0, 0
@@ -61,11 +61,13 @@ def blocks(texts: pa.Array, size: int = 4 << 20):
 class ChunkEncoder:
     """``encode(texts)`` -> (ids of all texts as one array, number of ids of each text).
 
-    ``limit`` bounds the chunks and ``max_ids`` the ids in the table.
+    ``limit`` bounds the chunks and ``max_ids`` the ids in the table.  ``plain`` gives the model's own
+    spelling of a chunk that normalizer and pre-tokenizer leave as one piece, and None for others: such
+    a chunk goes straight to the library's model.
     """
 
-    def __init__(self, tokenizer, split, limit: int = 1_000_000, max_ids: int = 8_000_000):
-        self.tokenizer, self.split, self.limit, self.max_ids = tokenizer, split, limit, max_ids
+    def __init__(self, tokenizer, split, limit: int = 300_000, max_ids: int = 2_000_000, plain=None):
+        self.tokenizer, self.split, self.limit, self.max_ids, self.plain = tokenizer, split, limit, max_ids, plain
         self._reset()
 
     def _reset(self) -> None:
@@ -75,10 +77,17 @@ class ChunkEncoder:
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int32)
 
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        if self.plain is None:
+            return [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        spelled, model = [self.plain(c) for c in chunks], self.tokenizer.model.tokenize
+        others = iter(self.tokenizer.encode_batch([c for c, s in zip(chunks, spelled, strict=True) if s is None], add_special_tokens=False))
+        return [next(others).ids if s is None else [t.id for t in model(s)] for s in spelled]
+
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            got = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            got = self._encoded(part)
             lengths = np.fromiter(map(len, got), np.int64, len(got))
             total, rows = int(lengths.sum()), len(self.seen)
             while self.used + total > len(self.ids):
@@ -116,6 +125,31 @@ class ChunkEncoder:
         return np.concatenate([i for i, _ in got]), np.concatenate([n for _, n in got])
 
 
+#: Lower-case letters of one or two bytes, which no normalizer changes.
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+
+
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte: itself where it prints, else the next one from U+0100 on."""
+    out, free = [], 0x100
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF:
+            out.append(chr(b))
+        else:
+            out.append(chr(free))
+            free += 1
+    return out
+
+
+_SHOWN = dict(enumerate(byte_characters()))
+
+
+def _spelled(chunk: str) -> str | None:
+    if chunk.isascii():
+        return chunk if chunk.isalpha() and chunk.islower() else None
+    return chunk.encode().decode("latin-1").translate(_SHOWN) if _PLAIN(chunk) else None
+
+
 @functools.lru_cache(2)
 def word_encoder(path: str) -> ChunkEncoder:
     """Of a tokenizer file whose pre-tokenizer drops white space; one for each Python worker."""
@@ -123,4 +157,4 @@ def word_encoder(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return ChunkEncoder(tokenizer, split_words)
+    return ChunkEncoder(tokenizer, split_words, plain=_spelled)
