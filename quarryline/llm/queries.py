@@ -11,6 +11,7 @@ from .packing import op9_packing
 from .records import op1_token_records
 from .secrets import op5_secret_scans
 from .substring_dedup import op10_substring_dedup
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_token_records": op1_token_records,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scans": op5_secret_scans,
+    "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_media_columns": op8_media_columns,
     "op9_packing": op9_packing,
