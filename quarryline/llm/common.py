@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Rows of an Arrow batch; with whole texts the default of 10,000 would hold too much in a worker.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
