@@ -1,12 +1,31 @@
-"""Queries by operator number, and their SQL."""
+"""Queries by operator number, and their SQL.  Each module registers its own."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def register(name: str, sql: str | None = None):
+    """Enters a query, with SQL for DuckDB where SQL can express it."""
+
+    def enter(query):
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
+        QUERIES[name] = query
+        if sql:
+            ORACLE_SQL[name] = sql
+        return query
+
+    return enter
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import outline  # noqa: E402, F401
