@@ -1,0 +1,55 @@
+"""Statistics as columns: agreement, bounds, percentiles, deterministic stratified samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Cohen's kappa of two yes/no raters with the 2 x 2 table; NaN where chance alone agrees always or there is no row."""
+    x, y = F.col(a) == 1, F.col(b) == 1
+    t = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"))
+    n = F.col("n")
+    agreed = F.try_divide(F.col("both") + F.col("neither"), n)
+    by_chance = F.try_divide((F.col("both") + F.col("only_a")) * (F.col("both") + F.col("only_b")) + (F.col("neither") + F.col("only_b")) * (F.col("neither") + F.col("only_a")), n * n)
+    out = t.withColumn("p_o", agreed).withColumn("p_e", by_chance)
+    return out.withColumn("kappa", F.when((n == 0) | (F.col("p_e") == 1), F.lit(float("nan"))).otherwise((F.col("p_o") - F.col("p_e")) / (1 - F.col("p_e")))).withColumn("n", n.cast("long"))
+
+
+def upper_bound(successes: Column, n: Column) -> Column:
+    """The one-sided 95 % bound, in percent, of a rate that was 0 of n; other cases are errors."""
+    return F.when((successes != 0) | (n == 0), F.raise_error(F.lit("the bound holds for 0 of n, n at least 1"))).otherwise(100 * (1 - F.pow(F.lit(0.05), 1.0 / n)))
+
+
+def nearest_rank(column: str, fraction: float) -> Column:
+    return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {column})")
+
+
+def stratified(rows: DataFrame, n: int, arm: str, stratum: str, key: str, seed: int) -> DataFrame:
+    """About n rows: as many of each arm, of its strata by their size; chosen by a hash of key and seed, so the same on any cluster."""
+    sizes = rows.groupBy(arm, stratum).agg(F.count(F.lit(1)).alias("_size"))
+    arms = sizes.groupBy(arm).agg(F.sum("_size").alias("_all"))
+    count = arms.count()
+    share = sizes.join(arms, arm).withColumn("_take", F.bround(F.lit(n / max(count, 1)) * F.col("_size") / F.col("_all")))
+    order = Window.partitionBy(arm, stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    return rows.withColumn("_rank", F.row_number().over(order)).join(share, [arm, stratum]).filter("_rank <= _take").select(*rows.columns)
+
+
+def label_f1(rows: DataFrame) -> DataFrame:
+    """Misses: labels of gold that auto lacks, by label, the most frequent first."""
+    return rows.select(F.explode(F.array_except("gold", "auto")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("missed"))
+
+
+def token_economy(docs: DataFrame) -> DataFrame:
+    """Tokens of a whole document against a manifest with a section; a document without sections has no price."""
+    ordered = F.array_sort("section_tokens")
+    k = F.size("section_tokens")
+    middle = F.when(k > 0, F.when(k % 2 == 1, F.get(ordered, F.floor(k / 2).cast("int")).cast("double")).otherwise((F.get(ordered, (k / 2 - 1).cast("int")) + F.get(ordered, (k / 2).cast("int"))) / 2))
+    with_median = docs.withColumn("median_section", F.floor(middle)).withColumn("p90_section", F.when(k > 0, F.get(ordered, F.ceil(0.9 * k).cast("int") - 1)))
+    answer = F.col("manifest_tokens") + F.col("median_section")
+    return with_median.withColumn("answer_tokens", answer).withColumn("ratio", F.try_divide(F.col("full_tokens").cast("double"), answer.cast("double")))
+
+
+def corpus_summary(economy: DataFrame) -> DataFrame:
+    return economy.agg(F.count(F.lit(1)).alias("documents"), F.count("ratio").alias("priced"), F.median("full_tokens").alias("median_full"), F.median("answer_tokens").alias("median_answer"), F.median("ratio").alias("median_ratio"), F.min("ratio").alias("least_ratio"), F.max("ratio").alias("most_ratio"))

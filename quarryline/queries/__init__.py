@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def register(name: str, sql: str | None = None):
@@ -28,4 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import layouts, outline, texts  # noqa: E402, F401
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """SQL that both engines read alike, over the driver's tables."""
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", sql):
+            table(spark, sf_dir, name).createOrReplaceTempView(f"ql_{name}")
+            sql = re.sub(rf"(FROM|JOIN|,) {name}\b", rf"\1 ql_{name}", sql)
+    return spark.sql(sql)
+
+
+from . import evaluation, layouts, outline, searches, sensing, texts  # noqa: E402, F401
+
+flagship = searches.flagship
