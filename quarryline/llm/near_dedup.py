@@ -12,9 +12,10 @@ fingerprints of the set.  Equal sets are one node.  Nodes are linked where
 2.  A short list gives its pairs, and pairs that meet in fewer than NEEDED lists fall away.  A long
     list gives, for each member, a pair with the list's least and with its scattered member: no
     pairs within the group.  After the components of these are known, a long list whose members
-    are still in more than one component gives what is left: each member outside the list's
-    largest component with each member of another one.  So no link between different components
-    is lost, and a dense group costs its size, not its square.
+    are still in more than one component gives a query set, its members outside its largest
+    component, which is compared with all its members by full sets, in blocks of bounded size;
+    lists with the same largest component are compared once.  No pair is written there but links,
+    one for each component that a member is linked with, so no link between components is lost.
 3.  The estimate over the union's sketch drops pairs far below the threshold; the full sets of
     those that remain are compared.
 
@@ -44,6 +45,9 @@ from .words import grams, mix, word_hashes, words_of
 #: Values of a sketch; lists that two sketches must meet in; members of a short list at most; rows of the table of frequent values.
 K, NEEDED, SHORT, HOT_VALUES = 64, 3, 32, 100_000
 
+#: Bytes of sets in a block, about, and columns of a matrix.
+BLOCK_BYTES, COLUMNS = 1 << 20, 8192
+
 #: Standard errors that the estimate may lie below the threshold.
 SLACK = 5.5
 
@@ -98,7 +102,7 @@ def least_shared(size: np.ndarray, k: int, percent: int) -> np.ndarray:
     """Retained values that a sketch shares with each one that is similar enough."""
     j = percent / 100
     cut = int(k * (j - SLACK * (j * (1 - j) / k) ** 0.5))
-    return np.where(size <= k, np.minimum(-(-size * percent // 100), max(cut, 1)), max(cut, 1))
+    return np.where(size * 100 <= k * percent, -(-size * percent // 100), max(cut, 1))
 
 
 def _indexed(hot: np.ndarray, often: np.ndarray, pivots: np.ndarray, k: int, percent: int):
@@ -215,21 +219,78 @@ def _confirmed(percent: int):
     return run
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b: products of their incidence matrices, some columns at a time."""
+    shared = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        columns = shared[at : at + COLUMNS]
+        each = []
+        for side in (a, b):
+            matrix = np.zeros((len(side), len(columns)), np.float32)
+            for r, values in enumerate(side):
+                place = np.searchsorted(columns, values)
+                place[place == len(columns)] = 0
+                matrix[r, place[columns[place] == values]] = 1
+            each.append(matrix)
+        out += each[0] @ each[1].T
+    return out
+
+
+def _blocks_compared(percent: int):
+    """Links between a block of the query set and a block of members: for each query one with each other component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for few, many in zip(batch.column("few"), batch.column("many"), strict=True):
+                sides = []
+                for side in (few.values, many.values):
+                    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in side.field("whole")]
+                    sides.append((np.asarray(side.field("node")), np.asarray(side.field("label")), sets, np.array([len(x) for x in sets])))
+                (na, la, a, sa), (nb, lb, b, sb) = sides
+                both = _overlaps(a, b)
+                linked = (100 * both >= percent * (sa[:, None] + sb[None] - both)) & (la[:, None] != lb[None])
+                rows, columns = np.nonzero(linked)
+                if len(rows):
+                    _, first = np.unique(np.stack([rows, lb[columns]]), axis=1, return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(na[rows[first]]), pa.array(nb[columns[first]])], ["u", "v"])
+
+    return run
+
+
 def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     for side in ("u", "v"):
         pairs = pairs.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return pairs
 
 
+def _whole_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """node and its full set, made anew from a text that has it; rows: a text for each doc_id and row_hash."""
+    some = wanted.join(nodes.select("node", "rep", "row_hash"), "node")
+    found = rows.join(some.select(F.col("rep").alias("doc_id"), "row_hash", "node"), ["doc_id", "row_hash"]).select("node", "text")
+    return written(found.mapInArrow(_full_sets(n), "node long, whole binary").dropDuplicates(["node"]), "near-sets")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, k: int, percent: int) -> DataFrame:
-    """Those pairs (u, v) of nodes that are links; rows: a text for each doc_id and row_hash."""
+    """Those pairs (u, v) of nodes that are links."""
     likely = written(_joined(pairs, nodes, "n", "sketch").mapInArrow(_estimated(k, percent), "u long, v long"), "near-likely")
-    wanted = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "rep", "row_hash"), "node")
-    found = rows.join(wanted.select(F.col("rep").alias("doc_id"), "row_hash", "node"), ["doc_id", "row_hash"]).select("node", "text")
-    whole = written(found.mapInArrow(_full_sets(n), "node long, whole binary").dropDuplicates(["node"]), "near-sets")
+    whole = _whole_sets(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, rows, n)
     return written(_joined(likely, whole, "whole").mapInArrow(_confirmed(percent), "u long, v long"), "near-links")
 
 
+def _links_between(open_lists: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components within the open lists (value, node, label, main)."""
+    members = written(open_lists.groupBy("main", "node", "label").agg(F.max(F.col("label") != F.col("main")).alias("asks")), "near-members")
+    whole = _whole_sets(members.select("node").distinct(), nodes, rows, n)
+    held = written(members.join(whole, "node"), "near-held")
+    sizes = held.groupBy("main", "asks").agg((F.floor(F.sum(F.octet_length("whole")) / BLOCK_BYTES) + 1).alias("parts"))
+    dealt = held.join(sizes, ["main", "asks"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
+    block = dealt.groupBy("main", "asks", "block").agg(F.collect_list(F.struct("node", "label", "whole")).alias("sets"))
+    block = written(block, "near-blocks")
+    few = block.filter("asks").select("main", F.col("sets").alias("few"))
+    return written(few.join(block.select("main", F.col("sets").alias("many")), "main").select("few", "many").mapInArrow(_blocks_compared(percent), "u long, v long"), "near-links")
+
+
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, row_hash, n_shingles, component_id and kept for each row of ``docs``."""
     all_rows = written(sketches(docs, n, k), "near-sketches")
@@ -243,7 +304,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K) -> D
     stars = index.filter("value IS NULL").select(*pair)
     short = index.filter("value IS NOT NULL AND NOT long").select("value", "node", "other").repartition("value").sortWithinPartitions("value", "node").mapInArrow(_list_pairs(percent), "u long, v long, star boolean")
     meet = short.groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"), F.max("star").alias("star"))
-    enough = _enough(meet, nodes, NEEDED)
+    enough = meet.filter((F.col("lists") >= NEEDED) | F.col("star")).select("u", "v")
     rows = texts(docs).withColumn("row_hash", F.xxhash64("text"))
     links = _links(stars.unionByName(enough).distinct(), nodes, rows, n, k, percent)
     labels = components(links)
@@ -255,20 +316,12 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K) -> D
     members = listed.join(labels, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label"))
     sizes = members.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     open_lists = written(members.join(sizes.filter("labels > 1"), "value").select("value", "node", "label", "main"), "near-open")
-    return _grouped(all_rows, nodes, labels, links, open_lists, rows, n, k, percent)
-
-
-def _enough(meet: DataFrame, nodes: DataFrame, needed: int) -> DataFrame:
-    """Pairs that meet in enough lists; sets of so few shingles that they need not, and stars, are let through."""
-    return meet.filter((F.col("lists") >= needed) | F.col("star")).select("u", "v")
+    return _grouped(all_rows, nodes, labels, links, open_lists, rows, n, percent)
 
 
-def _grouped(all_rows, nodes, labels, links, open_lists, rows, n, k, percent) -> DataFrame:
+def _grouped(all_rows: DataFrame, nodes: DataFrame, labels: DataFrame, links: DataFrame, open_lists: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     if not open_lists.isEmpty():
-        few = open_lists.filter("label != main").select("value", F.col("node").alias("a"), F.col("label").alias("la"))
-        many = open_lists.select("value", F.col("node").alias("b"), F.col("label").alias("lb"))
-        rest = few.join(many, "value").filter("la != lb").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        more = _links(rest.distinct(), nodes, rows, n, k, percent)
+        more = _links_between(open_lists, nodes, rows, n, percent)
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     names = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
