@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,3 +39,12 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _shipped.add(context.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``); one of the driver's own only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="quarryline-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/quarryline/{name}-{uuid.uuid4().hex}"
