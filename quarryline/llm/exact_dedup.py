@@ -28,9 +28,14 @@ from .common import documents, shared_folder, texts, written
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
+#: Rows of a part of the state, about; there are no more parts than the session has shuffle partitions.
+STATE_ROWS = 40_000
+
 
 @contextmanager
 def _settings(spark: SparkSession, values: dict[str, str]):
@@ -57,7 +62,8 @@ def keyed_state(fingerprints: DataFrame, spark: SparkSession, folder: str, files
     checkpoint = shared_folder(spark, "dedup-state")
     stream = spark.readStream.schema(fingerprints.schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
     groups = stream.groupBy("digest", "n_bytes").agg(F.max(F.struct("doc_id", "locator")).alias("last"), F.count(F.lit(1)).alias("n"))
-    with _settings(spark, STATE_STORE):
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + fingerprints.count() // STATE_ROWS)
+    with _settings(spark, STATE_STORE | {"spark.sql.shuffle.partitions": str(parts)}):
         query = groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         state = spark.read.format("statestore").load(checkpoint)
