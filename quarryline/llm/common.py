@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: Rows of an Arrow batch; with whole texts the default of 10,000 would hold too much in a worker.
 BATCH_ROWS = 500
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="quarryline-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quarryline/{name}-{uuid.uuid4().hex}"
-
-
 def tuned(spark: SparkSession) -> SparkSession:
     """Brings the package to the workers, and keeps Arrow batches small unless the session has chosen a size itself."""
     ship(spark)
@@ -49,6 +37,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_table(spark: SparkSession, table: pa.Table) -> DataFrame:
     """A few rows from the driver; whether they are broadcast is left to the size threshold."""
     return spark.createDataFrame(table)
@@ -57,3 +53,6 @@ def small_table(spark: SparkSession, table: pa.Table) -> DataFrame:
 def crc_mod(column: str, n: int):
     """crc32 of the number as decimal text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+__all__ = ["BATCH_ROWS", "crc_mod", "documents", "fresh", "shared_folder", "small_table", "texts", "tuned", "written"]

@@ -23,7 +23,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_folder, texts, written
+from .common import documents, fresh, shared_folder, texts, written
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -95,11 +95,14 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one for each text."""
-    kept = written(exact_groups(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(F.count(F.lit(1)).alias("_n")), "dedup-kept")
-    rows = docs.withColumn("_digest", sha256(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = rows.join(kept.drop("_n"), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    key = fresh(docs, "_digest")
+    kept = exact_groups(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = written(kept, "dedup-kept")
+    ids = kept.select(*[F.col(c).alias(fresh(docs, c)) for c in ("_kept_id", "_kept_digest")])
+    rows = docs.withColumn(key, sha256(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = rows.join(ids, F.col("doc_id").cast("long").eqNullSafe(ids[0]) & (F.col(key) == ids[1]), "left_semi")
     if not kept.filter("_n > 1").isEmpty():  # rows equal in doc_id and text: any one of them stays
-        found = found.dropDuplicates(["doc_id", "_digest"])
+        found = found.dropDuplicates(["doc_id", key])
     return found.select(*docs.columns)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import blocks
-from .common import documents, texts, tuned, written
+from .common import documents, fresh, texts, tuned, written
 from .components import components
 from .words import grams, mix, word_hashes, words_of
 
@@ -334,12 +334,14 @@ def _grouped(all_rows: DataFrame, nodes: DataFrame, labels: DataFrame, links: Da
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group."""
-    kept = near_groups(docs, n, percent).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("row_hash").alias("_kept_hash")).groupBy("_kept_id", "_kept_hash").agg(F.count(F.lit(1)).alias("_n"))
+    key = fresh(docs, "_hash")
+    kept = near_groups(docs, n, percent).filter("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("row_hash").alias("_kept_hash")).agg(F.count(F.lit(1)).alias("_n"))
     kept = written(kept, "near-kept")
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = rows.join(kept.drop("_n"), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
-    if not kept.filter("_n > 1 AND _kept_id IS NOT NULL").isEmpty():
-        found = found.filter("doc_id IS NULL").unionByName(found.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_hash"]))
+    ids = kept.select(*[F.col(c).alias(fresh(docs, c)) for c in ("_kept_id", "_kept_hash")])
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = rows.join(ids, F.col("doc_id").cast("long").eqNullSafe(ids[0]) & (F.col(key) == ids[1]), "left_semi")
+    if not kept.filter("_n > 1 AND _kept_id IS NOT NULL").isEmpty():  # rows equal in doc_id and text: any one of them stays
+        found = found.filter("doc_id IS NULL").unionByName(found.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", key]))
     return found.select(*docs.columns)
 
 
