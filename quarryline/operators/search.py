@@ -186,5 +186,5 @@ def section_text(pages: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def continued(next_page: Column, first_heading: Column) -> Column:
     """What of the next page still belongs to a section: all up to the first heading there; nothing if that stands at the top."""
-    head = F.rtrim(F.substring(next_page, F.lit(1), first_heading))
+    head = F.regexp_replace(F.substring(next_page, F.lit(1), first_heading), r"\s+\z", "")
     return F.when(first_heading > 0, F.when(head != "", head))
