@@ -102,11 +102,17 @@ def latest(sources: DataFrame, key: list[str], priority: str) -> DataFrame:
     return sources.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(priority)))).filter("_n = 1").drop("_n")
 
 
+#: Arms (engine and model) of a study at most.
+MOST_ARMS = 1000
+
+
 def dense(cells: DataFrame, claims: DataFrame, arms: DataFrame) -> DataFrame:
-    """A cell for each claim and arm (engine, model; few by nature): those that are missing are pending."""
-    listed = F.array(*[F.struct(F.lit(r["engine"]).alias("engine"), F.lit(r["model"]).alias("model")) for r in arms.limit(1000).collect()])
-    grid = claims.select("claim_id", F.inline(listed))
-    return grid.join(cells, KEY, "left").withColumn("status", F.coalesce("status", F.lit("pending_rerun")))
+    """A cell for each claim and arm (engine, model): those that are missing are pending."""
+    listed = arms.limit(MOST_ARMS + 1).collect()
+    if len(listed) > MOST_ARMS:
+        raise ValueError(f"more than {MOST_ARMS} arms")
+    every = F.array(*[F.struct(F.lit(r["engine"]).alias("engine"), F.lit(r["model"]).alias("model")) for r in listed])
+    return claims.select("claim_id", F.inline(every)).join(cells, KEY, "left").withColumn("status", F.coalesce("status", F.lit("pending_rerun")))
 
 
 def patched(cells: DataFrame, retries: DataFrame) -> DataFrame:

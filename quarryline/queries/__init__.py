@@ -39,6 +39,6 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-from . import evaluation, layouts, outline, runtime, searches, sensing, texts  # noqa: E402, F401
+from . import evaluation, layouts, more, outline, runtime, searches, sensing, texts  # noqa: E402, F401
 
 flagship = searches.flagship

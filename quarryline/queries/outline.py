@@ -101,7 +101,7 @@ _TABLES = "SELECT n_regionkey AS doc_id, CAST(c_custkey % 40 AS BIGINT) + 1 AS p
 
 def _page_tables(spark, sf_dir):
     customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
-    return customer.join(F.broadcast(nation.limit(1000)), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("doc_id"), (F.col("c_custkey") % 40 + 1).alias("page")).agg(F.count(F.lit(1)).alias("table_count"))
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("doc_id"), (F.col("c_custkey") % 40 + 1).alias("page")).agg(F.count(F.lit(1)).alias("table_count"))
 
 
 @register("a07_tables_by_page", _TABLES.format(customer="customer", nation="nation"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans import index, manifest
@@ -289,9 +288,3 @@ def x01(spark, sf_dir):
 def x05(spark, sf_dir):
     protocols = {"mean": lambda rows: rows.groupBy("user_id").agg(F.avg("value").alias("measured"))}
     return protocols["mean"](table(spark, sf_dir, "events"))
-
-
-@register("w04_running_places", "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer")
-def w04(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")).alias("place"))
-
