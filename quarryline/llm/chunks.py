@@ -70,7 +70,7 @@ class ChunkEncoder:
     a chunk goes straight to the library's model.
     """
 
-    def __init__(self, tokenizer, split, limit: int = 300_000, max_ids: int = 2_000_000, plain=None):
+    def __init__(self, tokenizer, split, limit: int = 500_000, max_ids: int = 3_000_000, plain=None):
         self.tokenizer, self.split, self.limit, self.max_ids, self.plain = tokenizer, split, limit, max_ids, plain
         self._reset()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .secrets import BASE_RULES, RULES, Rule
+
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP3_SQL = rf"""
@@ -39,3 +41,26 @@ WITH w AS (
 )
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
 """
+
+
+def _spans(number: int, rule: Rule) -> str:
+    regex = "'" + rule.pattern.replace("'", "''") + "'"
+    before = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    found = f"SELECT row_no, unnest(range(1, len(m) + 1)) AS i, m, g FROM (SELECT row_no, regexp_extract_all(body, {regex}) AS m, string_split_regex(body, {regex}) AS g FROM t WHERE regexp_matches(body, {regex}))"
+    return f"SELECT row_no, {number} AS kind_no, '{rule.kind}' AS kind, CAST({before} AS BIGINT) AS start, m[i] AS part FROM ({found}) WHERE length(regexp_extract(m[i], {regex}, {rule.valued})) >= {rule.least}"
+
+
+_SPAN_LIST = "string_agg(kind || ':' || start || ':' || (start + length(part)), ',' ORDER BY start, kind_no)"
+
+OP5_SQL = f"""
+WITH t AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS body FROM documents
+), s AS (
+  {" UNION ALL ".join(_spans(k, rule) for k, rule in enumerate(RULES))}
+), a AS (
+  SELECT row_no, {", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)},
+         {_SPAN_LIST} FILTER (WHERE kind_no < {len(BASE_RULES)}) AS base, {_SPAN_LIST} AS spans FROM s GROUP BY 1
+)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (row_no)
+"""

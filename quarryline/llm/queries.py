@@ -7,7 +7,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language import op2_language_id
 from .media import op8_media_columns
 from .near_dedup import op3_near_dedup
-from .oracles import OP3_SQL, OP10_SQL
+from .oracles import OP3_SQL, OP5_SQL, OP10_SQL
 from .packing import op9_packing
 from .records import op1_token_records
 from .secrets import op5_secret_scans
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL = {"op3_near_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL = {"op3_near_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_secret_scans": OP5_SQL, "op10_substring_dedup": OP10_SQL}
