@@ -9,6 +9,12 @@ again as the next stage's docs.  All but the last give the columns of documents.
     smallest doc_id stays.
 4.  secret scans: spans of secrets are replaced in the text; no document goes.
 5.  packing: sequences of at most 4096 ids, a row for each piece of a document.
+
+A null text is never toxic, counts as empty in the deduplications (of null and empty texts one row
+stays), has no secrets and packs to the end id alone.  A row without doc_id stays in the exact
+deduplication only where no row of its text has one, and is linked with nothing in the near one.
+Rows equal in doc_id and text are one.  Empty tables stay empty.  Other columns pass through as they
+are, whatever their names.
 """
 
 from __future__ import annotations

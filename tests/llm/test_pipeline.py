@@ -72,3 +72,14 @@ def test_run_and_empty_tables(spark, sf, stages):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_stages_take_odd_rows(spark, sf, edges):
+    """Nulls, empty and very long texts, repeated rows and clashing columns; of null and empty texts one row stays."""
+    docs = edges
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == edges.columns
+    assert sorted(r["doc_id"] for r in docs.collect()) == [2, 3, 4, 5, 6, 8, 9]
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, sf)
+    assert {r["doc_id"] for r in packed.collect()} == {2, 3, 4, 5, 6, 8, 9}
