@@ -49,3 +49,41 @@ def x07(spark, sf_dir):
 def k10(spark, sf_dir):
     text = render.markdown(table(spark, sf_dir, "region").orderBy("r_regionkey"))
     return spark.range(1).select(F.size(F.split(F.lit(text), "\n")).cast("long").alias("lines"))
+
+
+@register("f35_outline_replies", "SELECT p_partkey, [p_name] AS titles, [p_size] AS pages FROM part")
+def f35(spark, sf_dir):
+    from ..functions.replies import outline_entries
+
+    c, lit = F.col, F.lit
+    reply = F.concat(lit('Sure:\n```json\n[{"level": "0", "title": " '), c("p_name"), lit(' ", "page": "'), c("p_size"), lit('"}, {"level": 2, "title": "", "page": 3}, {"title": "x", "page": "?"}]\n```'))
+    return table(spark, sf_dir, "part").select("p_partkey", outline_entries(reply).alias("e")).select("p_partkey", F.col("e.title").alias("titles"), F.col("e.page").alias("pages"))
+
+
+@register("m19_cut_notes", "SELECT doc_id, CASE WHEN length(text) > 500 THEN '=== NOTE: 500 of ' || length(text) || ' characters are shown (limit 500) ===' END AS note FROM documents")
+def m19(spark, sf_dir):
+    from ..functions.replies import cut_note
+
+    n = F.length("text")
+    return table(spark, sf_dir, "documents").select("doc_id", cut_note(F.least(n, F.lit(500)), n, 500).alias("note"))
+
+
+@register("p11_range_checks", "SELECT o_orderkey, o_orderkey % 9 BETWEEN 1 AND 7 AS valid FROM orders")
+def p11(spark, sf_dir):
+    first, last, total = F.col("o_orderkey") % 9, F.col("o_orderkey") % 9 + 1, F.lit(8)
+    return table(spark, sf_dir, "orders").select("o_orderkey", ((first >= 1) & (first <= last) & (last <= total)).alias("valid"))
+
+
+@register("s09_s11_claim_file", "SELECT 'c' || n_nationkey AS id, n_name AS component FROM nation")
+def s09(spark, sf_dir):
+    import json
+    import tempfile
+    from pathlib import Path
+
+    from ..sources.claims_file import read
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").limit(1000).collect()
+    with tempfile.TemporaryDirectory() as folder:  # of the driver alone, which reads it at once
+        path = Path(folder) / "claims.json"
+        path.write_text(json.dumps([{"id": f"c{r['n_nationkey']}", "component": r["n_name"]} for r in rows]))
+        return read(spark, path).select("id", "component")

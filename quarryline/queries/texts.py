@@ -204,7 +204,7 @@ def u06(spark, sf_dir):
     return flags.select("l_orderkey", (F.size(F.array_except(F.array(F.lit("A"), F.lit("N")), "s")) == 0).alias("holds_both"))
 
 
-@register("p14_withheld_fields", "SELECT c_custkey, c_name FROM customer")
+@register("p13_p14_withheld_fields", "SELECT c_custkey, c_name FROM customer")
 def p14(spark, sf_dir):
     from ..operators.claims import visible
 
