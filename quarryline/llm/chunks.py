@@ -123,7 +123,7 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """A null text counts as empty."""
-        got = [self._block(part) for part in blocks(texts.fill_null(""))]
+        got = [self._block(part) for part in blocks(texts.fill_null(""), 2 << 20)]
         if not got:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate([i for i, _ in got]), np.concatenate([n for _, n in got])

@@ -41,7 +41,7 @@ def _encoded(tokenizer: str, end_id: int):
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
-            for texts in blocks(batch.column(1)):
+            for texts in blocks(batch.column(1), 2 << 20):
                 ids, counts = encoder.encode(texts)
                 ids, upto = ids.astype(kind), np.cumsum(counts)
                 data = [ids[a:b].tobytes() + end for a, b in zip(upto - counts, upto, strict=True)]

@@ -87,7 +87,7 @@ def _framed(tokenizer: str, end_id: int):
         held, size = [], 0
         for batch in batches:
             at = 0
-            for part in blocks(batch.column(1)):
+            for part in blocks(batch.column(1), 2 << 20):
                 ids, counts = encoder.encode(part)
                 upto = np.cumsum(counts)
                 for doc_id, a, b in zip(batch.column(0).slice(at, len(part)).to_pylist(), upto - counts, upto, strict=True):
