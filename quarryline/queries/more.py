@@ -82,7 +82,9 @@ def s09(spark, sf_dir):
 
     from ..sources.claims_file import read
 
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").limit(1000).collect()
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("a claim file is read by the driver and has at most 1000 claims")
     with tempfile.TemporaryDirectory() as folder:  # of the driver alone, which reads it at once
         path = Path(folder) / "claims.json"
         path.write_text(json.dumps([{"id": f"c{r['n_nationkey']}", "component": r["n_name"]} for r in rows]))
