@@ -96,6 +96,26 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["pattern_id", "doc_id", "page", "start", "end"])
 
 
+def _bare(words: Column) -> Column:
+    return F.transform(F.split(words, r"(?U)\s+"), lambda w: F.btrim(w, F.lit(".,;:!?")))
+
+
+def _likely(text: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pages with the patterns that they may hold.
+
+    All words of a match but the first and the last stand whole in the page, so a pattern of three words or more
+    meets its pages by its longest inner word, in a join by key; shorter ones are looked for in each page.
+    """
+    words = _bare(F.lower("pattern"))
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = lambda a: F.get(F.array_sort(a, lambda x, y: F.length(y) - F.length(x)), F.lit(0))
+    keyed = asked.withColumn("word", F.nullif(longest(inner), F.lit("")))
+    tokens = text.select("doc_id", "page", F.explode(F.array_distinct(_bare(F.col("low")))).alias("word"))
+    pairs = tokens.join(F.broadcast(keyed.filter("word IS NOT NULL")), "word").select("pattern_id", "pattern", "doc_id", "page")
+    short = F.broadcast(keyed.filter("word IS NULL").select("pattern_id", "pattern", longest(words).alias("longest")))
+    return text.join(pairs, ["doc_id", "page"]).select("pattern_id", "pattern", "doc_id", "page", "text", "low").unionByName(text.join(short, F.contains("low", F.col("longest"))).select("pattern_id", "pattern", "doc_id", "page", "text", "low"))
+
+
 def search(pages: DataFrame, patterns: DataFrame, most: int = 50) -> DataFrame:
     """Matches of patterns (pattern_id, pattern) in pages (doc_id, page, page_text), up to ``most`` of each pattern.
 
@@ -105,16 +125,15 @@ def search(pages: DataFrame, patterns: DataFrame, most: int = 50) -> DataFrame:
     if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} patterns; search in parts")
     asked = patterns.select(F.col("pattern_id").cast("long").alias("pattern_id"), F.when(F.trim("pattern") == "", F.raise_error(F.lit("a pattern must not be empty"))).otherwise(fold_dashes(F.col("pattern"))).alias("pattern"))
-    text = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), fold_dashes(F.col("page_text")).alias("text"))
-    # a page is looked at for a pattern only if it holds its longest word
-    longest = F.array_sort(F.split(F.lower("pattern"), r"(?U)\s+"), lambda a, b: F.length(b) - F.length(a))[0]
-    both = text.join(F.broadcast(asked.withColumn("longest", F.btrim(longest, F.lit(".,;:!?")))), F.contains(F.lower("text"), F.col("longest")))
+    folded = fold_dashes(F.col("page_text"))
+    text = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), folded.alias("text"), F.lower(folded).alias("low"))
+    both = _likely(text, asked)
     key = ["pattern_id", "doc_id"]
 
     def level(rows: DataFrame, regex: Column, number: int) -> DataFrame:
         return rows.select(*key, "page", F.inline(spans(F.col("text"), regex))).withColumn("level", F.lit(number))
 
-    first = level(both.filter(F.contains(F.lower("text"), F.lower("pattern"))), literal_regex(F.col("pattern")), 1)
+    first = level(both.filter(F.contains("low", F.lower("pattern"))), literal_regex(F.col("pattern")), 1)
     rest = both.filter(F.rlike("pattern", F.lit(r"(?U)\S\s+\S"))).join(first.select(*key).distinct(), key, "left_anti")
     second = level(rest, spaced_regex(F.col("pattern")), 2)
     last = rest.filter(F.rlike("pattern", F.lit(r"(?U)\S\s+\S+\s+\S"))).join(second.select(*key).distinct(), key, "left_anti")
