@@ -8,10 +8,14 @@ smaller doc_id.  The tree is cut at this depth and split into subtrees that fit
     prefixes of 50 words have the same one).  Neighbouring suffixes nearly always share it, so
     they travel as one row: the group's key, the place, and for each suffix the fingerprint of
     the path from the root to depth 50.
+*   Grams are counted first.  A group of more than ``GROUP`` suffixes (a licence line that many
+    documents hold in different surroundings) is split by the whole path: each of its nodes at
+    depth 50 is a group then.
 *   A task takes groups one after another, joins small ones up to a bounded number of suffixes,
     sorts each batch, and reads the nodes with more than one leaf: the deep internal nodes.  A
     leaf whose doc_id is not the node's least is a repeat; runs of such leaves are the maximal
-    repeats that come back as ranges of words.
+    repeats that come back as ranges of words.  Rows of a group come by doc_id, so a batch may end
+    inside a group: only the nodes seen of it and their least doc_ids are carried to the next.
 
 Before the shuffle each block of texts is treated the same way: a suffix that repeats a smaller
 doc_id of its own block is settled there and not sent, so a passage that a third of all documents
@@ -40,6 +44,9 @@ from .words import grams, mix, sliding_least, word_hashes, words_of
 #: Words of a window, words of the gram that names a group, and suffixes that a task sorts at once.
 WINDOW, PREFIX, SUFFIXES = 50, 8, 2_000_000
 
+#: Suffixes of a gram from which its group is split.  The split grams, of which the driver keeps eight bytes each, are fewer than all suffixes divided by this.
+GROUP = 125_000
+
 #: Stands for a missing doc_id.
 LAST = (1 << 63) - 1
 
@@ -76,25 +83,66 @@ def _repeats(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _suffixes(window: int):
+def _places(part: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, words of each text, the text of each word, places where a window starts and its least gram."""
+    words, counts = words_of(part)
+    hashes = word_hashes(words)
+    owner = np.repeat(np.arange(len(part)), counts)
+    place = np.flatnonzero(owner[: max(len(owner) - window + 1, 0)] == owner[window - 1 :])
     prefix = min(PREFIX, window)
+    least = sliding_least(grams(hashes, prefix), window - prefix + 1)[place] if len(place) else hashes[:0]
+    return hashes, counts, owner, place, least
+
+
+def _counts(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch.column(0), 8 << 20):
+                least = np.sort(_places(part, window)[-1])
+                first, n = _runs(least)
+                yield pa.RecordBatch.from_arrays([pa.array(least[first].view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    return run
+
+
+def large_groups(rows: DataFrame, window: int = WINDOW) -> np.ndarray:
+    """The grams that more than ``GROUP`` suffixes have as their least, in order."""
+    counted = rows.select("text").mapInArrow(_counts(window), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["gram"] for r in counted.filter(F.col("n") > GROUP).select("gram").collect()], np.int64).view(np.uint64))
+
 
+def _progressions(own: np.ndarray, node: np.ndarray, pos: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places, lengths and steps of runs of one node's suffixes in a text whose places are equally far apart, a window at most."""
+    group, n = _runs(own, node)
+    of = np.repeat(np.arange(len(group)), n)
+    gap = np.diff(pos, append=0)
+    step = np.where((n > 1) & (gap[group] <= window), gap[group], 1) if len(group) else n
+    first, length = _runs(of, pos - step[of] * np.arange(len(pos)))
+    return first, length, step[of[first]]
+
+
+def _sent(k: np.ndarray, first: np.ndarray, n: np.ndarray, step, key: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray, path: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of the suffixes k; its column stop has the step from one to the next."""
+    f = k[first]
+    steps = np.broadcast_to(np.int32(step) if np.isscalar(step) else step.astype(np.int32), len(f))
+    return pa.RecordBatch.from_arrays([pa.array(key[f].view(np.int64)), pa.array(doc[f]), pa.array(row[f]), pa.array(pos[f].astype(np.int32)), pa.array(steps), _packed(path[k], n)], _NAMES)
+
+
+def _suffixes(window: int, large: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in blocks(batch.column(1), 8 << 20):
                 docs, rows = (np.asarray(batch.column(k).slice(at, len(part))) for k in (0, 2))
                 at += len(part)
-                words, counts = words_of(part)
-                hashes = word_hashes(words)
-                owner = np.repeat(np.arange(len(part)), counts)
-                if len(hashes) < window:
-                    continue
-                place = np.flatnonzero(owner[: len(owner) - window + 1] == owner[window - 1 :])
+                hashes, counts, owner, place, least = _places(part, window)
                 if not len(place):
                     continue
                 path = grams(hashes, window)[place]
-                least = sliding_least(grams(hashes, prefix), window - prefix + 1)[place]
+                split = np.zeros(len(place), bool)
+                if len(large):
+                    split = large[np.minimum(np.searchsorted(large, least), len(large) - 1)] == least
+                    least = np.where(split, mix(least, path), least)
                 own = owner[place]
                 pos, doc = place - (np.cumsum(counts) - counts)[own], docs[own]
                 known = _repeats(path, doc)
@@ -103,18 +151,22 @@ def _suffixes(window: int):
                     first, n = _runs(own[k], k - np.arange(len(k)))
                     f = k[first]
                     yield pa.RecordBatch.from_arrays([pa.array(rows[own[f]]), pa.array(doc[f]), pa.array(rows[own[f]]), pa.array(pos[f].astype(np.int32)), pa.array((pos[f] + n - 1 + window).astype(np.int32)), pa.nulls(len(f), pa.binary())], _NAMES)
-                k = np.flatnonzero(~known)
-                first, n = _runs(own[k], k - np.arange(len(k)), least[k])
-                f = k[first]
-                yield pa.RecordBatch.from_arrays([pa.array(least[f].view(np.int64)), pa.array(doc[f]), pa.array(rows[own[f]]), pa.array(pos[f].astype(np.int32)), pa.array(np.zeros(len(f), np.int32)), _packed(path[k], n)], _NAMES)
+                k = np.flatnonzero(~known & ~split)
+                yield _sent(k, *_runs(own[k], k - np.arange(len(k)), least[k]), 1, least, doc, rows[own], pos, path)
+                k = np.flatnonzero(~known & split)
+                k = k[np.lexsort((pos[k], least[k], own[k]))]
+                yield _sent(k, *_progressions(own[k], least[k], pos[k], window), least, doc, rows[own], pos, path)
 
     return run
 
 
-def _subtree(table: pa.Table, window: int) -> pa.RecordBatch:
-    """Ranges of repeats from all rows of some groups."""
+def _subtree(table: pa.Table, window: int, nodes: np.ndarray, least: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """Ranges of repeats from rows in order of group and doc_id, and the nodes of the last group with their least doc_ids.
+
+    ``nodes`` and ``least`` are those of the group that the rows go on with.
+    """
     paths = table.column("paths").combine_chunks()
-    key, doc, row, start = (table.column(c).to_numpy() for c in ("group_key", "doc", "row_hash", "start"))
+    key, doc, row, start, step = (table.column(c).to_numpy() for c in ("group_key", "doc", "row_hash", "start", "stop"))
     ends = np.frombuffer(paths.buffers()[1], np.int32, len(paths) + 1, paths.offset * 4)
     n = np.diff(ends) // 6
     data = np.frombuffer(paths.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 6)
@@ -122,17 +174,24 @@ def _subtree(table: pa.Table, window: int) -> pa.RecordBatch:
     low[:, :6] = data
     low = low.view("<u8").ravel()
     of = np.repeat(np.arange(len(n)), n)
-    pos = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    k = np.flatnonzero(_repeats(mix(key.view(np.uint64)[of], low), doc[of]))
+    pos = start[of] + step[of] * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+    all_nodes, docs = np.concatenate([nodes, mix(key.view(np.uint64)[of], low)]), np.concatenate([least, doc[of]])
+    k = np.flatnonzero(_repeats(all_nodes, docs)[len(nodes) :])
+    goes_on = np.concatenate([np.full(len(nodes), key[0] == key[-1]), key[of] == key[-1]])
+    all_nodes, docs = all_nodes[goes_on], docs[goes_on]
+    order = np.argsort(all_nodes, kind="stable")
+    at, _ = _runs(all_nodes[order])
+    nodes, least = all_nodes[order][at], np.minimum.reduceat(docs[order], at) if len(at) else docs
     first, length = _runs(of[k], k - np.arange(len(k)))
     f = k[first]
-    return pa.RecordBatch.from_arrays([pa.array(doc[of[f]]), pa.array(row[of[f]]), pa.array(pos[f].astype(np.int32)), pa.array((pos[f] + length - 1 + window).astype(np.int32))], [x.split()[0] for x in _RANGES.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(doc[of[f]]), pa.array(row[of[f]]), pa.array(pos[f].astype(np.int32)), pa.array((pos[k[first + length - 1]] + window).astype(np.int32))], [x.split()[0] for x in _RANGES.split(", ")]), nodes, least
 
 
 def _subtrees(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
+        nodes, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             settled = np.asarray(batch.column("paths").is_null())
             if settled.any():
@@ -144,24 +203,23 @@ def _subtrees(window: int):
             held.append(batch)
             size += batch.column("paths").nbytes // 6
             if size >= SUFFIXES:
-                table = pa.Table.from_batches(held)
-                keys = table.column("group_key").to_numpy()
-                whole = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
-                if whole:
-                    yield _subtree(table.slice(0, whole), window)
-                    rest = table.slice(whole).combine_chunks()
-                    held = rest.to_batches()
-                    size = rest.column("paths").nbytes // 6
+                out, nodes, least = _subtree(pa.Table.from_batches(held), window, nodes, least)
+                yield out
+                held, size = [], 0
         if held:
-            yield _subtree(pa.Table.from_batches(held), window)
+            yield _subtree(pa.Table.from_batches(held), window, nodes, least)[0]
 
     return run
 
 
+def dealt_suffixes(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Suffixes by group, and the ranges that are settled already."""
+    return rows.select("doc", "text", "row_hash").mapInArrow(_suffixes(window, large_groups(rows, window)), _ROWS)
+
+
 def repeated_ranges(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, row_hash and ranges of words [start, stop) that windows of smaller doc_ids cover; rows: doc, text, row_hash."""
-    sent = rows.select("doc", "text", "row_hash").mapInArrow(_suffixes(window), _ROWS)
-    return sent.repartition("group_key").sortWithinPartitions("group_key").mapInArrow(_subtrees(window), _RANGES)
+    return dealt_suffixes(rows, window).repartition("group_key").sortWithinPartitions("group_key", "doc").mapInArrow(_subtrees(window), _RANGES)
 
 
 def _kept(keep_text: bool):

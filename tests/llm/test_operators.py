@@ -448,3 +448,44 @@ def test_substrings(edges, empty, make, monkeypatch, window, suffixes):
 def test_long_text_is_whole(edges):
     row = substring_dedup.without_repeats(edges, keep_text=True).filter("doc_id = 8").first()
     assert row["kept_text"] == LONG and row["n_removed"] == 0
+
+
+def test_a_common_line_makes_no_large_group(make, monkeypatch):
+    """A line of 30 words in different surroundings: its least gram is that of many windows of each document."""
+    monkeypatch.setattr(substring_dedup, "GROUP", 200)
+    monkeypatch.setattr(substring_dedup, "SUFFIXES", 100)
+    line = " ".join(f"licence{k}" for k in range(30))
+    rows = [(d, " ".join(f"x{d % 40}-{k}" for k in range(40)) + f" {line} " + " ".join(f"z{d % 20}-{k}" for k in range(40))) for d in range(60) for side in "x"]
+    docs = make(*rows)
+    texts = docs.select(docs.doc_id.alias("doc"), "text", substring_dedup.F.xxhash64("text").alias("row_hash"))
+    sizes = substring_dedup.dealt_suffixes(texts).filter("paths IS NOT NULL").groupBy("group_key").agg(substring_dedup.F.expr("sum(length(paths)) / 6").alias("n"))
+    assert sizes.agg({"n": "max"}).first()[0] <= 200
+    assert Counter(tuple(r) for r in substring_dedup.without_repeats(docs).collect()) == _removed(rows, 50)
+
+
+def test_a_group_is_not_held_whole(monkeypatch):
+    """Ranges of a group come before its last rows are read, and are those of the whole group."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring_dedup, "SUFFIXES", 4)
+    paths = substring_dedup._packed(np.array([7, 9], np.uint64), np.array([2])).to_pylist()
+    batches = [pa.RecordBatch.from_arrays([pa.array([5]), pa.array([doc]), pa.array([doc]), pa.array([0], pa.int32()), pa.array([1], pa.int32()), pa.array(paths, pa.binary())], substring_dedup._NAMES) for doc in range(20)]
+    read = []
+    got = substring_dedup._subtrees(50)(read.append(k) or b for k, b in enumerate(batches))
+    first = next(got)
+    assert len(read) < len(batches)
+    assert [(r["doc"], r["start"], r["stop"]) for b in [first, *got] for r in b.to_pylist()] == [(d, 0, 51) for d in range(1, 20)]
+
+
+@pytest.mark.parametrize("window", [3, 50])
+def test_split_groups_of_repeating_words(make, monkeypatch, window):
+    """A pair of words over and over has two nodes, which come as one row each; other repeats keep their places."""
+    monkeypatch.setattr(substring_dedup, "GROUP", 1)
+    rng = np.random.default_rng(3)
+    far = " ".join(f"f{k}" for k in range(90))
+    rows = [(1, "a b " * 400), (2, "x " + "a b " * 300), (3, f"{far} u {far} v v {far}"), (4, f"y {far}"), (None, "a b " * 60)]
+    rows += [(int(rng.integers(0, 9)), " ".join(rng.choice(["a", "b"], 80))) for _ in range(20)]
+    assert Counter(tuple(r) for r in substring_dedup.without_repeats(make(*rows), window).collect()) == _removed(rows, window)
+    docs = make(*rows[:1])
+    texts = docs.select(docs.doc_id.alias("doc"), "text", substring_dedup.F.xxhash64("text").alias("row_hash"))
+    assert substring_dedup.dealt_suffixes(texts, window).count() == 2
