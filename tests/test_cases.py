@@ -224,3 +224,23 @@ def test_manifest_and_index(spark):
     assert manifest.to_build(docs, rows, "p").count() == 3
     got = {r["doc_id"]: (r["pages"], r["bullets"], r["captions"]) for r in index.manifest(docs).collect()}
     assert got == {1: (1, 1, 1), 3: (1, 0, 0)}
+
+
+def test_stratified_sample(spark):
+    """Arms of 100, 60 and 2 rows get 4, 4 and 2 of 11: the rest goes to the largest arm, small ones give all."""
+    rows = [("a", k % 25, k) for k in range(100)] + [("b", k % 3, 200 + k) for k in range(60)] + [("c", None, 300), ("c", 1, 301)]
+    table = spark.createDataFrame(rows, "arm string, stratum long, id long")
+    got = stats.stratified(table, 11, "arm", "stratum", "id", 7).collect()
+    counts = {a: sum(r["arm"] == a for r in got) for a in "abc"}
+    assert counts == {"a": 4, "b": 4, "c": 2} and len({r["id"] for r in got}) == 10
+    assert stats._shares([50, 30, 20], 10) == [5, 3, 2]
+    assert stats._shares([10] * 25, 12) == [1] * 12 + [0] * 13
+    assert stats._shares([1, 1, 98], 99) == [1, 1, 97]
+    assert {r["id"] for r in stats.stratified(table.repartition(7), 11, "arm", "stratum", "id", 7).collect()} == {r["id"] for r in got}
+    assert stats.stratified(table.filter("false"), 11, "arm", "stratum", "id", 7).count() == 0
+
+
+def test_stratified_query_has_its_rows(spark, sf):
+    from quarryline.queries import QUERIES
+
+    assert QUERIES["w12_stratified_sample"](spark, sf).count() == 60
