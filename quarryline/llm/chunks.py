@@ -25,18 +25,20 @@ _BYTE_CHUNK = re.compile(f"[{UNICODE_SPACE}]?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE
 
 
 #: Signs after a letter at a word's end: a letter whose lower case is one letter too, and no apostrophe or mark among the signs.
-_ENDING = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([^\pL\pN\pM\s']+)([ \n]|$)"
+_ENDING = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([^\pL\pN\pM\s']+)([ \n]|$)"
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Chunks of a tokenizer that lower-cases and drops white space, and where each text's chunks end.
 
     Only ASCII white space is cut at; the signs at a word's end become a chunk of their own, as the
-    tokenizer's own pattern has it.
+    tokenizer's own pattern has it.  Only ASCII chunks come in lower case: the tokenizer composes
+    letters with their marks first, and some have a composed form in lower case only.
     """
-    lower = pc.replace_substring_regex(pc.ascii_lower(texts), _ENDING, r"\1 \2\3")
-    lists = pc.ascii_split_whitespace(lower)
-    return lists.flatten(), np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _ENDING, r"\1 \2\3"))
+    found = lists.flatten()
+    chunks = pc.if_else(pc.string_is_ascii(found), pc.ascii_lower(found), found)
+    return chunks, np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
 
 
 def split_bytes(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from quarryline.llm import byte_bpe, chunks, components, exact_dedup, language, media, near_dedup, packing, records, secrets, substring_dedup, toxicity
@@ -72,6 +72,24 @@ def test_word_chunks_give_the_ids_of_whole_texts(texts):
     assert counts.tolist() == [len(e) for e in expected]
 
 
+_MARKED = st.lists(st.sampled_from([*"aJjHTWKẞÉ \n.'!’\xa0", "\u030c", "\u0331", "\u0308", "\u030a", "\u0323", "\u212a", "\u0130"]), max_size=40).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_MARKED, max_size=5))
+@example(["J\u030c", "xH\u0331 T\u0308. W\u030a"])
+def test_word_chunks_give_the_ids_of_an_unaltered_tokenizer(texts):
+    """Letters with marks of their own, which the tokenizer composes before it lower-cases."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own = test_word_chunks_give_the_ids_of_an_unaltered_tokenizer.__dict__.setdefault("own", Tokenizer.from_file(WORD_BPE))
+    ids, counts = chunks.word_encoder(WORD_BPE).encode(pa.array(texts, pa.string()))
+    expected = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for e in expected for i in e]
+    assert counts.tolist() == [len(e) for e in expected]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(_MIXED, st.text(max_size=40)))
 def test_byte_chunks_give_the_ids_of_the_ranks(text):
