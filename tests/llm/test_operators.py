@@ -323,12 +323,45 @@ def test_redaction(make):
 # 6: toxicity
 
 
+def brute_distance(text, model):
+    """Window by window with zstandard alone; a text under a window's size is one window."""
+    import zstandard
+
+    data = (text or "").lower().encode()
+    parts = []
+    while data or not parts:
+        cut = len(data)
+        if cut > toxicity.WINDOW:
+            cut = data[: toxicity.WINDOW].rfind(b" ") + 1
+            cut = cut if cut > toxicity.WINDOW // 2 + 1 else toxicity.WINDOW
+        parts.append(data[:cut])
+        data = data[cut:]
+    total = 0.0
+    for part in parts:
+        sizes = []
+        for content in (model.ordinary, model.toxic):
+            kind = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            kind.precompute_compress(level=model.level)
+            sizes.append(len(zstandard.ZstdCompressor(level=model.level, dict_data=kind, write_content_size=False, write_dict_id=False).compress(part)))
+        total += max(sizes[0] - sizes[1] - model.margin, 0)
+    return total / len(parts)
+
+
+def _talk():
+    rng = np.random.default_rng(5)
+    syllables = ["ka", "lo", "mi", "ne", "ru", "sa", "to", "vi", "pel", "dor", "gan", "shi"]
+    word = lambda: "".join(rng.choice(syllables, int(rng.integers(1, 4))))
+    good = [" ".join(word() for _ in range(int(rng.integers(60, 150)))) for _ in range(240)]
+    # a whole word, and a stem inside ever changing words
+    bad = [" ".join(("grumble" if rng.random() < 0.5 else "xqzw" + word()) if rng.random() < 0.05 else word() for _ in range(120)) for _ in range(120)]
+    return bad, good
+
+
 def test_toxicity(spark, docs, edges, empty):
-    bad = [f"well {w} this is some ordinary talk about the weather {w} and more of it {k}" for k in range(60) for w in ("grumblesnark", "vilefoo")]
-    good = [f"well this is some ordinary talk about the weather number {k} and a few more words of it" for k in range(200)]
-    model = toxicity.fit(bad, good, 0.3)
-    flags = lambda texts: [toxicity.distance(t, model.ordinary, model.toxic) >= model.threshold for t in texts]
-    assert np.mean(flags(bad)) > 0.95 and np.mean(flags(good)) < 0.02
+    bad, good = _talk()
+    model = toxicity.fit(bad[:80], good[:160], 0.3)
+    flags = lambda some: [model.distance(t) >= model.threshold for t in some]
+    assert np.mean(flags(bad[80:])) > 0.9 and np.mean(flags(good[160:])) < 0.05
     rows = toxicity.score(edges, model).collect()
     assert len(rows) == len(EDGES) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
     assert toxicity.score(empty, model).count() == 0
@@ -338,6 +371,29 @@ def test_toxicity(spark, docs, edges, empty):
     assert toxicity.without_toxic(edges, model).columns == edges.columns
 
 
+def test_toxicity_scores_are_those_of_brute_force(make, edges):
+    bad, good = _talk()
+    model = toxicity.fit(bad, good, 0.3)
+    rows = [*EDGES[:10], *EDGES[11:], *enumerate(bad[:10] + good[:10] + ["x" * 1000, "grumble " * 400, "a  b\n" * 90], 100)]
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(make(*rows), model).collect())
+    expected = [(i, 1 / (1 + np.exp(-np.clip((brute_distance(t, model) - model.threshold) / model.scale, -50, 50)))) for i, t in rows]
+    assert got == Counter((i, round(x, 9)) for i, x in expected)
+
+
+def test_toxic_samples_are_runs_of_whole_words():
+    toxic = [b" some xqzwka%d here " % k for k in range(9)] + [b" plain words %d " % k for k in range(9)]
+    ordinary = [b" plain words of %d " % k for k in range(30)]
+    [runs] = toxicity.toxic_samples(toxic, ordinary, (2.0,))
+    assert any(r.startswith(b" some xqzwka") or r.startswith(b" xqzwka") for r in runs) and not any(b"plain" in r for r in runs)
+    assert toxicity.toxic_samples([], [], (2.0,)) == [[]] and toxicity.toxic_samples(toxic[:3], [], (2.0,)) == [[]]
+
+
+def test_nothing_is_rejected_where_nothing_is_told_apart():
+    texts = [f"some talk number {k} about the weather" for k in range(40)]
+    model = toxicity.fit(texts[::2], texts[1::2], 0.1)
+    assert sum(model.distance(t) >= model.threshold for t in texts) <= 2
+
+
 # 7: byte-level BPE
 
 
