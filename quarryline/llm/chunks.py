@@ -5,7 +5,8 @@ place, so the ids of a text are the concatenation of the ids of its chunks.  The
 distinct chunks of a block of texts are found with Arrow's dictionary encoding; the
 encoder hands every *new* one to ``Tokenizer.encode_batch`` and keeps the answer in a
 bounded table, and the ids of the texts are gathered with numpy.  A full table is
-dropped, never text: results do not depend on the table at all.
+dropped, never text: results do not depend on the table at all.  A text that holds the string
+of an added token (in either case, as chunks come in lower case) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -74,6 +75,7 @@ class ChunkEncoder:
 
     def __init__(self, tokenizer, split, limit: int = 500_000, max_ids: int = 3_000_000, plain=None):
         self.tokenizer, self.split, self.limit, self.max_ids, self.plain = tokenizer, split, limit, max_ids, plain
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._reset()
 
     def _reset(self) -> None:
@@ -108,6 +110,18 @@ class ChunkEncoder:
             self.used += total
 
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        held = [pc.match_substring(texts, a, ignore_case=True) for a in self.added]
+        whole = functools.reduce(pc.or_, held) if held else pa.array(np.zeros(len(texts), bool))
+        if not pc.any(whole).as_py():
+            return self._chunked(texts)
+        ids, counts = self._chunked(pc.if_else(whole, "", texts))
+        rows = np.flatnonzero(np.asarray(whole))
+        own = [np.asarray(self.tokenizer.encode(texts[int(r)].as_py(), add_special_tokens=False).ids, np.uint32) for r in rows]
+        places = np.repeat((np.cumsum(counts) - counts)[rows], [len(x) for x in own])
+        counts[rows] = [len(x) for x in own]
+        return np.insert(ids, places, np.concatenate(own)), counts
+
+    def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.seen) > self.limit or self.used > self.max_ids:
             self._reset()
         chunks, ends = self.split(texts)
@@ -161,6 +175,4 @@ def word_encoder(path: str) -> ChunkEncoder:
     """Of a tokenizer file whose pre-tokenizer drops white space; one for each Python worker."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return ChunkEncoder(tokenizer, split_words, plain=_spelled)
+    return ChunkEncoder(Tokenizer.from_file(path), split_words, plain=_spelled)

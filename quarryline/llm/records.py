@@ -9,7 +9,9 @@ Format of a shard, all numbers little-endian:
 A frame of length 0 is padding and is skipped.  Spark's own writer commits the shards: each
 row is a block of frames and the writer's line separator is the empty frame, so a shard is a
 plain sequence of frames on any file system, and a task that is tried again replaces its file.
-The index is made from the shards as they lie on disk, each checksum being verified.
+The index is made from the shards as they lie on disk, each checksum being verified, and lies
+beside them as a table (``index_folder``).  With it ``read_at`` takes one record out of an open shard
+by its offset, and ``read_shuffled`` gives all records in another order for each seed.
 
 Documents lie in ascending doc_id order over the shards in name order (a null doc_id first;
 rows that share a doc_id are ordered by text).  A null text counts as empty and has the end id
@@ -24,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import blocks, word_encoder
-from .common import documents, shared_folder, small_table, texts, tuned, written
+from .common import documents, shared_folder, small_table, texts, tuned
 
 #: Bytes of frames in a row that the writer gets, and rows in a shard at most.
 BLOCK, BLOCKS_A_SHARD = 4 << 20, 8
@@ -49,26 +51,42 @@ def frame(payload: bytes) -> bytes:
 EMPTY_FRAME = frame(b"")
 
 
+def _length(head, at: int) -> int:
+    """Of the payload, from the 12 bytes at the front of a frame."""
+    if len(head) < 12:
+        raise ValueError(f"the head of the frame at {at} is cut off")
+    length, crc = struct.unpack("<QI", head)
+    if crc != mask(zlib.crc32(head[:8])):
+        raise ValueError(f"wrong checksum of the length at {at}")
+    return length
+
+
+def _payload(rest, length: int, at: int):
+    if len(rest) < length + 4:
+        raise ValueError(f"the frame at {at} is cut off")
+    if struct.unpack("<I", rest[length : length + 4])[0] != mask(zlib.crc32(rest[:length])):
+        raise ValueError(f"wrong checksum of the payload at {at}")
+    return rest[:length]
+
+
 def frames(data) -> Iterator[tuple[int, int, memoryview]]:
     """(offset, length, payload) of each frame but padding; raises ValueError where a checksum is wrong or the data end early."""
     view, at = memoryview(data), 0
     while at < len(view):
-        head = view[at : at + 12]
-        if len(head) < 12:
-            raise ValueError(f"the head of the frame at {at} is cut off")
-        length, crc = struct.unpack("<QI", head)
-        if crc != mask(zlib.crc32(head[:8])):
-            raise ValueError(f"wrong checksum of the length at {at}")
-        if at + length + 16 > len(view):
-            raise ValueError(f"the frame at {at} is cut off")
-        payload = view[at + 12 : at + 12 + length]
-        if struct.unpack("<I", view[at + 12 + length : at + 16 + length])[0] != mask(zlib.crc32(payload)):
-            raise ValueError(f"wrong checksum of the payload at {at}")
+        length = _length(view[at : at + 12], at)
+        payload = _payload(view[at + 12 : at + 16 + length], length, at)
         if length:
             yield at, length + 16, payload
         at += length + 16
 
 
+def read_at(file, offset: int) -> tuple[int | None, np.ndarray]:
+    """doc_id and ids of the record at an offset of the index, from a shard that is open for binary reading; nothing else of it is read."""
+    file.seek(offset)
+    length = _length(file.read(12), offset)
+    return unpack(_payload(file.read(length + 4), length, offset))
+
+
 def pack(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     return _HEAD.pack(doc_id is not None, width, doc_id or 0, len(ids)) + ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
@@ -130,16 +148,31 @@ def _shards(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
 
 
+def index_folder(folder: str) -> str:
+    return f"{folder.rstrip('/')}.index"
+
+
+def write_index(spark: SparkSession, folder: str) -> None:
+    """The offset index of the shards in ``folder``, as a table beside them."""
+    _shards(spark, folder).mapInArrow(_indexed, INDEX_SCHEMA).write.parquet(index_folder(folder))
+
+
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each frame on disk: its place in its shard and ``start``, the ids of all documents before it.
 
-    Two passes: the index is written as a table, then the totals of the shards (one row each) give each shard its base.
+    Sums in two levels: over the shards of a writer's task, in a window of its own, and over the tasks, of
+    which the driver gets one row each.
     """
-    index = written(_shards(spark, folder).mapInArrow(_indexed, INDEX_SCHEMA), "records-index")
-    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).toArrow().sort_by("shard")
-    n = totals.column("n").to_numpy()
-    bases = pa.table({"shard": totals.column("shard"), "shard_no": np.arange(len(n)), "base": np.cumsum(n) - n})
-    return index.join(small_table(spark, bases), "shard").withColumn("start", F.col("base") + F.col("local_start"))
+    index = spark.read.parquet(index_folder(folder))
+    task = F.regexp_extract("shard", r"^part-(\d+)", 1).cast("long")
+    shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("task", task)
+    totals = shards.groupBy("task").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("shards")).toArrow().sort_by("task")
+    n, held = (totals.column(c).to_numpy() for c in ("n", "shards"))
+    bases = pa.table({"task": totals.column("task"), "task_base": np.cumsum(n) - n, "task_shards": np.cumsum(held) - held})
+    order = Window.partitionBy("task").orderBy("shard")
+    own = shards.withColumns({"before": F.sum("n").over(order) - F.col("n"), "no": F.row_number().over(order) - 1})
+    placed = own.join(small_table(spark, bases), "task").select("shard", (F.col("task_shards") + F.col("no")).alias("shard_no"), (F.col("task_base") + F.col("before")).alias("base"))
+    return index.join(placed, "shard").withColumn("start", F.col("base") + F.col("local_start"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +188,28 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     return _shards(spark, folder).mapInArrow(_read, "shard string, offset long, doc_id long, ids array<long>")
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content, offsets in zip(batch.column("shard"), batch.column("content"), batch.column("offsets"), strict=True):
+            file = pa.BufferReader(content.as_buffer())
+            for offset in offsets.as_py():
+                doc_id, ids = read_at(file, offset)
+                yield pa.RecordBatch.from_pydict({"shard": [path.as_py()], "offset": [offset], "doc_id": pa.array([doc_id], pa.int64()), "ids": pa.array([ids.tolist()], pa.list_(pa.int64()))})
+
+
+def read_shuffled(spark: SparkSession, folder: str, seed: int = 0) -> DataFrame:
+    """All records, dealt and ordered by a hash of seed, shard and offset: each shard is read once, at the offsets of the index."""
+    offsets = spark.read.parquet(index_folder(folder)).groupBy("shard").agg(F.collect_list("offset").alias("offsets"))  # a shard is of bounded size
+    shards = _shards(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
+    rows = shards.join(offsets, "shard").mapInArrow(_sliced, "shard string, offset long, doc_id long, ids array<long>")
+    key = F.xxhash64(F.lit(seed), "shard", "offset")
+    return rows.withColumn("_key", key).repartitionByRange("_key").sortWithinPartitions("_key").drop("_key")
+
+
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = shared_folder(tuned(spark), "records")
     write_records(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"))
+    write_index(spark, folder)
     return read_index(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32", "shard_no", "offset", "length")
