@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,18 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Batches of so many rows for what is run inside: where a row is large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a table to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -55,4 +69,4 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-__all__ = ["BATCH_ROWS", "crc_mod", "documents", "fresh", "shared_folder", "small_table", "texts", "tuned", "written"]
+__all__ = ["BATCH_ROWS", "arrow_rows", "crc_mod", "documents", "fresh", "shared_folder", "small_table", "texts", "tuned", "written"]

@@ -1,20 +1,23 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
 A text's set holds its distinct shingles of ``n`` words (A-Z lower-cased); its sketch the k least
-fingerprints of the set.  Equal sets are one node.  Nodes are linked where
+fingerprints of the set.  Equal sets are one node: a 64-bit hash over the full set names it, and a
+second one over the full set tells sets of one name apart.  Nodes are linked where
 100 * intersection >= percent * union.
 
 1.  Inverted lists of retained values.  Two sets that are similar enough share at least
     ``least_shared`` retained values (all but surely where sketches are cut; surely where they are
     whole sets), so it is enough to look at each sketch's rarest values: with ``NEEDED`` more than
-    its complement, two such sketches meet in NEEDED lists.  A value's frequency is counted over
-    all sketches; the ``HOT_VALUES`` most frequent are sent to all tasks, in a table of bounded size.
-2.  A short list gives its pairs, and pairs that meet in fewer than NEEDED lists fall away.  A long
+    its complement, two such sketches meet in NEEDED lists, or in all values they must share where
+    these are fewer.  A value's frequency is counted over all sketches; the ``HOT_VALUES`` most
+    frequent are sent to all tasks, in a table of bounded size.
+2.  A short list gives its pairs, and pairs that meet in too few lists fall away.  A long
     list gives, for each member, a pair with the list's least and with its scattered member: no
     pairs within the group.  After the components of these are known, a long list whose members
     are still in more than one component gives a query set, its members outside its largest
-    component, which is compared with all its members by full sets, in blocks of bounded size;
-    lists with the same largest component are compared once.  No pair is written there but links,
+    component, which is compared with all its members by full sets, in blocks of bounded bytes and
+    rows; each pair of blocks is a row of its own, dealt by both numbers.  Lists with the same
+    largest component are compared once.  No pair is written there but links,
     one for each component that a member is linked with, so no link between components is lost.
 3.  The estimate over the union's sketch drops pairs far below the threshold; the full sets of
     those that remain are compared.
@@ -34,24 +37,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import blocks
-from .common import documents, fresh, texts, tuned, written
+from .common import arrow_rows, documents, fresh, texts, tuned, written
 from .components import components
 from .words import grams, mix, word_hashes, words_of
 
 #: Values of a sketch; lists that two sketches must meet in; members of a short list at most; rows of the table of frequent values.
 K, NEEDED, SHORT, HOT_VALUES = 64, 3, 32, 100_000
 
-#: Bytes of sets in a block, about, and columns of a matrix.
-BLOCK_BYTES, COLUMNS = 1 << 20, 8192
+#: Bytes and rows of sets in a block, about, columns of a matrix, and pairs of blocks that a worker holds.
+BLOCK_BYTES, BLOCK_ROWS, COLUMNS, BLOCK_PAIRS = 1 << 20, 2048, 8192, 8
+
+#: Parts that a list's rows are dealt to where lists are joined.
+SALTS = 32
 
 #: Standard errors that the estimate may lie below the threshold.
 SLACK = 5.5
 
-_SETS = "doc_id long, row_hash long, node long, n long, sketch array<long>"
+_SETS = "doc_id long, row_hash long, node long, proof long, n long, sketch array<long>"
 _WHOLE = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -75,6 +82,12 @@ def sets_of(part: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.bincount(own[new], minlength=len(part)).astype(np.int64)
 
 
+def set_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes over each full set: its node's name, and the proof that a name stands for one set."""
+    data = [values[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    return tuple(np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in data), np.uint64, len(data)).view(np.int64) for seed in (0, 1))
+
+
 def _sketched(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,18 +96,18 @@ def _sketched(n: int, k: int):
                 values, sizes = sets_of(part, n)
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
-                node = [np.int64(np.uint64(xxhash.xxh3_64_intdigest(values[a:b].tobytes())).view(np.int64)) for a, b in zip(starts, ends, strict=True)]
+                node, proof = set_hashes(values, starts, ends)
                 held = np.minimum(sizes, k)
                 offsets = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
                 flat = values[np.repeat(starts - offsets[:-1], held) + np.arange(offsets[-1])].view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(node, pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [x.split()[0] for x in _SETS.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(node), pa.array(proof), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [x.split()[0] for x in _SETS.split(", ")])
                 at += len(part)
 
     return run
 
 
 def sketches(docs: DataFrame, n: int, k: int = K) -> DataFrame:
-    """doc_id, row_hash, the set's node, its size and its sketch (a signed view of unsigned values, in unsigned order)."""
+    """doc_id, row_hash, the set's node and proof, its size and its sketch (a signed view of unsigned values, in unsigned order)."""
     return texts(docs).withColumn("row_hash", F.xxhash64("text")).mapInArrow(_sketched(n, k), _SETS)
 
 
@@ -105,10 +118,11 @@ def least_shared(size: np.ndarray, k: int, percent: int) -> np.ndarray:
     return np.where(size * 100 <= k * percent, -(-size * percent // 100), max(cut, 1))
 
 
-def _indexed(hot: np.ndarray, often: np.ndarray, pivots: np.ndarray, k: int, percent: int):
+def _indexed(table: Broadcast, k: int, percent: int):
     """Rows of short lists (value, node, size) and pairs with the pivots of long lists (value null, node, pivot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, often, pivots = table.value
         for batch in batches:
             sketch = batch.column("sketch")
             values = np.asarray(sketch.flatten())
@@ -135,13 +149,13 @@ def _indexed(hot: np.ndarray, often: np.ndarray, pivots: np.ndarray, k: int, per
     return run
 
 
-def _list_pairs(percent: int):
-    """Pairs of the members of each list, from rows sorted by value; a list that is longer than SHORT all the same gives stars and chains."""
+def _list_pairs(k: int, percent: int):
+    """Pairs of the members of each list and the lists they need, from rows sorted by value; a list that is longer than SHORT all the same gives stars and chains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, members, n = None, [], 0
         for batch in batches:
-            us, vs, star = [], [], []
+            us, vs, star, larger = [], [], [], []
             for x, node, size in zip(*(batch.column(c).to_pylist() for c in ("value", "node", "other")), strict=True):
                 if x != value:
                     value, members, n = x, [], 0
@@ -151,16 +165,19 @@ def _list_pairs(percent: int):
                             us.append(min(node, other))
                             vs.append(max(node, other))
                             star.append(False)
+                            larger.append(max(size, its))
                     members.append((node, size))
                 else:
                     for other, its in (members[0], members[-1]):
                         us.append(min(node, other))
                         vs.append(max(node, other))
                         star.append(True)
+                        larger.append(size)
                     members[-1] = (node, size)
                 n += 1
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(star, pa.bool_())], ["u", "v", "star"])
+                need = np.minimum(least_shared(np.array(larger), k, percent), NEEDED)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(star, pa.bool_()), pa.array(need)], ["u", "v", "star", "need"])
 
     return run
 
@@ -278,33 +295,54 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, k: int,
     return written(_joined(likely, whole, "whole").mapInArrow(_confirmed(percent), "u long, v long"), "near-links")
 
 
-def _links_between(open_lists: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between components within the open lists (value, node, label, main)."""
-    members = written(open_lists.groupBy("main", "node", "label").agg(F.max(F.col("label") != F.col("main")).alias("asks")), "near-members")
+def _links_between(open_lists: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int, few_lists: bool) -> DataFrame:
+    """Links between components within the open lists (value, node, label, main); ``few_lists``: there are fewer than HOT_VALUES."""
+    asks = open_lists.groupBy("main", "node", "label").agg(F.max(F.col("label") != F.col("main")).alias("asks"))
+    members = written(asks.join(nodes.select("node", "n"), "node"), "near-members")
+    size = lambda side: F.when(F.col("asks") == side, 1)
+    parts = lambda side: (F.greatest(F.floor(F.sum(size(side) * F.col("n")) * 8 / BLOCK_BYTES), F.floor(F.sum(size(side)) / BLOCK_ROWS)) + 1).cast("int")
+    sizes = members.groupBy("main").agg(F.coalesce(parts(True), F.lit(0)).alias("p_few"), F.coalesce(parts(False), F.lit(0)).alias("p_rest"))
+    dealt = members.join(F.broadcast(sizes) if few_lists else sizes, "main")
+    # the rest's blocks are numbered first, those of the query set after them
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("p_few")).otherwise(F.col("p_rest"))).cast("int")
+    placed = dealt.withColumn("block", own + F.when(F.col("asks"), F.col("p_rest")).otherwise(0))
     whole = _whole_sets(members.select("node").distinct(), nodes, rows, n)
-    held = written(members.join(whole, "node"), "near-held")
-    sizes = held.groupBy("main", "asks").agg((F.floor(F.sum(F.octet_length("whole")) / BLOCK_BYTES) + 1).alias("parts"))
-    dealt = held.join(sizes, ["main", "asks"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
-    block = dealt.groupBy("main", "asks", "block").agg(F.collect_list(F.struct("node", "label", "whole")).alias("sets"))
-    block = written(block, "near-blocks")
-    few = block.filter("asks").select("main", F.col("sets").alias("few"))
-    return written(few.join(block.select("main", F.col("sets").alias("many")), "main").select("few", "many").mapInArrow(_blocks_compared(percent), "u long, v long"), "near-links")
+    block = written(placed.join(whole, "node").groupBy("main", "block", "p_few", "p_rest").agg(F.collect_list(F.struct("node", "label", "whole")).alias("sets")), "near-blocks")
+    queries = block.filter("block >= p_rest")
+    # a query block meets all blocks of the rest, and those of the query set from its own on
+    meets = F.filter(F.sequence(F.lit(0), F.col("p_rest") + F.col("p_few") - 1), lambda b: (b < F.col("p_rest")) | (b >= F.col("block")))
+    few = queries.select("main", F.col("block").alias("fb"), F.explode(meets).alias("mb"), F.col("sets").alias("few"))
+    met = F.filter(F.sequence(F.col("p_rest"), F.col("p_rest") + F.col("p_few") - 1), lambda b: (F.col("block") < F.col("p_rest")) | (b <= F.col("block")))
+    many = block.filter("p_few > 0").select("main", F.explode(met).alias("fb"), F.col("block").alias("mb"), F.col("sets").alias("many"))
+    with arrow_rows(nodes.sparkSession, BLOCK_PAIRS):
+        return written(few.join(many, ["main", "fb", "mb"]).select("few", "many").mapInArrow(_blocks_compared(percent), "u long, v long"), "near-links")
+
+
+def _told_apart(all_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, and the nodes with the least row of each; a name that stands for different sets is replaced."""
+    linked = all_rows.filter("n > 0 AND doc_id IS NOT NULL")
+    least = F.min(F.struct("doc_id", "row_hash", "n", "sketch")).alias("m")
+    nodes = written(linked.groupBy("node").agg(least, (F.min("proof") != F.max("proof")).alias("differ")).select("node", F.col("m.doc_id").alias("rep"), "m.row_hash", "m.n", "m.sketch", "differ"), "near-nodes")
+    differ = nodes.filter("differ").select("node", "differ")
+    if differ.isEmpty():
+        return all_rows, nodes
+    renamed = all_rows.join(differ, "node", "left").withColumn("node", F.when(F.col("differ"), F.xxhash64("node", "proof")).otherwise(F.col("node"))).drop("differ")
+    return _told_apart(written(renamed, "near-sketches"))
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, row_hash, n_shingles, component_id and kept for each row of ``docs``."""
-    all_rows = written(sketches(docs, n, k), "near-sketches")
-    linked = all_rows.filter("n > 0 AND doc_id IS NOT NULL")
-    nodes = written(linked.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash", "n", "sketch")).alias("m")).select("node", F.col("m.doc_id").alias("rep"), "m.row_hash", "m.n", "m.sketch"), "near-nodes")
+    all_rows, nodes = _told_apart(written(sketches(docs, n, k), "near-sketches"))
     values = nodes.select("node", F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("often"), F.min("node").alias("first"), F.min_by("node", F.xxhash64("value", "node")).alias("scattered"))
     hot = values.filter(F.col("often") > SHORT).orderBy(F.desc("often"), "value").limit(HOT_VALUES).toArrow().sort_by("value")
     pivots = np.stack([hot.column(c).to_numpy() for c in ("first", "scattered")], axis=1) if len(hot) else np.zeros((0, 2), np.int64)
-    index = written(nodes.select("node", "n", "sketch").mapInArrow(_indexed(hot.column("value").to_numpy(), hot.column("often").to_numpy(), pivots, k, percent), "value long, node long, other long, long boolean"), "near-index")
+    table = docs.sparkSession.sparkContext.broadcast((hot.column("value").to_numpy(), hot.column("often").to_numpy(), pivots))  # at most HOT_VALUES rows
+    index = written(nodes.select("node", "n", "sketch").mapInArrow(_indexed(table, k, percent), "value long, node long, other long, long boolean"), "near-index")
     pair = (F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
     stars = index.filter("value IS NULL").select(*pair)
-    short = index.filter("value IS NOT NULL AND NOT long").select("value", "node", "other").repartition("value").sortWithinPartitions("value", "node").mapInArrow(_list_pairs(percent), "u long, v long, star boolean")
-    meet = short.groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"), F.max("star").alias("star"))
-    enough = meet.filter((F.col("lists") >= NEEDED) | F.col("star")).select("u", "v")
+    short = index.filter("value IS NOT NULL AND NOT long").select("value", "node", "other").repartition("value").sortWithinPartitions("value", "node").mapInArrow(_list_pairs(k, percent), "u long, v long, star boolean, need long")
+    meet = short.groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"), F.max("star").alias("star"), F.max("need").alias("need"))
+    enough = meet.filter((F.col("lists") >= F.col("need")) | F.col("star")).select("u", "v")
     rows = texts(docs).withColumn("row_hash", F.xxhash64("text"))
     links = _links(stars.unionByName(enough).distinct(), nodes, rows, n, k, percent)
     labels = components(links)
@@ -315,13 +353,15 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K) -> D
         listed = listed.unionByName(others.join(others.groupBy("value").count().filter(F.col("count") > SHORT).select("value"), "value"))
     members = listed.join(labels, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label"))
     sizes = members.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    open_lists = written(members.join(sizes.filter("labels > 1"), "value").select("value", "node", "label", "main"), "near-open")
-    return _grouped(all_rows, nodes, labels, links, open_lists, rows, n, percent)
-
-
-def _grouped(all_rows: DataFrame, nodes: DataFrame, labels: DataFrame, links: DataFrame, open_lists: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    few_lists, some = len(hot) < HOT_VALUES, sizes.filter("labels > 1").select("value", "main")
+    if few_lists:  # a row for each long list
+        open_lists = members.join(F.broadcast(some), "value")
+    else:  # one value may have a third of all rows
+        salts = F.explode(F.array(*map(F.lit, range(SALTS))))
+        open_lists = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(some.select("*", salts.alias("salt")), ["value", "salt"])
+    open_lists = written(open_lists.select("value", "node", "label", "main"), "near-open")
     if not open_lists.isEmpty():
-        more = _links_between(open_lists, nodes, rows, n, percent)
+        more = _links_between(open_lists, nodes, rows, n, percent, few_lists)
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     names = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
