@@ -32,9 +32,7 @@ def _tuned(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORD_BPE)
 
 
 @pytest.fixture(scope="module")
@@ -72,12 +70,13 @@ def test_word_chunks_give_the_ids_of_whole_texts(texts):
     assert counts.tolist() == [len(e) for e in expected]
 
 
-_MARKED = st.lists(st.sampled_from([*"aJjHTWKẞÉ \n.'!’\xa0", "\u030c", "\u0331", "\u0308", "\u030a", "\u0323", "\u212a", "\u0130"]), max_size=40).map("".join)
+_MARKED = st.lists(st.sampled_from([*"aJjHTWKẞÉ \n.'!’\xa0", "\u030c", "\u0331", "\u0308", "\u030a", "\u0323", "\u212a", "\u0130", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext"]), max_size=40).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(_MARKED, max_size=5))
 @example(["J\u030c", "xH\u0331 T\u0308. W\u030a"])
+@example(["a<|endoftext|>\u030cb", "", "plain", "<|startoftext|><|ENDOFTEXT|>"])
 def test_word_chunks_give_the_ids_of_an_unaltered_tokenizer(texts):
     """Letters with marks of their own, which the tokenizer composes before it lower-cases."""
     import pyarrow as pa
@@ -128,6 +127,7 @@ def _ids(tokenizer, text):
 def test_records(spark, edges, empty, tokenizer):
     folder = shared_folder(spark, "t")
     records.write_records(edges, folder, WORD_BPE)
+    records.write_index(spark, folder)
     rows = records.read_index(spark, folder).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == sorted((i for i, _ in EDGES), key=lambda i: (i is not None, i or 0))
     before = 0
@@ -140,7 +140,31 @@ def test_records(spark, edges, empty, tokenizer):
     assert read == {(i, tuple(_ids(tokenizer, t))) for i, t in EDGES}
     folder = shared_folder(spark, "t")
     records.write_records(empty, folder, WORD_BPE)
-    assert records.read_index(spark, folder).count() == 0
+    records.write_index(spark, folder)
+    assert records.read_index(spark, folder).count() == 0 and records.read_shuffled(spark, folder).count() == 0
+
+
+def test_shuffled_reads(spark, make, tokenizer, monkeypatch):
+    """By offset, in any order, from many shards of several tasks; starts are those of the ascending order."""
+    monkeypatch.setattr(records, "BLOCK", 200)
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(k % 37))) for k in range(300)]
+    folder = shared_folder(spark, "t")
+    records.write_records(make(*rows), folder, WORD_BPE)
+    records.write_index(spark, folder)
+    index = records.read_index(spark, folder).collect()
+    assert len({r["shard"] for r in index}) > 8
+    expected, before = {i: _ids(tokenizer, t) for i, t in rows}, 0
+    for r in sorted(index, key=lambda r: r["doc_id"]):
+        assert r["start"] == before
+        before += len(expected[r["doc_id"]])
+    assert [r["shard_no"] for r in sorted(index, key=lambda r: (r["shard"], r["offset"]))] == sorted(r["shard_no"] for r in index)
+    for k in np.random.default_rng(0).permutation(len(index)):
+        r = index[k]
+        with open(f"{folder.removeprefix('file:')}/{r['shard']}", "rb") as file:
+            doc_id, ids = records.read_at(file, r["offset"])
+        assert doc_id == r["doc_id"] and ids.tolist() == expected[doc_id]
+    first, second = ([(r["doc_id"], r["ids"]) for r in records.read_shuffled(spark, folder, seed).collect()] for seed in (1, 2))
+    assert dict(first) == dict(second) == expected and first != second
 
 
 def test_frames_are_checked():
@@ -177,7 +201,7 @@ def _words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def _near(rows, n):
+def _near(rows, n, percent=80):
     sets = []
     for _, t in rows:
         w = _words(t)
@@ -192,7 +216,7 @@ def _near(rows, n):
     for a in range(len(rows)):
         for b in range(a):
             x, y = sets[a], sets[b]
-            if x and y and rows[a][0] is not None and rows[b][0] is not None and 100 * len(x & y) >= 80 * len(x | y):
+            if x and y and rows[a][0] is not None and rows[b][0] is not None and 100 * len(x & y) >= percent * len(x | y):
                 parent[top(a)] = top(b)
     least = {}
     for k, (i, _) in enumerate(rows):
@@ -229,6 +253,39 @@ def test_near_groups_with_long_lists(make, monkeypatch):
     assert got == _near(rows, 2)
 
 
+@pytest.mark.parametrize("percent", [30, 50, 74, 95])
+def test_near_groups_at_other_thresholds(make, percent):
+    """Small sets share fewer values than the lists that larger ones meet in."""
+    rng = np.random.default_rng(percent)
+    rows = [(1, "a b c"), (2, "a b"), (3, "x y z v w"), (4, "x y z v u")]
+    rows += [(10 + i, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 9))))) for i in range(40)]
+    rows += [(100 + i, " ".join(rng.choice([f"m{k}" for k in range(6)], 150))) for i in range(10)]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(make(*rows), 2, percent).collect())
+    assert got == _near(rows, 2, percent)
+
+
+def test_near_groups_with_names_that_collide(make, monkeypatch):
+    """All sets have one of two names; the second hash tells them apart."""
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(20))) for i in range(20)] + [(40, "a"), (41, "b"), (42, None)]
+    monkeypatch.setattr(near_dedup, "sketches", _renamed)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(make(*rows), 2).collect())
+    assert got == _near(rows, 2)
+
+
+def _renamed(docs, n, k):
+    F = near_dedup.F
+    rows = near_dedup.texts(docs).withColumn("row_hash", F.xxhash64("text")).mapInArrow(near_dedup._sketched(n, k), near_dedup._SETS)
+    return rows.withColumn("node", F.pmod("node", F.lit(2)).cast("long"))
+
+
+def test_near_groups_of_tiny_sets_in_one_list(make):
+    """Thousands of texts of five words that share a shingle: blocks are bounded by rows, and all links are found."""
+    rows = [(i, f"same pair x{i // 3} y{i // 3} z{i % 3 if i % 5 else 0}") for i in range(6000)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(make(*rows), 2, 60).collect()}
+    # four shingles: three of the same third are shared where only the last differs (3 / 5 = 60 %)
+    assert got == {i: i // 3 * 3 for i in range(6000)}
+
+
 def test_near_deduplicated(edges, empty):
     kept = near_dedup.deduplicated(edges)
     assert kept.columns == edges.columns
@@ -265,6 +322,38 @@ def test_exact_groups(edges, empty, digest):
     assert exact_dedup.exact_groups(empty, digest).count() == 0
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: exact_dedup.F.substring(exact_dedup.sha256(c), 1, 0)])
+def test_a_second_run_goes_on_with_the_state(spark, make, empty, tmp_path, digest):
+    """Rows added later, hits within and across runs: the result is that of one run over all rows."""
+    runs = [EDGES, [(40, BODY), (41, "new"), (3, "a")], [(42, None), (43, "new"), (1, "b"), (44, "xyz")]]
+    state, seen = str(tmp_path / "state"), []
+    for k, rows in enumerate(runs):
+        path = str(tmp_path / f"docs {k}")
+        make(*rows).write.parquet(path)
+        seen += rows
+        found = exact_dedup.exact_groups(spark.read.parquet(path), digest, state)
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found.collect()) == _exact(seen)
+    assert exact_dedup.exact_groups(empty, digest, state).count() == len(seen)
+    again = {r["digest"]: r for r in exact_dedup.exact_groups(empty, digest, state).collect()}
+    assert all("docs%20" in r["locator"]["file"] for r in again.values())
+
+
+def test_content_of_a_former_run_must_be_readable(make, tmp_path):
+    state = str(tmp_path / "state")
+    assert exact_dedup.exact_groups(make((1, "a"), (2, "a")), state=state).count() == 2
+    with pytest.raises(ValueError):
+        exact_dedup.exact_groups(make((3, "a")), state=state)
+
+
+def test_texts_without_hits_are_not_moved(make, monkeypatch):
+    """With and without a broadcast the same rows; only texts of hits reach the comparison."""
+    rows = [(k, f"text {k % 50}" if k < 100 else f"alone {k}") for k in range(200)]
+    for most in (0, 200_000):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_HITS", most)
+        got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(make(*rows)).collect())
+        assert got == _exact(rows)
+
+
 def test_exact_deduplicated(edges, empty):
     kept = exact_dedup.deduplicated(edges)
     assert kept.columns == edges.columns
