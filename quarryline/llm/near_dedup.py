@@ -330,6 +330,19 @@ def _told_apart(all_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _told_apart(written(renamed, "near-sketches"))
 
 
+def _named(names: DataFrame) -> DataFrame:
+    """node and the least doc_id of its component, from node, rep and label.
+
+    The largest components, of which there are HOT_VALUES at most, reach their nodes by a broadcast, so no
+    task gets all nodes of one; the others meet in a join.
+    """
+    least = written(names.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members")), "near-names")
+    large = least.filter(F.col("members") > SHORT).orderBy(F.desc("members"), "label").limit(HOT_VALUES).select("label", F.col("component_id").alias("large_id"))
+    marked = names.join(F.broadcast(large), "label", "left")
+    rest = marked.filter("large_id IS NULL").join(least, "label").select("node", "component_id")
+    return marked.filter("large_id IS NOT NULL").select("node", F.col("large_id").alias("component_id")).unionByName(rest)
+
+
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, row_hash, n_shingles, component_id and kept for each row of ``docs``."""
     all_rows, nodes = _told_apart(written(sketches(docs, n, k), "near-sketches"))
@@ -365,8 +378,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K) -> D
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     names = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    least = names.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = names.join(least, "label").select("node", "component_id")
+    named = _named(names)
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     done = all_rows.select("doc_id", "row_hash", "node", "n").join(named, "node", "left").select("doc_id", "row_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return done.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
