@@ -1,55 +1,65 @@
 """Search over all pages of all documents at once, in three levels of exactness.
 
 Level 1 finds a pattern as it is, level 2 lets any white space stand between its words, level 3 finds
-its words in order with a bounded number of others between them.  A level is tried for a document and
-a pattern only where the level before has found nothing in the whole document: hits are taken out by
-an anti join, so the costlier level never sees them.  Levels 1 and 2 are regular expressions in the
-JVM; level 3 is an Arrow function that gets only pages which hold all words.
+its words in order with a bounded number of others between them.  A level counts for a document and a
+pattern only where the level before has found nothing in the whole document.
+
+A page is read once, for all patterns together: an automaton over the patterns finds levels 1 and 2
+in time that grows with the page and its hits, not with the number of patterns, and level 3 looks at a
+pattern only where its longest word stands in the page.  So pages are neither joined with patterns nor
+shuffled; only hits are, by pattern and document.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_dashes
+from ..functions.text import DASHES
 from ..session import ship
 
-#: Patterns are a query's own input: a set of more rows than this is refused, so what is broadcast stays small.
+#: Patterns are a query's own input: a set of more rows than this is refused, so what is sent to all tasks stays small.
 MOST_PATTERNS = 10_000
 
-MATCHES = "pattern_id, doc_id, page, start, end, level"
+#: Parts that the hits of one pattern are ranked in before they are ranked together.
+SALTS = 64
+
+MATCHES = "pattern_id long, doc_id long, page long, start int, end int, level int"
 
 
 def _quoted(text: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def literal_regex(pattern: Column) -> Column:
-    return F.concat(F.lit("(?iu)"), _quoted(pattern))
-
+class _Folded(dict):
+    """Maps each character to one that stands for it in either case, dashes to a hyphen; texts keep their length."""
 
-def spaced_regex(pattern: Column) -> Column:
-    words = F.filter(F.split(pattern, r"(?U)\s+"), lambda w: w != "")
-    return F.concat(F.lit("(?iuU)"), F.array_join(F.transform(words, _quoted), r"\s+"))
+    def __missing__(self, code: int) -> int:
+        folded = chr(code).upper()
+        folded = folded.lower() if len(folded) == 1 else folded
+        self[code] = ord(folded) if len(folded) == 1 else code
+        return self[code]
 
 
-def spans(text: Column, regex: Column) -> Column:
-    """An array of (start, end) of the matches, which do not overlap; the end is exclusive."""
-    found = F.regexp_extract_all(text, regex, 0)
-    gaps = F.split(text, regex, -1)
-    sizes = F.zip_with(F.transform(gaps, lambda g: F.length(g)), F.transform(found, lambda m: F.length(m)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+_FOLDED = _Folded(dict.fromkeys(map(ord, DASHES), ord("-")))
+_SPACES = re.compile(r"\s+")
 
-    def step(s, x):
-        begin = s.at + x.g
-        stop = begin + F.coalesce(x.m, F.lit(0))
-        return F.struct(stop.alias("at"), F.when(x.m.isNull(), s.out).otherwise(F.concat(s.out, F.array(F.struct(begin.alias("start"), stop.alias("end"))))).alias("out"))
 
-    return F.aggregate(sizes, start, step, lambda s: s.out)
+def collapsed(text: str) -> tuple[str, list[int]]:
+    """The text with runs of white space as one space, and where each of its characters stood."""
+    out, places, at = [], [], 0
+    for gap in _SPACES.finditer(text):
+        out += [text[at : gap.start()], " "]
+        places += range(at, gap.start() + 1)
+        at = gap.end()
+    return "".join([*out, text[at:]]), [*places, *range(at, len(text))]
 
 
 def ordered_span(tokens: list[str], wanted: list[str], first: int, gap: int) -> int | None:
@@ -68,80 +78,116 @@ def ordered_span(tokens: list[str], wanted: list[str], first: int, gap: int) ->
     return None
 
 
-def _tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    import re
-
-    table = str.maketrans(dict.fromkeys("‐‑‒–—―−", "-"))
-    found = list(re.finditer(r"\S+", text))
-    return [m.group().translate(table).strip(".,;:!?").lower() for m in found], [m.span() for m in found]
-
-
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for pattern_id, pattern, doc_id, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            wanted = [t for t in _tokens(pattern)[0] if t]
-            tokens, places = _tokens(text)
-            if len(wanted) < 3 or not set(wanted) <= set(tokens):
+def _tokens(folded: str) -> tuple[list[str], list[tuple[int, int]]]:
+    found = [(m.group().strip(".,;:!?"), m.span()) for m in re.finditer(r"\S+", folded)]
+    return [t for t, _ in found if t], [place for t, place in found if t]
+
+
+def _automaton(words: dict[str, list[int]]):
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for word, ids in words.items():
+        made.add_word(word, (len(word), ids))
+    if words:
+        made.make_automaton()
+    return made
+
+
+class Patterns:
+    """What a worker needs to read pages for all patterns (pattern_id, pattern), up to a level."""
+
+    def __init__(self, asked: list[tuple[int, str]], most_level: int = 3):
+        literal, spaced, self.ordered, self.levels = {}, {}, {}, most_level
+        for pattern_id, pattern in asked:
+            folded = pattern.translate(_FOLDED)
+            literal.setdefault(folded, []).append(pattern_id)
+            words = _SPACES.sub(" ", folded).strip()
+            if " " in words and most_level > 1:
+                spaced.setdefault(words, []).append(pattern_id)
+            tokens = _tokens(folded)[0]
+            if len(tokens) > 2 and most_level > 2:
+                self.ordered.setdefault(max(tokens, key=len), []).append((pattern_id, tokens, frozenset(tokens)))
+        self.literal, self.spaced = _automaton(literal), _automaton(spaced)
+
+    @staticmethod
+    def _spans(automaton, text: str) -> Iterator[tuple[int, int, int]]:
+        """pattern_id, start and end; those of one pattern do not overlap."""
+        if not len(automaton):
+            return
+        after: dict[int, int] = {}
+        for last, (size, ids) in automaton.iter(text):
+            start = last + 1 - size
+            for i in ids:
+                if start >= after.get(i, 0):
+                    after[i] = last + 1
+                    yield i, start, last + 1
+
+    def hits(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """pattern_id, start, end and level; of the levels of a pattern the first that finds something in the page."""
+        folded, found = text.translate(_FOLDED), set()
+        for i, start, end in self._spans(self.literal, folded):
+            found.add(i)
+            yield i, start, end, 1
+        if len(self.spaced):
+            one_spaced, places = collapsed(folded)
+            second = [x for x in self._spans(self.spaced, one_spaced) if x[0] not in found]
+            found.update(i for i, _, _ in second)
+            for i, start, end in second:
+                yield i, places[start], places[end - 1] + 1, 2
+        if not self.ordered:
+            return
+        tokens, spans = _tokens(folded)
+        held = set(tokens)
+        for i, wanted, distinct in chain.from_iterable(self.ordered[t] for t in held if t in self.ordered):
+            if i in found or not distinct <= held:
                 continue
-            after = -1
+            gap = max(8, 2 * len(wanted))
             for first, token in enumerate(tokens):
-                if token == wanted[0] and first > after:
-                    last = ordered_span(tokens, wanted, first, max(8, 2 * len(wanted)))
-                    if last is not None:
-                        out.append((pattern_id, doc_id, page, places[first][0], places[last][1]))
-                        after = last
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["pattern_id", "doc_id", "page", "start", "end"])
+                if token == wanted[0] and (last := ordered_span(tokens, wanted, first, gap)) is not None:
+                    yield i, spans[first][0], spans[last][1], 3
 
 
-def _bare(words: Column) -> Column:
-    return F.transform(F.split(words, r"(?U)\s+"), lambda w: F.btrim(w, F.lit(".,;:!?")))
+@functools.lru_cache(4)
+def _held(asked: tuple[tuple[int, str], ...], levels: int) -> Patterns:
+    return Patterns(list(asked), levels)
 
 
-def _likely(text: DataFrame, asked: DataFrame) -> DataFrame:
-    """Pages with the patterns that they may hold.
+def _found(asked: Broadcast, levels: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = _held(asked.value, levels)
+        for batch in batches:
+            out = [(i, doc_id, page, start, end, level) for doc_id, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, start, end, level in patterns.hits(text)]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in MATCHES.split(", ")])
 
-    All words of a match but the first and the last stand whole in the page, so a pattern of three words or more
-    meets its pages by its longest inner word, in a join by key; shorter ones are looked for in each page.
-    """
-    words = _bare(F.lower("pattern"))
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = lambda a: F.get(F.array_sort(a, lambda x, y: F.length(y) - F.length(x)), F.lit(0))
-    keyed = asked.withColumn("word", F.nullif(longest(inner), F.lit("")))
-    tokens = text.select("doc_id", "page", F.explode(F.array_distinct(_bare(F.col("low")))).alias("word"))
-    pairs = tokens.join(F.broadcast(keyed.filter("word IS NOT NULL")), "word").select("pattern_id", "pattern", "doc_id", "page")
-    short = F.broadcast(keyed.filter("word IS NULL").select("pattern_id", "pattern", longest(words).alias("longest")))
-    return text.join(pairs, ["doc_id", "page"]).select("pattern_id", "pattern", "doc_id", "page", "text", "low").unionByName(text.join(short, F.contains("low", F.col("longest"))).select("pattern_id", "pattern", "doc_id", "page", "text", "low"))
+    return run
 
 
-def search(pages: DataFrame, patterns: DataFrame, most: int = 50) -> DataFrame:
-    """Matches of patterns (pattern_id, pattern) in pages (doc_id, page, page_text), up to ``most`` of each pattern.
+def search(pages: DataFrame, patterns: DataFrame, most: int | None = 50, levels: int = 3) -> DataFrame:
+    """Matches of patterns (pattern_id, pattern) in pages (doc_id, page, page_text), up to ``most`` of each pattern (None: all).
 
-    An empty pattern is an error; each match has its level.
+    An empty pattern is an error; each match has its level, and no level beyond ``levels`` is tried.  A page
+    without text has no match, a null pattern none either.  Offsets count code points, the end is exclusive.
     """
     spark = ship(pages.sparkSession)
-    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+    rows = patterns.select(F.col("pattern_id").cast("long"), F.col("pattern").cast("string")).filter("pattern IS NOT NULL").limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} patterns; search in parts")
-    asked = patterns.select(F.col("pattern_id").cast("long").alias("pattern_id"), F.when(F.trim("pattern") == "", F.raise_error(F.lit("a pattern must not be empty"))).otherwise(fold_dashes(F.col("pattern"))).alias("pattern"))
-    folded = fold_dashes(F.col("page_text"))
-    text = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), folded.alias("text"), F.lower(folded).alias("low"))
-    both = _likely(text, asked)
-    key = ["pattern_id", "doc_id"]
-
-    def level(rows: DataFrame, regex: Column, number: int) -> DataFrame:
-        return rows.select(*key, "page", F.inline(spans(F.col("text"), regex))).withColumn("level", F.lit(number))
-
-    first = level(both.filter(F.contains("low", F.lower("pattern"))), literal_regex(F.col("pattern")), 1)
-    rest = both.filter(F.rlike("pattern", F.lit(r"(?U)\S\s+\S"))).join(first.select(*key).distinct(), key, "left_anti")
-    second = level(rest, spaced_regex(F.col("pattern")), 2)
-    last = rest.filter(F.rlike("pattern", F.lit(r"(?U)\S\s+\S+\s+\S"))).join(second.select(*key).distinct(), key, "left_anti")
-    third = last.select("pattern_id", "pattern", "doc_id", "page", "text").mapInArrow(_ordered, "pattern_id long, doc_id long, page long, start int, end int").withColumn("level", F.lit(3))
-    every = first.unionByName(second).unionByName(third)
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("pattern_id").orderBy("level", "doc_id", "page", "start")))
-    del spark
-    return ranked.filter(F.col("rank") <= most)
+    if any(not r[1].strip() for r in rows):
+        raise ValueError("a pattern must not be empty")
+    asked = spark.sparkContext.broadcast(tuple((r[0], r[1]) for r in rows))
+    text = pages.select(F.col("doc_id").cast("long"), F.col("page").cast("long"), F.col("page_text").cast("string")).filter("page_text IS NOT NULL")
+    every = text.mapInArrow(_found(asked, levels), MATCHES)
+    if levels > 1:  # a document's first level counts for all its pages
+        every = every.withColumn("best", F.min("level").over(Window.partitionBy("pattern_id", "doc_id"))).filter("level = best").drop("best")
+    if most is None:
+        return every
+    order = ["level", "doc_id", "page", "start", "end"]
+    salted = every.withColumn("salt", F.pmod(F.xxhash64("doc_id", "page"), F.lit(SALTS)))
+    part = salted.withColumn("rank", F.row_number().over(Window.partitionBy("pattern_id", "salt").orderBy(*order))).filter(F.col("rank") <= most)
+    return part.drop("salt").withColumn("rank", F.row_number().over(Window.partitionBy("pattern_id").orderBy(*order))).filter(F.col("rank") <= most)
 
 
 def distinct_spans(matches: DataFrame, most: int) -> DataFrame:
@@ -174,35 +220,23 @@ def heading_offset(text: Column, title: Column) -> Column:
 
 
 def section_at(matches: DataFrame, sections: DataFrame) -> DataFrame:
-    """For each match the section that it lies in: of those that reach its page, or start on it at or before it, the last.
+    """For each match the section that it lies in: of those that reach the page before its own, or start on its page at or before it, the last.
 
     ``sections``: doc_id, seq, start_page, end_page and ``offset`` of the heading in its page (null: not found).
-    Both cases are joins by key: pages that a section reaches are exploded, its own first page is one row.
+    Both cases are joins by key: the pages that a section reaches, and the one after them, are exploded; its
+    own first page is one row.  The last by page, offset (a section of an earlier page has 0) and seq counts.
     """
-    reach = sections.filter("end_page > start_page").select("doc_id", "seq", "start_page", F.coalesce("offset", F.lit(0)).alias("offset"), F.explode(F.sequence(F.col("start_page") + 1, F.col("end_page"))).alias("page"))
-    own = sections.filter("offset IS NOT NULL").select("doc_id", "seq", "start_page", "offset", F.col("start_page").alias("page"))
+    reach = sections.filter("end_page >= start_page").select("doc_id", "seq", "start_page", F.lit(0).alias("offset"), F.explode(F.sequence(F.col("start_page") + 1, F.col("end_page") + 1)).alias("page"))
+    own = sections.filter("offset IS NOT NULL").select("doc_id", "seq", "start_page", F.col("offset").cast("int").alias("offset"), F.col("start_page").alias("page"))
     best = F.max(F.struct("start_page", "offset", "seq")).alias("b")
     key = ["doc_id", "page", "start"]
-    through = matches.join(reach, ["doc_id", "page"]).groupBy(*key).agg(best)
-    at = matches.join(own, ["doc_id", "page"]).filter(F.col("offset") <= F.col("start")).groupBy(*key).agg(best)
+    places = matches.select(*key).distinct()
+    through = places.join(reach, ["doc_id", "page"]).groupBy(*key).agg(best)
+    at = places.join(own, ["doc_id", "page"]).filter(F.col("offset") <= F.col("start")).groupBy(*key).agg(best)
     joined = through.unionByName(at).groupBy(*key).agg(F.max("b").alias("b"))
     return matches.join(joined.select(*key, F.col("b.seq").alias("seq")), key, "left")
 
 
-def section_text(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The marked text of ranges (range_id, doc_id, first_page, last_page), and the top of the next page if it goes on there.
-
-    A range that is turned round or outside of its document's pages is an error.
-    """
-    total = pages.groupBy("doc_id").agg(F.max("page").alias("pages"))
-    bad = (F.col("first_page") < 1) | (F.col("first_page") > F.col("last_page")) | (F.col("last_page") > F.col("pages"))
-    checked = ranges.join(total, "doc_id").withColumn("first_page", F.when(bad, F.raise_error(F.lit("no such range of pages"))).otherwise(F.col("first_page")))
-    wanted = checked.select("range_id", "doc_id", "last_page", F.explode(F.sequence("first_page", "last_page")).alias("page"))
-    part = F.concat(F.lit("--- PAGE "), F.col("page"), F.lit(" ---\n"), F.col("page_text"))
-    body = wanted.join(pages, ["doc_id", "page"]).groupBy("range_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", part.alias("t")))), lambda x: x.t), "\n").alias("text"))
-    return body
-
-
 def continued(next_page: Column, first_heading: Column) -> Column:
     """What of the next page still belongs to a section: all up to the first heading there; nothing if that stands at the top."""
     head = F.regexp_replace(F.substring(next_page, F.lit(1), first_heading), r"\s+\z", "")
