@@ -53,12 +53,6 @@ def a06(spark, sf_dir):
 
 # Titles made from parts: numbering, a title and perhaps a suffix, in all combinations.
 _TITLES = ["Revision History", "Important Notice", "Ordering Information", "Package Outlines", "Contents", "Glossary", "Contact Information", "Electrical Characteristics", "Marking Information", "Device Comparison", "Selection Guide", "Part Numbering"]
-_PREFIX = ["", "3. ", "12.4 ", "Appendix A: ", "Chapter 7 "]
-_SUFFIX = ["", " (Continued)", ":", " (cont.)."]
-_CLASS = ["revision", "legal", "ordering", "mechanical", "toc", "glossary", "contact", "", "ordering", "", "", "ordering"]
-_EVIDENCE = [None, None, "ordering", None, None, None, None, None, None, "comparison", "selection", "nomenclature"]
-
-
 def _case(values, key: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN {k} THEN {'NULL' if v is None else repr(v)}" for k, v in enumerate(values)) + " END"
 
@@ -70,28 +64,42 @@ def _pick(values, key):
     return out
 
 
+# Titles of parts: a numbering from the part's own numbers, a phrase or the part's name, and what may follow it.
+_PHRASES = [*_TITLES, "Nomenclature", "Trademarks", "How to Order", "A Glossary of Terms", "Available Options", "Package Marking Information"]
+_TITLE_ROWS = f"""titles AS (SELECT p_partkey, CASE p_partkey % 13 WHEN 0 THEN '' WHEN 1 THEN p_size || ' ' WHEN 2 THEN p_size || '.' || (p_partkey % 9 + 1) || ' ' WHEN 3 THEN p_size || '.' WHEN 4 THEN chr(CAST(65 + p_partkey % 26 AS INT)) || ')' WHEN 5 THEN chr(CAST(97 + p_partkey % 26 AS INT)) || '. ' WHEN 6 THEN 'Chapter ' || p_size || ': ' WHEN 7 THEN 'APPENDIX ' || chr(CAST(65 + p_partkey % 26 AS INT)) || ' - ' WHEN 8 THEN ' section ' || p_size || '. ' WHEN 9 THEN 'Appendix A: ' || p_size || '. ' WHEN 10 THEN 'Annex B) 4.' || p_size || ' - ' WHEN 11 THEN 'Table ' || p_size || '. ' ELSE '  ' END
+  || CASE WHEN p_size % 6 = 0 THEN p_name ELSE ([{", ".join(repr(x) for x in _PHRASES)}])[p_partkey % {len(_PHRASES)} + 1] END
+  || CASE p_size % 7 WHEN 0 THEN '' WHEN 1 THEN ' (Continued)' WHEN 2 THEN ' (cont.).' WHEN 3 THEN ':' WHEN 4 THEN ' [CONT’D]' WHEN 5 THEN ': (continued) (Cont)' ELSE ' -. ' END AS title FROM part),
+normal AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(trim(title), '(?i)^(?:\\s*(?:{tt.LEADING}))+', ''), '(?i)(?:{tt.CONTINUED.replace("'", "''")}|{tt.TITLE_ENDS})+$', ''), '^{tt.TITLE_ENDS}+', '')) AS normal FROM titles)"""
+_TITLE_CLASS = " ".join(f"WHEN regexp_full_match(normal, '{p}') THEN '{name}'" for name, p in tt.BOILERPLATE)
+_TITLE_EVIDENCE = " ".join(f"WHEN regexp_matches(regexp_replace(normal, '{tt.TABLE_PREFIX}', ''), '{p}') THEN '{name}'" for name, p in tt.EVIDENCE)
+
+
 def _titles(spark, sf_dir):
-    k = F.col("p_partkey")
-    title = F.concat(_pick(_PREFIX, k % 5), _pick(_TITLES, k % 12), _pick(_SUFFIX, k % 4))
+    k, size, letter = F.col("p_partkey"), F.col("p_size").cast("string"), lambda first: F.chr(F.lit(first) + F.col("p_partkey") % 26)
+    j = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    before = [F.lit(""), j(size, " "), j(size, ".", (k % 9 + 1).cast("string"), " "), j(size, "."), j(letter(65), ")"), j(letter(97), ". "), j("Chapter ", size, ": "), j("APPENDIX ", letter(65), " - "), j(" section ", size, ". "), j("Appendix A: ", size, ". "), j("Annex B) 4.", size, " - "), j("Table ", size, ". "), F.lit("  ")]
+    after = ["", " (Continued)", " (cont.).", ":", " [CONT’D]", ": (continued) (Cont)", " -. "]
+    phrase = F.when(F.col("p_size") % 6 == 0, F.col("p_name")).otherwise(F.get(F.array(*map(F.lit, _PHRASES)), (k % len(_PHRASES)).cast("int")))
+    title = F.concat(F.get(F.array(*before), (k % 13).cast("int")), phrase, F.get(F.array(*map(F.lit, after)), (F.col("p_size") % 7).cast("int")))
     return table(spark, sf_dir, "part").select(k, title.alias("title"))
 
 
-@register("f11_normal_title", f"SELECT p_partkey, lower({_case(_TITLES, 'p_partkey % 12')}) AS normal FROM part")
+@register("f11_normal_title", f"WITH {_TITLE_ROWS} SELECT p_partkey, title, normal FROM normal")
 def f11(spark, sf_dir):
-    return _titles(spark, sf_dir).select("p_partkey", tt.normal_title(F.col("title")).alias("normal"))
+    return _titles(spark, sf_dir).select("p_partkey", "title", tt.normal_title(F.col("title")).alias("normal"))
 
 
-@register("f12_boilerplate_class", f"SELECT p_partkey, {_case(_CLASS, 'p_partkey % 12')} AS category FROM part")
+@register("f12_boilerplate_class", f"WITH {_TITLE_ROWS} SELECT p_partkey, CASE {_TITLE_CLASS} ELSE '' END AS category FROM normal")
 def f12(spark, sf_dir):
     return _titles(spark, sf_dir).select("p_partkey", tt.boilerplate_class(F.col("title")).alias("category"))
 
 
-@register("p28_marking_legend", "SELECT p_partkey, p_partkey % 12 = 8 AS legend FROM part")
+@register("p28_marking_legend", f"WITH {_TITLE_ROWS} SELECT p_partkey, regexp_matches(normal, '{tt.MARKING_LEGEND}') AS legend FROM normal")
 def p28(spark, sf_dir):
     return _titles(spark, sf_dir).select("p_partkey", tt.is_marking_legend(F.col("title")).alias("legend"))
 
 
-@register("f25_evidence_class", f"SELECT p_partkey, {_case(_EVIDENCE, 'p_partkey % 12')} AS kind FROM part")
+@register("f25_evidence_class", f"WITH {_TITLE_ROWS} SELECT p_partkey, CASE WHEN regexp_matches(normal, '{tt.MARKING_LEGEND}') THEN NULL {_TITLE_EVIDENCE} END AS kind FROM normal")
 def f25(spark, sf_dir):
     return _titles(spark, sf_dir).select("p_partkey", tt.evidence_class(F.col("title")).alias("kind"))
 
@@ -102,9 +110,16 @@ _FAMILY = ["PSC3P5xD, PSC3M5xD", "PIC16F882/883/884/886/887", "1N4001, 1N4002, 1
 _RULE = ["wildcard", "slash-list", "list", "near-identical", "series", None, None]
 
 
-@register("f22_f23_product_family", f"SELECT p_partkey, {_case(_FAMILY, 'p_partkey % 7')} AS family, {_case(_RULE, 'p_partkey % 7')} AS rule FROM part")
+# Titles of documents with part numbers made of the part's key and size, one form for each rule and one of none.
+_FAMILY_ROWS = "named AS (SELECT p_partkey, p_name, p_partkey % 6 AS k, CAST(100 + p_partkey % 900 AS VARCHAR) AS n FROM part)"
+
+
+@register("f22_f23_product_family", f"WITH {_FAMILY_ROWS} SELECT p_partkey, CASE k WHEN 0 THEN 'PSC' || n || 'xD' WHEN 1 THEN 'PIC16F' || n || '/' || n WHEN 2 THEN 'TPS' || n || 'A, TPS' || n || 'B' WHEN 3 THEN 'LM1' || n || ', LM2' || n WHEN 4 THEN 'ESP' || n END AS family, CASE k WHEN 0 THEN 'wildcard' WHEN 1 THEN 'slash-list' WHEN 2 THEN 'list' WHEN 3 THEN 'near-identical' WHEN 4 THEN 'series' END AS rule FROM named")
 def f22(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", tt.family(_pick(_NAMES, F.col("p_partkey") % 7)).alias("f")).select("p_partkey", "f.family", "f.rule")
+    k, n = F.col("p_partkey") % 6, (F.col("p_partkey") % 900 + 100).cast("string")
+    j = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    forms = [j("PSC", n, "xD 32-bit Arm Cortex-M33"), j("PIC16F", n, "/", n, " Data Sheet rev2"), j("TPS", n, "A, TPS", n, "B Regulator LQFP48"), j("LM1", n, ", LM2", n, " Voltage Comparator"), j("ESP", n, " Series Datasheet"), j(F.col("p_name"), " Table2")]
+    return table(spark, sf_dir, "part").select("p_partkey", tt.family(F.get(F.array(*forms), k.cast("int"))).alias("f")).select("p_partkey", "f.family", "f.rule")
 
 
 @register("j07_token_pairs", "SELECT a.p_partkey, min(b.p_partkey) AS first_other, count(*) AS others FROM part a JOIN part b ON a.p_name[1:3] = b.p_name[1:3] AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey GROUP BY 1")
