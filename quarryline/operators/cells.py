@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 KEY = ["claim_id", "engine", "model"]
 
-# Gates on accuracy.
-FOUND_GATE, VALUE_GATE = 0.90, 0.80
-
-
 def has_error(c: str = "engine_error") -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
@@ -38,20 +34,6 @@ def share(condition: Column, of: Column | None = None) -> Column:
     return F.try_divide(F.count_if(of & condition).cast("double"), F.count_if(of).cast("double"))
 
 
-def gates(cells: DataFrame) -> DataFrame:
-    """One row: accuracies with their gates, rates and means, and the names of the gates that failed."""
-    found = F.coalesce(share(F.col("found_correct")), F.lit(0.0))
-    value = F.coalesce(share(F.col("value_pass"), F.col("found_expected")), F.lit(1.0))
-    out = cells.agg(
-        found.alias("found_accuracy"), value.alias("value_accuracy"),
-        F.coalesce(share(F.col("verdict") == "inconclusive", F.col("verdict").isNotNull()), F.lit(0.0)).alias("inconclusive_rate"),
-        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"), F.count_if(has_error()).alias("engine_errors"),
-    )
-    failed = F.array_compact(F.array(F.when(F.col("found_accuracy") < FOUND_GATE, F.lit("found")), F.when(F.col("value_accuracy") < VALUE_GATE, F.lit("value")), F.when(F.col("engine_errors") > 0, F.lit("errors"))))
-    code = F.when(F.array_contains("failed", "errors") | F.array_contains("failed", "found"), 1).when(F.size("failed") > 0, 2).otherwise(0)
-    return out.withColumn("failed", failed).withColumn("exit_code", code)
-
-
 def variance(cells: DataFrame) -> DataFrame:
     """For each model the mean and the sample deviation over its repeats of passes, confidence, latency and errors; no deviation of one repeat."""
     runs = cells.groupBy("model", "repeat").agg(F.count_if(passed()).alias("passes"), F.avg("confidence").alias("confidence"), F.avg("latency_s").alias("latency"), F.count_if(has_error()).alias("errors"))
@@ -76,9 +58,9 @@ def calibration(cells: DataFrame) -> DataFrame:
 
 
 def regressions(base: DataFrame, now: DataFrame) -> DataFrame:
-    """Cells that have come to fail or to break where both runs are ok."""
+    """Cells that have come to fail or to break, where the base's is ok."""
     b = base.filter("status = 'ok'").select(*KEY, F.col("verdict").alias("before"))
-    n = now.filter("status = 'ok'").select(*KEY, F.col("verdict").alias("after"), has_error().alias("broke"))
+    n = now.select(*KEY, F.col("verdict").alias("after"), has_error().alias("broke"))
     return b.join(n, KEY).filter(F.col("broke") | (F.col("before").isin("pass", "inconclusive") & (F.col("after") == "fail")))
 
 
@@ -146,3 +128,32 @@ def cost(cells: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFrame:
     table = F.create_map(*[x for m, (a, b) in prices.items() for x in (F.lit(m), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
     p = table[F.col("model")]
     return cells.withColumn("dollars", (F.col("input_tokens") * p.a + F.col("output_tokens") * p.b) / 1e6)
+
+
+def fallback_usage(results: DataFrame, traces: DataFrame, agentic: str = "agentic") -> DataFrame:
+    """Usage (input_tokens, output_tokens) by model, engine and claim with its source: a result's own, else its trace's.
+
+    Results that broke give none, and only agentic cells have traces.  Traces whose claim has no result that
+    was read are appended, unless they used nothing.
+    """
+    key = ["model", "engine", "claim_id"]
+    read = results.filter(~has_error()).select(*key, "input_tokens", "output_tokens")
+    traced = traces.select("model", F.lit(agentic).alias("engine"), "claim_id", F.col("input_tokens").alias("_in"), F.col("output_tokens").alias("_out"))
+    own = F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull()
+    joined = read.join(traced, key, "left").select(*key, F.when(own, F.col("input_tokens")).otherwise(F.col("_in")).alias("input_tokens"), F.when(own, F.col("output_tokens")).otherwise(F.col("_out")).alias("output_tokens"), F.when(own, "results").otherwise("traces").alias("source"))
+    alone = traced.join(read.select(*key), key, "left_anti").filter("_in <> 0 OR _out <> 0").select(*key, F.col("_in").alias("input_tokens"), F.col("_out").alias("output_tokens"), F.lit("traces").alias("source"))
+    return joined.filter("input_tokens IS NOT NULL").unionByName(alone)
+
+
+def matched_attempts(steps: DataFrame, cells: DataFrame, tools: list[str]) -> DataFrame:
+    """Attempts joined with the cell (model, claim_id) whose calls of the given tools are the same, counted by tool.
+
+    ``steps``: model, claim_id, run_id, tool_name, latency_ms; ``cells``: model, claim_id, n_tool_calls_by_tool.  For each
+    cell the number of attempts that match it, the least and the most of their tool time, and the spread of a tie.
+    """
+    local = steps.filter(F.col("tool_name").isin(tools) & F.col("latency_ms").isNotNull())
+    counts = local.groupBy("model", "claim_id", "run_id", "tool_name").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("latency_ms").alias("ms"))
+    runs = counts.groupBy("model", "claim_id", "run_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("tool_name", "n")))).alias("print"), F.sum("ms").alias("ms"))
+    wanted = F.filter(F.map_entries("n_tool_calls_by_tool"), lambda e: e.key.isin(tools))
+    asked = cells.select("model", "claim_id", F.to_json(F.array_sort(F.transform(wanted, lambda e: F.struct(e.key.alias("tool_name"), e.value.cast("int").alias("n"))))).alias("print"))
+    return runs.join(asked, ["model", "claim_id", "print"]).groupBy("model", "claim_id").agg(F.count(F.lit(1)).alias("attempts"), F.min("ms").alias("least_ms"), F.max("ms").alias("most_ms"), (F.max("ms") - F.min("ms")).alias("spread_ms"))
