@@ -19,7 +19,8 @@ def main() -> None:
     spark = SparkSession.builder.appName("quarryline").getOrCreate()
     docs, key = spark.read.parquet(args.source), options.Options().key()
     old = spark.read.schema(manifest.MANIFEST).parquet(f"{args.out}/manifest/version={args.version - 1}") if args.version > 1 else spark.createDataFrame([], manifest.MANIFEST)
-    index.manifest(manifest.to_build(docs, old, key)).write.mode("append").parquet(f"{args.out}/rows")
+    # a version's rows are replaced when it is written again; a reader takes each document's last version (artifacts.current)
+    index.manifest(manifest.to_build(docs, old, key)).write.mode("overwrite").parquet(f"{args.out}/rows/version={args.version}")
     manifest.publish(spark, manifest.fingerprint(docs, key).withColumn("complete", F.lit(True)), f"{args.out}/manifest", args.version)
 
 

@@ -13,11 +13,11 @@ LINES_A_PAGE = 25
 
 
 def pages(docs: DataFrame) -> DataFrame:
-    """Pages of 25 lines, made inside each document's row."""
-    lines = F.split("text", "\n")
+    """Pages of 25 lines, made inside each document's row; a null text is one empty page."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     numbers = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / LINES_A_PAGE).cast("int"))
     made = F.transform(numbers, lambda k: F.array_join(F.slice(lines, k * LINES_A_PAGE + 1, F.lit(LINES_A_PAGE)), "\n"))
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(made).alias("k", "page_text")).select("doc_id", (F.col("k") + 1).cast("long").alias("page"), "page_text")
+    return docs.select("doc_id", F.posexplode(made).alias("k", "page_text")).select("doc_id", (F.col("k") + 1).cast("long").alias("page"), "page_text")
 
 
 def manifest(docs: DataFrame) -> DataFrame:

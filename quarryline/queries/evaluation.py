@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cells as c
+from ..operators import claims, gates
 from ..operators import grading as g
 from ..operators import stats as st
 from ..operators import traces as tr
@@ -50,9 +51,43 @@ def p22(spark, sf_dir):
     return cells(spark, sf_dir).groupBy("engine", "model").agg(F.count_if(c.outage()).alias("outages"))
 
 
-@register("a08_a14_gates", f"WITH {_C}, m AS (SELECT avg(CASE WHEN found_correct THEN 1.0 ELSE 0.0 END) AS found_accuracy, avg(CASE WHEN value_pass THEN 1.0 ELSE 0.0 END) FILTER (WHERE found_expected) AS value_accuracy, avg(CASE WHEN verdict = 'inconclusive' THEN 1.0 ELSE 0.0 END) AS inconclusive_rate, avg(confidence) AS mean_confidence, CAST(sum(CASE WHEN engine_error <> '' THEN 1 ELSE 0 END) AS BIGINT) AS engine_errors FROM cells) SELECT *, CASE WHEN engine_errors > 0 OR found_accuracy < .9 THEN 1 WHEN value_accuracy < .8 THEN 2 ELSE 0 END AS exit_code FROM m")
+# The cells with what the gates read besides: protocol errors, measured values, steps, calls and errors of two tools.
+_GATED = f"gated AS (SELECT *, CASE WHEN q % 29 = 0 THEN 'no data' END AS repro_error, CASE WHEN q % 23 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(q AS DOUBLE) END AS measured_value, CASE WHEN q % 2 = 0 THEN 'Stub' ELSE 'typical' END AS sigma_basis, n % 60 AS n_steps, q % 3 AS n_read, q % 2 AS n_verify, CASE WHEN q % 5 = 0 THEN 1 ELSE 0 END AS n_bad FROM cells), now AS (SELECT * FROM gated WHERE repeat = 2), base AS (SELECT * FROM gated WHERE repeat = 1)"
+
+
+def gated(spark, sf_dir):
+    rows = view(spark, sf_dir, f"WITH {_C}, {_GATED.split(', now AS')[0]} SELECT * FROM gated")
+    calls = F.map_from_arrays(F.array(F.lit("get_section_text"), F.lit("search_text")), F.array(F.col("n_read").cast("int"), F.col("n_verify").cast("int")))
+    return rows.withColumn("n_tool_calls_by_tool", calls).withColumn("n_tool_errors_by_tool", F.create_map(F.lit("search_text"), F.col("n_bad").cast("int")))
+
+
+def _gates(spark, sf_dir):
+    rows = gated(spark, sf_dir)
+    now = rows.filter("repeat = 2")
+    early = now.filter("engine = 'O' AND q % 4 <> 0").select("model", (F.col("q") % 6).alias("early_calls"))
+    return gates.gate_rows(now, rows.filter("repeat = 1"), early, agentic="O")
+
+
+_GATE_ROWS = f"""WITH {_C}, {_GATED},
+own AS (SELECT model, coalesce(avg(CASE WHEN found_correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE engine = 'O'), 0) AS H1_found_accuracy, coalesce(avg(CASE WHEN value_pass THEN 1.0 ELSE 0.0 END) FILTER (WHERE engine = 'O' AND found_expected), 1) AS H2_value_accuracy,
+  count(*) FILTER (WHERE engine_error <> '') AS H4_engine_errors, count(*) FILTER (WHERE repro_error IS NOT NULL OR (isnan(measured_value) AND sigma_basis <> 'Stub')) AS H5_protocol_errors, coalesce(avg(CASE WHEN verdict = 'inconclusive' THEN 1.0 ELSE 0.0 END) FILTER (WHERE engine = 'O'), 0) AS S1_inconclusive_rate,
+  sum(n_bad) FILTER (WHERE engine = 'O') / nullif(sum(n_verify) FILTER (WHERE engine = 'O'), 0) AS search_rate, sum(n_read) FILTER (WHERE engine = 'O') AS reads, avg(confidence) AS S3_mean_confidence, coalesce(avg(n_steps) FILTER (WHERE engine = 'O'), 0) AS S4_mean_trace_length,
+  count(*) FILTER (WHERE engine = 'O' AND overall_pass AND (n_read + n_verify = 0 OR n_verify = 0)) AS S9_silent_failures, avg(CASE WHEN q % 6 > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE engine = 'O' AND q % 4 <> 0) AS S8_contamination_rate FROM now GROUP BY 1),
+pair AS (SELECT model, claim_id, engine, b.verdict AS bv, n.verdict AS nv, b.status AS bs, b.q AS bq, n.q AS nq, n.engine_error <> '' AS broke FROM base b FULL JOIN now n USING (model, claim_id, engine)),
+ch AS (SELECT model, count(*) FILTER (WHERE engine = 'O' AND bv IN ('pass', 'inconclusive') AND nv = 'fail') AS H3_regressions, count(*) FILTER (WHERE bs = 'ok' AND (broke OR (bv IN ('pass', 'inconclusive') AND nv = 'fail'))) AS H6_model_regressions,
+  count(*) FILTER (WHERE engine = 'O' AND ((bv = 'pass' AND nv = 'inconclusive') OR (bv = 'inconclusive' AND nv = 'pass'))) AS S5_verdict_drift, count(*) FILTER (WHERE engine = 'O' AND (bq IS NULL OR nq IS NULL)) AS S6_coverage_gap, count(*) FILTER (WHERE bs = 'not_applicable' AND NOT broke) AS S7_improvements FROM pair GROUP BY 1),
+wide AS (SELECT *, CASE WHEN search_rate IS NOT NULL THEN search_rate WHEN reads > 0 THEN 0 END AS S2_tool_error_rate FROM own LEFT JOIN ch USING (model)),
+g AS ({" UNION ALL ".join(f"SELECT model, '{name}' AS gate, {str(hard).lower()} AS hard, CAST({name} AS DOUBLE) AS value, coalesce({name} {'<' if side == 'below' else '>'} {bound}, false) AS failed FROM wide" for name, hard, side, bound in gates.GATES)})"""
+
+
+@register("a08_a14_gates", f"{_GATE_ROWS} SELECT model, gate, hard, value, failed FROM g")
 def a08(spark, sf_dir):
-    return c.gates(cells(spark, sf_dir)).drop("failed")
+    return _gates(spark, sf_dir).select("model", "gate", "hard", "value", "failed")
+
+
+@register("a14_gate_outcome", f"{_GATE_ROWS} SELECT model, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE hard AND failed), '') AS hard_failures, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE NOT hard AND failed), '') AS warnings, CASE WHEN bool_or(hard AND failed) THEN 1 WHEN bool_or(failed) THEN 2 ELSE 0 END AS exit_code FROM g GROUP BY 1")
+def a14(spark, sf_dir):
+    return gates.outcome(_gates(spark, sf_dir)).select("model", F.array_join("hard_failures", ",").alias("hard_failures"), F.array_join("warnings", ",").alias("warnings"), "exit_code")
 
 
 _STATS = ", ".join(f"{f}({x}) AS {x}_{n}" for x in ("passes", "confidence", "latency", "errors") for n, f in (("mean", "avg"), ("std", "stddev_samp")))
@@ -141,7 +176,7 @@ def j20(spark, sf_dir):
 _PAIR = f"WITH {_C}, b AS (SELECT * FROM cells WHERE repeat = 1), n AS (SELECT * FROM cells WHERE repeat = 2)"
 
 
-@register("j09_j12_regressions", f"{_PAIR} SELECT claim_id, engine, model, b.verdict AS before, n.verdict AS after FROM b JOIN n USING (claim_id, engine, model) WHERE b.status = 'ok' AND n.status = 'ok' AND (n.engine_error <> '' OR (b.verdict IN ('pass', 'inconclusive') AND n.verdict = 'fail'))")
+@register("j09_j12_regressions", f"{_PAIR} SELECT claim_id, engine, model, b.verdict AS before, n.verdict AS after FROM b JOIN n USING (claim_id, engine, model) WHERE b.status = 'ok' AND (n.engine_error <> '' OR (b.verdict IN ('pass', 'inconclusive') AND n.verdict = 'fail'))")
 def j09(spark, sf_dir):
     return c.regressions(*_runs(spark, sf_dir)).drop("broke")
 
@@ -161,10 +196,13 @@ def j13(spark, sf_dir):
     return c.improvements(*_runs(spark, sf_dir))
 
 
-@register("j14_cost_fallback", "SELECT c_custkey, coalesce(t.spent, c_acctbal) AS spent FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1) t ON o_custkey = c_custkey")
+# Results are the cells of repeat 1, some without usage; traces are those of repeat 2.
+@register("j14_cost_fallback", f"WITH {_C}, r AS (SELECT model, engine, claim_id, CASE WHEN q % 3 <> 0 THEN input_tokens END AS i, CASE WHEN q % 3 <> 0 THEN output_tokens END AS o FROM cells WHERE repeat = 1 AND engine_error = '' AND q % 11 <> 0), t AS (SELECT model, 'O' AS engine, claim_id, input_tokens AS ti, output_tokens AS t_o FROM cells WHERE repeat = 2 AND engine = 'O') SELECT model, engine, claim_id, coalesce(i, ti) AS input_tokens, coalesce(o, t_o) AS output_tokens, CASE WHEN i IS NOT NULL THEN 'results' ELSE 'traces' END AS source FROM r LEFT JOIN t USING (model, engine, claim_id) WHERE coalesce(i, ti) IS NOT NULL UNION ALL SELECT model, engine, claim_id, ti, t_o, 'traces' FROM t ANTI JOIN r USING (model, engine, claim_id) WHERE ti <> 0 OR t_o <> 0")
 def j14(spark, sf_dir):
-    spent = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("t"))
-    return table(spark, sf_dir, "customer").join(spent, "c_custkey", "left").select("c_custkey", F.coalesce("t", "c_acctbal").alias("spent"))
+    rows = cells(spark, sf_dir)
+    usage = [F.when(F.col("q") % 3 != 0, F.col(x)).alias(x) for x in ("input_tokens", "output_tokens")]
+    results = rows.filter("repeat = 1 AND q % 11 <> 0").select("model", "engine", "claim_id", "engine_error", *usage)
+    return c.fallback_usage(results, rows.filter("repeat = 2 AND engine = 'O'"), agentic="O")
 
 
 @register("j15_latest_source", f"WITH {_C}, r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, engine, model ORDER BY repeat DESC) AS rn FROM cells) SELECT claim_id, engine, model, repeat, q FROM r WHERE rn = 1")
@@ -188,20 +226,19 @@ def j17(spark, sf_dir):
 
 @register("j18_permutation_control", "SELECT a.item_id, count(*) AS others FROM benchmark a JOIN benchmark b ON a.item_id <> b.item_id WHERE list_bool_and(list_transform(string_split(a.text, ' ')[1:2], lambda w: contains(lower(b.text), lower(w)))) GROUP BY 1")
 def j18(spark, sf_dir):
-    # the control's claims are a stated set: each one's needles are looked up among the words of the others
-    from ..functions.text import contains_all
-
     b = table(spark, sf_dir, "benchmark")
-    asked = b.select(F.col("item_id").alias("a_id"), F.slice(F.split("text", " "), 1, 2).alias("needles"))
-    asked = asked.withColumn("first", F.lower(F.col("needles")[0]))
-    return asked.join(b, (F.col("a_id") != F.col("item_id")) & F.contains(F.lower("text"), F.col("first")) & contains_all(F.col("text"), F.col("needles"))).groupBy(F.col("a_id").alias("item_id")).agg(F.count(F.lit(1)).alias("others"))
+    needles = b.select("item_id", F.explode(F.array_distinct(F.transform(F.slice(F.split("text", " "), 1, 2), F.lower))).alias("needle"))
+    return claims.permutation_control(needles, b.select("item_id", "text"))
 
 
-@register("j19_fingerprint_join", "WITH f AS (SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1) SELECT k, count(*) AS runs, max(user_id) - min(user_id) AS spread FROM f GROUP BY 1")
+# A step for each unit of a cell's calls; the cell's own map is that of repeat 1, so other repeats match it where their calls are the same.
+@register("j19_fingerprint_join", f"WITH {_C}, k AS (SELECT model, engine || claim_id AS claim_id, repeat, q % 3 AS a, q % 2 AS b, q FROM cells), r AS (SELECT *, CAST(a * (q % 100) + b * (q % 100) AS DOUBLE) AS ms FROM k WHERE a + b > 0) SELECT r.model, r.claim_id, count(*) AS attempts, min(r.ms) AS least_ms, max(r.ms) AS most_ms, max(r.ms) - min(r.ms) AS spread_ms FROM r JOIN k c ON c.repeat = 1 AND c.model = r.model AND c.claim_id = r.claim_id AND c.a = r.a AND c.b = r.b GROUP BY 1, 2")
 def j19(spark, sf_dir):
-    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    keyed = counts.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "n"))), lambda x: F.concat_ws(":", x.event_type, x.n)), ",").alias("k"))
-    return keyed.groupBy("k").agg(F.count(F.lit(1)).alias("runs"), (F.max("user_id") - F.min("user_id")).alias("spread"))
+    rows = cells(spark, sf_dir).select("model", F.concat("engine", "claim_id").alias("claim_id"), F.col("repeat").alias("run_id"), (F.col("q") % 3).cast("int").alias("a"), (F.col("q") % 2).cast("int").alias("b"), (F.col("q") % 100).cast("double").alias("latency_ms"))
+    calls = F.concat(F.array_repeat(F.lit("search_text"), F.col("a")), F.array_repeat(F.lit("inspect_page"), F.col("b")), F.array(F.lit("submit")))
+    steps_ = rows.select("model", "claim_id", "run_id", "latency_ms", F.explode(calls).alias("tool_name"))
+    own = F.map_filter(F.map_from_arrays(F.array(F.lit("search_text"), F.lit("inspect_page"), F.lit("submit")), F.array("a", "b", F.lit(1))), lambda _, n: n > 0)
+    return c.matched_attempts(steps_, rows.filter("run_id = 1").select("model", "claim_id", own.alias("n_tool_calls_by_tool")), ["search_text", "inspect_page"])
 
 
 @register("j26_patch_merge", f"WITH {_C}, r AS (SELECT claim_id, engine, model, repeat, true AS p FROM cells WHERE engine_error = 'all pods are down' AND q % 2 = 0) SELECT claim_id, engine, model, repeat, coalesce(r.p, overall_pass) AS overall_pass, CASE WHEN r.p THEN '' ELSE engine_error END AS engine_error FROM cells LEFT JOIN r USING (claim_id, engine, model, repeat)")
@@ -328,15 +365,26 @@ def f27b(spark, sf_dir):
     return found.select("l_orderkey", g.list_share(F.col("s"), F.array(F.lit("a"), F.lit("n"))).alias("share"))
 
 
-@register("j22_rederivation", "SELECT a.o_custkey, list_sort(list_distinct(list(a.o_orderpriority))) = list_sort(list_distinct(list(a.o_orderstatus || a.o_orderpriority[2:]))) AS same FROM orders a GROUP BY 1")
+# Claims from parts: needles of the brand, the size and words of the type; the second annotator's differ for some.
+@register("j22_rederivation", """WITH p AS (SELECT p_partkey AS id, list_sort(list_distinct([CAST(p_size AS VARCHAR), p_brand])) AS num, list_sort(list_distinct([lower(x) FOR x IN string_split(p_type, ' ')])) AS words,
+  CASE WHEN p_partkey % 7 = 0 THEN [] ELSE list_sort(list_distinct([CAST(p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR), p_brand])) END AS num2, CASE WHEN p_partkey % 5 = 0 THEN list_sort(list_distinct([lower(x) FOR x IN string_split(p_type, ' ')][1:1])) ELSE list_sort(list_distinct([lower(x) FOR x IN string_split(p_type, ' ')])) END AS words2 FROM part),
+s AS (SELECT id, id % 7 <> 0 AS answered, id % 7 <> 0 AND num = num2 AS same_numbers, id % 7 <> 0 AND words = words2 AS same_words, id % 7 <> 0 AND CASE id % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE id % 2 = 0 END AS same_floor FROM p) SELECT *, same_numbers AND same_words AND same_floor AS exact FROM s""")
 def j22(spark, sf_dir):
-    theirs = F.array_sort(F.collect_set(F.concat("o_orderstatus", F.expr("substring(o_orderpriority, 2)"))))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.array_sort(F.collect_set("o_orderpriority")) == theirs).alias("same"))
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    words = F.split("p_type", " ")
+    ours = part.select(k.alias("id"), F.concat(F.array(F.col("p_size").cast("string"), F.concat(F.lit(" "), "p_brand")), words).alias("value_contains"), F.when(k % 4 != 0, F.lit(0.5)).alias("confidence_min"))
+    their_words = F.transform(F.when(k % 5 == 0, F.slice(words, 1, 1)).otherwise(words), F.lower)
+    given = F.concat(F.array((F.col("p_size") + F.when(k % 3 == 0, 1).otherwise(0)).cast("string"), F.col("p_brand")), their_words)
+    floor = F.when(k % 4 == 0, F.lit(0.85)).when(k % 4 == 1, F.lit(None)).when(k % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.6))
+    theirs = part.filter(k % 7 != 0).select(k.alias("id"), given.alias("value_contains"), floor.alias("confidence_min"))
+    return claims.rederivation(ours, theirs)
 
 
-@register("j28_two_phase_merge", "SELECT o_orderkey, o_orderstatus, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+@register("j28_two_phase_merge", "SELECT o_orderkey, o_orderstatus, o_totalprice, l.n AS measured FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_orderkey = o_orderkey")
 def j28(spark, sf_dir):
-    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderstatus", "c_mktsegment")
+    first = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(-1).alias("measured"))
+    second = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("measured"))
+    return claims.merged_phases(first, second, "o_orderkey", ["measured"])
 
 
 @register("a44_chronology", "SELECT o_orderstatus, CAST(sum(CASE WHEN o_orderdate > TIMESTAMP '1997-01-01' THEN 1 ELSE 0 END) AS BIGINT) AS after, CAST(sum(CASE WHEN o_orderdate <= TIMESTAMP '1997-01-01' THEN 1 ELSE 0 END) AS BIGINT) AS before FROM orders GROUP BY 1")
@@ -358,7 +406,11 @@ def l06(spark, sf_dir):
     return d.withColumn("place", F.row_number().over(Window.orderBy(F.when(F.col("engine") == "O", 0).otherwise(1), "claim_id")))
 
 
-@register("a31_inconclusive_taxonomy", f"WITH {_C} SELECT CASE WHEN engine_error <> '' THEN 'engine' WHEN q % 5 = 0 THEN 'absent' ELSE 'uncertain' END AS class, count(*) AS n FROM cells WHERE verdict = 'inconclusive' GROUP BY 1")
+_WHY = "CASE WHEN q % 6 = 0 THEN 'an engagement-diagnostic run' WHEN q % 6 = 1 THEN 'the setup cannot resolve this claim' ELSE 'conditions differ' END"
+_UNMATCHED = "CASE q % 4 WHEN 0 THEN 'Reference diode' WHEN 1 THEN 'supply ripple' WHEN 2 THEN 'die temperature' ELSE 'controlled load' END"
+
+
+@register("a31_inconclusive_taxonomy", f"WITH {_C}, one AS (SELECT *, {_WHY} AS why, lower({_UNMATCHED}) AS names, row_number() OVER (PARTITION BY claim_id ORDER BY CASE engine WHEN 'O' THEN 0 ELSE 1 END, model) AS rn FROM cells WHERE repeat = 1), k AS (SELECT claim_id, CASE WHEN contains(why, 'engagement-diagnostic') THEN 'engagement_only' WHEN contains(why, 'cannot resolve this claim') THEN 'resolution_limited' WHEN contains(names, 'reference') THEN 'no_reference' ELSE 'unmatched_condition' END AS class, CASE WHEN contains(why, 'engagement-diagnostic') THEN 'engagement_only' WHEN contains(why, 'cannot resolve this claim') THEN 'resolution_limited' WHEN contains(names, 'reference') THEN 'no_reference' WHEN regexp_matches(names, 'controlled|ripple|sweep') THEN 'uncontrolled_stimulus' ELSE 'unobservable_internal' END AS sub_class FROM one WHERE rn = 1 AND verdict = 'inconclusive') SELECT class, sub_class, count(*) AS claims, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids FROM k GROUP BY 1, 2")
 def a31(spark, sf_dir):
-    kind = F.when(c.has_error(), "engine").when(~F.col("found_expected"), "absent").otherwise("uncertain")
-    return cells(spark, sf_dir).filter("verdict = 'inconclusive'").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    rows = cells(spark, sf_dir).filter("repeat = 1").withColumn("rationale", F.expr(_WHY)).withColumn("unmatched_conditions", F.array(F.expr(_UNMATCHED)))
+    return claims.inconclusive_taxonomy(rows, ("O", "F")).withColumn("claim_ids", F.array_join("claim_ids", ","))

@@ -45,10 +45,15 @@ def x07(spark, sf_dir):
     return enrich.captioned(figures, lambda asked: [f"picture {a}" for a in asked], 1000).select("doc_id", "seq", "caption")
 
 
-@register("k10_report", "SELECT count(*) + 2 AS lines FROM region")
+@register("k10_report", """WITH r AS (SELECT n_nationkey, n_name, count(c_custkey) AS customers, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT 'markdown' AS form, k + 1 AS line, '| ' || n_nationkey || ' | ' || n_name || ' | ' || customers || ' |' AS body FROM r UNION ALL SELECT 'latex', k + 1, n_nationkey || ' & ' || replace(n_name, '_', '\\_') || ' & ' || customers || ' \\\\' FROM r
+UNION ALL VALUES ('markdown', 0, '| n_nationkey | n_name | customers |'), ('markdown', 1, '| --- | --- | --- |'), ('latex', 0, '\\begin{tabular}{lll}'), ('latex', 1, 'n\\_nationkey & n\\_name & customers \\\\')
+UNION ALL SELECT 'latex', max(k) + 2, '\\end{tabular}' FROM r""")
 def k10(spark, sf_dir):
-    text = render.markdown(table(spark, sf_dir, "region").orderBy("r_regionkey"))
-    return spark.range(1).select(F.size(F.split(F.lit(text), "\n")).cast("long").alias("lines"))
+    customers = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    rows = table(spark, sf_dir, "nation").join(customers, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("customers", F.lit(0)).alias("customers")).orderBy("n_nationkey")
+    found = [(form, k, body) for form, text in (("markdown", render.markdown(rows)), ("latex", render.latex(rows))) for k, body in enumerate(text.split("\n"))]
+    return spark.createDataFrame(found, "form string, line long, body string")
 
 
 @register("f35_outline_replies", "SELECT p_partkey, [p_name] AS titles, [p_size] AS pages FROM part")

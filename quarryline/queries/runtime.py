@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import index, manifest
+from ..plans import artifacts, index, manifest
 from ..session import shared_folder
 from ..sources import files
 from ..streaming import logs
-from . import register, table
+from . import register, table, view
 from .evaluation import _C, cells
 
 
@@ -43,9 +43,32 @@ def m18(spark, sf_dir):
     return index.manifest(table(spark, sf_dir, "documents")).select("doc_id", "pages")
 
 
-@register("m18_manifest_json", None)
+@register("m18_manifest_json", "SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"pages\":' || ((len(string_split(text, chr(10))) + 24) // 25) || ',\"chars\":' || (length(text) - (len(string_split(text, chr(10))) - 1) // 25) AS start FROM documents")
 def m18_json(spark, sf_dir):
-    return index.manifest(table(spark, sf_dir, "documents")).select("doc_id", "manifest")
+    return index.manifest(table(spark, sf_dir, "documents")).select("doc_id", F.regexp_extract("manifest", r'^(.*?"chars":\d+)', 1).alias("start"))
+
+
+# An order is a document, its line items are sections on two levels; its discounts are figures.
+_ORDERED = "sections AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, 'item ' || l_partkey AS title, l_linenumber AS start_page, l_linenumber + 1 AS end_page, l_suppkey % 3 AS table_count FROM lineitem WHERE l_orderkey % 5 <> 0), two AS (SELECT *, 2 - seq % 2 AS depth FROM sections)"
+
+
+@register("m18_artifact_manifest", f"""WITH {_ORDERED}, o AS (SELECT *, lead(depth) OVER w AS nd FROM two WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+e AS (SELECT doc_id, seq, CASE WHEN depth = 1 AND seq > 1 THEN ',' ELSE '' END || '{{"title":"' || title || '","start_page":' || start_page || ',"end_page":' || end_page || CASE WHEN table_count > 0 THEN ',"table_count":' || table_count ELSE '' END || CASE WHEN depth = 1 THEN CASE WHEN nd = 2 THEN ',"nodes":[' ELSE '}}' END ELSE '}}]}}' END AS t FROM o),
+toc AS (SELECT doc_id, '[' || string_agg(t, '' ORDER BY seq) || ']' AS toc FROM e GROUP BY 1)
+SELECT o_orderkey AS doc_id, '{{"source":"' || o_orderstatus || '","total_pages":9,"json_path":null,"text_path":null,"toc_quality":null,"toc_source":null,"toc":' || coalesce(toc, '[]') || ',"figures":{{"total":0,"raster":0,"captioned":0,"pages":[]}}' || CASE WHEN o_orderkey % 4 = 0 THEN ',"figure_captions_blocked":true' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN ',"multi_variant":{{"family":"F' || o_custkey || '"}}' ELSE '' END || CASE WHEN toc IS NULL THEN ',"hint":"{artifacts.NO_TOC_HINT}"' ELSE '' END || '}}' AS manifest FROM orders LEFT JOIN toc ON toc.doc_id = o_orderkey""")
+def m18_artifacts(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("source"), F.lit(9).alias("total_pages"), (F.col("o_orderkey") % 4 == 0).alias("captions_blocked"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("F"), "o_custkey")).alias("family"))
+    sections = view(spark, sf_dir, f"WITH {_ORDERED} SELECT * FROM two")
+    return artifacts.artifact_manifest(docs, sections)
+
+
+@register("k02_deliverables", """WITH lines AS (SELECT doc_id, source, UNNEST(range(len(string_split(text, chr(10))))) AS line, UNNEST(string_split(text, chr(10))) AS line_text FROM documents), pages_ AS (SELECT doc_id, CAST(line // 25 + 1 AS BIGINT) AS page, string_agg(line_text, chr(10) ORDER BY line) AS page_text FROM lines GROUP BY 1, 2),
+s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents), t AS (SELECT doc_id, string_agg('--- PAGE ' || page || ' ---' || chr(10) || page_text, chr(10) ORDER BY page) AS text FROM pages_ GROUP BY 1)
+SELECT doc_id, regexp_replace(source, '[<>:"/\\\\|?*]', '_', 'g') || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END || '.txt' AS text_name, sha256(text) AS text_sha256 FROM s JOIN t USING (doc_id)""")
+def k02_pair(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    pair = artifacts.deliverables(index.pages(docs), index.manifest(docs), docs.select("doc_id", F.col("source").alias("name")))
+    return pair.select("doc_id", "text_name", F.sha2("text", 256).alias("text_sha256"))
 
 
 @register("k01_k09_text_sink", f"WITH {_C} SELECT claim_id, engine, count(*) AS n FROM cells GROUP BY 1, 2")
@@ -153,10 +176,21 @@ def j24(spark, sf_dir):
     return cells(spark, sf_dir).groupBy("model").agg(F.count_if(F.col("overall_pass") != (F.col("q") % 10 < 7)).alias("flips"))
 
 
-@register("j29_leak_audit", "SELECT p_brand, list_sort(list_distinct(list(p_size))) AS sizes FROM part WHERE regexp_matches(' ' || p_retailprice || ' ', '[^0-9]9[0-9]*[^0-9]') GROUP BY 1")
+# Needles are the sizes, prices and brands of a few parts; files are line comments of documents with some of them.
+@register("j29_leak_audit", """WITH needles AS (SELECT DISTINCT CAST(p_size * 37 + 100 AS VARCHAR) AS needle FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT lower(split_part(p_type, ' ', 1)) FROM part),
+files AS (SELECT p_partkey AS file_id, p_name || ' 1.' || (p_size * 37 + 100) || ' of ' || p_retailprice || ' and ' || (p_size * 37 + 100) || CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE '5' END || ' ' || lower(p_type) AS text FROM part),
+hits AS (SELECT file_id, needle FROM files JOIN needles ON length(needle) >= 3 AND regexp_matches(' ' || text, '[^0-9.]' || regexp_escape(needle) || '([^0-9]|$)'))
+SELECT file_id, list_sort(list(needle) FILTER (WHERE regexp_matches(needle, '[0-9]'))) AS leaked, list_sort(list(needle) FILTER (WHERE NOT regexp_matches(needle, '[0-9]'))) AS exposed FROM hits GROUP BY 1""")
 def j29(spark, sf_dir):
-    price = F.col("p_retailprice").cast("string")
-    return table(spark, sf_dir, "part").filter(F.rlike(price, F.lit(r"(?<!\d)9\d*(?!\d)"))).groupBy("p_brand").agg(F.array_sort(F.collect_set("p_size")).alias("sizes"))
+    from ..operators import claims
+
+    part = table(spark, sf_dir, "part")
+    code = (F.col("p_size") * 37 + 100).cast("string")
+    needles = part.select(F.explode(F.array(code, "p_brand", F.lower(F.split("p_type", " ")[0]))).alias("needle"))
+    text = F.concat("p_name", F.lit(" 1."), code, F.lit(" of "), F.col("p_retailprice").cast("string"), F.lit(" and "), code, F.when(F.col("p_partkey") % 3 == 0, "x").otherwise("5"), F.lit(" "), F.lower("p_type"))
+    found = claims.leak_audit(needles, part.select(F.col("p_partkey").alias("file_id"), text.alias("text")))
+    empty = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    return found.select("file_id", empty("leaked"), empty("exposed"))
 
 
 @register("a09_a11_rates", f"WITH {_C} SELECT engine, avg(CASE WHEN verdict = 'inconclusive' THEN 1.0 ELSE 0.0 END) AS inconclusive, avg(confidence) AS confidence, avg(n) FILTER (WHERE engine = 'O') AS trace_length FROM cells GROUP BY 1")
@@ -247,11 +281,29 @@ def m06(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_discount").alias("x0"), F.max("l_discount").alias("x1"), F.min("l_tax").alias("y0"), F.max("l_tax").alias("y1"))
 
 
-@register("f34_f36_json_replies", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events")
+# Replies in four forms, from the columns of parts; strings hold words that are literals elsewhere.
+@register("f34_json_replies", "SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN p_size END AS size, CASE WHEN p_partkey % 5 < 4 THEN p_name || ' (None = \"True\")' END AS name, CASE WHEN p_partkey % 5 < 4 THEN p_size > 20 END AS found FROM part")
 def f34(spark, sf_dir):
-    reply = F.concat(F.lit("Here it is:\n```json\n["), "props", F.lit("]\n```"))
-    body = F.regexp_extract(reply, r"(?s)(\[.*\])", 1)
-    return table(spark, sf_dir, "events").select("event_id", F.from_json(body, "array<struct<k:bigint>>")[0].k.alias("k"))
+    from ..functions.replies import parsed_reply
+
+    part = table(spark, sf_dir, "part")
+    name, flag = F.concat(F.lit('"'), "p_name", F.lit(r' (None = \"True\")"')), F.col("p_size") > 20
+    body = F.concat(F.lit('{"size": '), "p_size", F.lit(', "name": '), name, F.lit(', "found": '), flag.cast("string"), F.lit("}"))
+    call = F.concat(F.lit("Output(size="), "p_size", F.lit(", name = "), name, F.lit(", found="), F.when(flag, "True").otherwise("False"), F.lit(', more={"a": [None, True]})'))
+    k = F.col("p_partkey") % 5
+    reply = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n``` so far"))).when(k == 2, F.concat(F.lit("```\n"), body, F.lit("```"))).when(k == 3, call).otherwise(F.concat(F.lit("no "), body))
+    read = F.from_json(parsed_reply(reply), "struct<size:long,name:string,found:boolean>")
+    return part.select("p_partkey", read.alias("r")).select("p_partkey", "r.size", "r.name", "r.found")
+
+
+@register("f36_label_replies", "SELECT event_id, CASE WHEN event_type IN ('view', 'click', 'purchase') AND event_id % 4 <> 3 THEN event_type END AS label, CASE WHEN event_id % 4 <> 3 THEN 'on ' || user_id ELSE '' END AS note FROM events")
+def f36(spark, sf_dir):
+    from ..functions.replies import reply_label
+
+    body = F.concat(F.lit('{"label": "'), "event_type", F.lit('", "note": "on '), "user_id", F.lit('"}'))
+    k = F.col("event_id") % 4
+    reply = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Well:\n```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("```"), body, F.lit("``` done"))).otherwise(F.concat(F.lit("It is "), body))
+    return table(spark, sf_dir, "events").select("event_id", reply_label(reply, ["view", "click", "purchase"]).alias("r")).select("event_id", "r.label", "r.note")
 
 
 @register("m12_m21_coercions", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS flag, o_orderkey % 500 IN (401, 403) AS permanent FROM orders")
@@ -266,14 +318,6 @@ def m17(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.array_contains(marks, (F.col("o_orderkey") % 30).cast("int"))).alias("kept"))
 
 
-@register("f21_family_notes", "SELECT p_partkey, p_partkey % 7 < 5 AS noted FROM part")
-def f21(spark, sf_dir):
-    from ..functions import titles as tt
-    from .texts import _NAMES, _pick
-
-    return table(spark, sf_dir, "part").select("p_partkey", tt.family(_pick(_NAMES, F.col("p_partkey") % 7)).isNotNull().alias("noted"))
-
-
 @register("x01_table_functions", None)
 def x01(spark, sf_dir):
     """The section reader as a SQL table function over a page's text."""

@@ -41,10 +41,32 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_written: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``); one of the driver's own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``).
+
+    Where none is set, a local session gets one of the driver's own; on a cluster that is an error, as
+    executors would write to their own disks.  ``release`` deletes the folders.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quarryline-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quarryline/{name}-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        context.setCheckpointDir(base)
+    folder = f"{base.rstrip('/')}/quarryline/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(context.applicationId, []).append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this application has written to shared folders, once results that read it are stored; gives their number."""
+    context, gone = spark.sparkContext, 0
+    for folder in _written.pop(context.applicationId, []):
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        gone += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
