@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as tx
 from quarryline.functions import titles as tt
-from quarryline.operators import cells, evidence, grading, layout, search, sensors, stats, toc, traces
+from quarryline.operators import cells, evidence, gates, grading, layout, reads, search, sensors, stats, toc, traces
 from quarryline.plans import index, manifest
 from quarryline.sources import files
 
@@ -94,7 +94,7 @@ def test_families(spark, title, rule):
 
 @pytest.mark.parametrize(
     ("title", "name"),
-    [("Revision History", "revision"), ("Important Notice", "legal"), ("Ordering Information (Continued)", "ordering"), ("Package Outlines", "mechanical"), ("Contents", "toc"), ("Glossary", "glossary"), ("Contact Information", "contact"), ("Electrical Characteristics", ""), ("Appendix A: 1. Ordering Information: (cont.).", "ordering"), ("Civil Index", "")],
+    [("Revision History", "revision"), ("Important Notice", "legal"), ("Ordering Information (Continued)", "ordering"), ("Package Outlines", "mechanical"), ("Contents", "toc"), ("Glossary", "glossary"), ("Contact Information", "contact"), ("Electrical Characteristics", ""), ("Appendix A: 1. Ordering Information: (cont.).", "ordering"), ("Civil Index", ""), ("3.Ordering Information", "ordering"), ("A)Glossary", "glossary"), ("a. Glossary", "glossary"), ("12.3.4 Revision History", "revision"), ("A Glossary of Terms", ""), ("Annex B - Trademarks;", ""), ("Index (Continued):", "toc"), ("\u00a02: Contents\t", "toc"), ("", ""), ("...", "")],
 )
 def test_boilerplate(spark, title, name):
     assert _one(spark, tt.boilerplate_class(F.lit(title))) == name
@@ -115,6 +115,67 @@ def test_search_levels(spark):
         _search(spark, ["x"], " ")
 
 
+def test_search_takes_odd_rows(spark):
+    assert _search(spark, ["xfoo  bar", None, ""], " foo bar") == [(1, 1, 9, 2)]
+    assert _search(spark, ["a\u2014b A-B"], "a-B") == [(1, 0, 3, 1), (1, 4, 7, 1)]
+    assert _search(spark, ["aaaa"], "aa") == [(1, 0, 2, 1), (1, 2, 4, 1)]
+    assert _search(spark, ["\u0130stanbul \u017fo"], "stanbul so") == [(1, 1, 11, 1)]
+    assert _search(spark, ["one two"], *[]) == []
+    t = spark.createDataFrame([(1, 1, "x")], "doc_id long, page long, page_text string")
+    many = spark.range(search.MOST_PATTERNS + 1).selectExpr("id AS pattern_id", "cast(id AS string) AS pattern")
+    with pytest.raises(ValueError, match="more than"):
+        search.search(t, many)
+
+
+def _plain_search(pages, pattern):
+    """The three levels one after another, page by page, as they are meant."""
+    import re
+
+    fold = lambda x: re.sub("[‐‑‒–—―−]", "-", x).lower()
+    first = [(k, m.start(), m.end(), 1) for k, t in enumerate(pages, 1) for m in re.finditer(re.escape(fold(pattern)), fold(t))]
+    words = fold(pattern).split()
+    if first or len(words) < 2:
+        return first
+    second = [(k, m.start(), m.end(), 2) for k, t in enumerate(pages, 1) for m in re.finditer(r"\s+".join(map(re.escape, words)), fold(t))]
+    if second or len([w for w in words if w.strip(".,;:!?")]) < 3:
+        return second
+    found = []
+    for k, t in enumerate(pages, 1):
+        tokens = [(m.group().strip(".,;:!?"), m.start(), m.end()) for m in re.finditer(r"\S+", fold(t))]
+        tokens = [x for x in tokens if x[0]]
+        wanted = [w for w in (w.strip(".,;:!?") for w in words) if w]
+
+        def last(at, rest, tokens=tokens):
+            if not rest:
+                return at
+            for j in range(at + 1, min(at + max(8, 2 * len(wanted)) + 2, len(tokens))):
+                if tokens[j][0] == rest[0] and (end := last(j, rest[1:])) is not None:
+                    return end
+            return None
+
+        found += [(k, tokens[a][1], tokens[b][2], 3) for a in range(len(tokens)) if tokens[a][0] == wanted[0] and (b := last(a, wanted[1:])) is not None]
+    return found
+
+
+def test_search_against_plain_search(spark):
+    """Many patterns over many documents at once: each answer is that of the pattern and the document alone."""
+    import random
+
+    rng = random.Random(11)
+    words = ["a", "B", "ab", "c.", "d-e", "d–e", "(x"]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n"]) for _ in range(n))
+    docs = {d: [text(rng.randint(0, 14)) for _ in range(3)] for d in range(30)}
+    asked = sorted({text(rng.randint(1, 4)).strip() for _ in range(40)})
+    pages = spark.createDataFrame([(d, k, t) for d, ps in docs.items() for k, t in enumerate(ps, 1)], "doc_id long, page long, page_text string")
+    patterns = spark.createDataFrame(list(enumerate(asked)), "pattern_id long, pattern string")
+    got = sorted((r["pattern_id"], r["doc_id"], r["page"], r["start"], r["end"], r["level"]) for r in search.search(pages, patterns, None).collect())
+    assert got == sorted((i, d, *x) for i, p in enumerate(asked) for d, ps in docs.items() for x in _plain_search(ps, p))
+    top = search.search(pages, patterns, 3).groupBy("pattern_id").count().collect()
+    assert {r["pattern_id"]: r["count"] for r in top} == {i: min(3, sum(x[0] == i for x in got)) for i in {x[0] for x in got}}
+    once = search.distinct_spans(search.search(pages, patterns, None), 5).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in once} == {d: min(5, len({x[2:5] for x in got if x[1] == d})) for d in {x[1] for x in got}}
+
+
 def test_ordered_tokens_against_brute_force():
     import itertools
     import random
@@ -140,6 +201,108 @@ def test_headings(spark):
     assert _one(spark, search.continued(F.lit("row B\n3 Limits\nrow C"), search.heading_offset(F.lit("row B\n3 Limits\nrow C"), F.lit("Limits")))) == "row B"
 
 
+PAGES = [(1, 1, "Alpha\nrow 1\nBeta\nrow 2"), (1, 2, "row 3\n2 Gamma\nrow 4"), (1, 3, "Delta\nTable 1 (continued)\nrow 5"), (1, 4, "row 6\nrow 7")]
+SECTIONS = [(1, 1, 1, "Alpha", 1, 1, [1], "Alpha"), (1, 2, 1, "Beta", 1, 2, [2], "Beta"), (1, 3, 2, "Gamma", 2, 2, [2, 3], "Beta > Gamma"), (1, 4, 1, "Delta", 3, 4, [4], "Delta"), (1, 5, 1, "Epsilon", 4, 4, [5], "Epsilon")]
+
+
+def _document(spark, pages=PAGES, sections=SECTIONS):
+    p = spark.createDataFrame(pages, "doc_id long, page long, page_text string")
+    return p, spark.createDataFrame(sections, "doc_id long, seq long, level int, title string, start_page long, end_page long, path array<long>, breadcrumb string")
+
+
+def _read(spark, first, last, families=None):
+    pages, sections = _document(spark)
+    ranges = spark.createDataFrame([(7, 1, first, last)], "range_id long, doc_id long, first_page long, last_page long")
+    known = spark.createDataFrame(families, "doc_id long, family string") if families else None
+    return reads.section_reads(pages, sections, ranges, known).first()["text"]
+
+
+def test_section_reads(spark):
+    """A range goes on to the next heading; text above its own first heading is marked; a heading that is not found leaves a note."""
+    assert _read(spark, 1, 1) == '=== Page 1 of 4 ===\n--- PAGE 1 ---\nAlpha\nrow 1\nBeta\nrow 2\n=== Continued from the top of page 2, up to the next section heading "Gamma" ===\n--- PAGE 2 ---\nrow 3'
+    assert _read(spark, 2, 2) == '=== Page 2 of 4 ===\n=== NOTE: "Table 1" is continued on page 3, which is outside this range. ===\n--- PAGE 2 ---\nrow 3\n=== SECTION STARTS: Gamma (text above is the previous section\'s) ===\n2 Gamma\nrow 4'
+    three = _read(spark, 3, 3)
+    assert three.startswith('=== Page 3 of 4 ===\n=== NOTE: this range opens inside "Table 1", which is continued from page 2. ===\n=== NOTE: a section starts on page 4, but')
+    assert _read(spark, 3, 4) == '=== Pages 3-4 of 4 ===\n=== NOTE: this range opens inside "Table 1", which is continued from page 2. ===\n--- PAGE 3 ---\nDelta\nTable 1 (continued)\nrow 5\n--- PAGE 4 ---\nrow 6\nrow 7'
+    assert "product family (X1, X2). Do NOT report" in _read(spark, 4, 4, [(1, "X1, X2")]) and "product family. Do NOT" in _read(spark, 4, 4, [(1, None)])
+    for first, last in ((0, 1), (2, 1), (4, 5)):
+        with pytest.raises(Exception, match="no such range"):
+            _read(spark, first, last)
+
+
+def test_family_notes_name_places(spark):
+    sections = [(1, 1, 1, "Device Comparison", 1, 1, [1], "x"), (1, 2, 1, "Ordering Information", 2, 3, [2], "x"), (1, 3, 2, "Selection Guide", 3, 3, [2, 3], "x"), (1, 4, 1, "Nomenclature", 4, 4, [4], "x"), (1, 5, 1, "Revision History", 4, 4, [5], "x"), (1, 6, 2, "Device Comparison", 4, 4, [5, 6], "x")]
+    pages, table = _document(spark, [(1, k, "text") for k in range(1, 6)], sections)
+    found = reads.evidence(table).first()
+    # the ordering chapter holds the selection guide, which has the higher rank and is shown for both
+    assert [e["title"] for e in found["shown"]] == ["Device Comparison", "Selection Guide", "Nomenclature"] and len(found["resolving"]) == 3
+    note = lambda a, b: reads.section_reads(pages, table, spark.createDataFrame([(1, 1, a, b)], "range_id long, doc_id long, first_page long, last_page long"), spark.createDataFrame([(1, "")], "doc_id long, family string")).first()["text"]
+    assert "product family" not in note(2, 3) and "product family" not in note(1, 1)
+    assert '"Device Comparison" (page 1); "Selection Guide" (page 3); "Nomenclature" (page 4)' in note(5, 5)
+    assert '"Device Comparison" (page 1); "Selection Guide" (page 3), and search' in note(4, 4)
+
+
+@pytest.mark.parametrize(
+    ("text", "titles", "places"),
+    [("Limits\nrow\nLimits\nrow", ["Limits", "Limits", "Limits"], [0, 11, None]), ("Pressure 300\n1.4 Pressure MIN\nrow", ["Pressure"], [13]), ("see 3 Thermal limits", ["Thermal limits"], [None]), ("  Chapter 1 ULP\n Coprocessor\nx", ["ULP Coprocessor"], [0]), ("A-1 Notes\nx", ["notes"], [0]), ("x", [""], [None]), ("a b\nb", ["b"], [4])],
+)
+def test_placed_headings(text, titles, places):
+    assert reads.placed(text, titles) == places
+
+
+def test_sections_of_matches(spark):
+    pages, sections = _document(spark)
+    heads = reads.headings(sections, pages)
+    matches = spark.createDataFrame([(1, 1, 0), (1, 1, 14), (1, 2, 0), (1, 2, 8), (1, 3, 9), (1, 4, 3), (2, 1, 0)], "doc_id long, page long, start long")
+    got = {(r["doc_id"], r["page"], r["start"]): r["breadcrumb"] for r in reads.breadcrumbs_of_matches(matches, sections, heads).collect()}
+    assert got == {(1, 1, 0): "Alpha", (1, 1, 14): "Beta", (1, 2, 0): "Beta", (1, 2, 8): "Beta > Gamma", (1, 3, 9): "Delta", (1, 4, 3): "Delta", (2, 1, 0): None}
+
+
+def test_replies():
+    from quarryline.functions import replies
+
+    assert replies.reply_json(' {"a": 1} ') == '{"a": 1}' and replies.reply_json(None) is None and replies.reply_json("no") is None
+    assert replies.reply_json("x\n```json\n[1]\n``` y") == "[1]" and replies.reply_json("```\n{}\n```") == "{}"
+    import json
+
+    reply = r'Out(a="True = None\" x=(", b=[True, {"c": None}], d = False, e=1)'
+    assert json.loads(replies.reply_json(reply)) == {"a": 'True = None" x=(', "b": [True, {"c": None}], "d": False, "e": 1}
+    for broken in ("Out(a='x')", "Out(a=Inner(b=1))", "Out(a=1", "Out(a==1)"):
+        assert replies.reply_json(broken) is None
+
+
+def test_gates_without_inputs(spark):
+    """A run without a base or traces: those gates have no value and do not fail; without cells of the engine nothing was found."""
+    schema = "claim_id int, engine string, model string, overall_pass boolean, found_correct boolean, found_expected boolean, value_pass boolean, confidence double, engine_error string, repro_error string, verdict string, status string, measured_value double, sigma_basis string, n_steps int, n_tool_calls_by_tool map<string,int>, n_tool_errors_by_tool map<string,int>"
+    cell = lambda model, engine, **x: tuple({"claim_id": 1, "engine": engine, "model": model, "overall_pass": True, "found_correct": True, "found_expected": True, "value_pass": True, "confidence": 0.9, "verdict": "pass", "status": "ok", "n_steps": 3, "n_tool_calls_by_tool": {"search_text": 2}, **x}.get(c.split()[0]) for c in schema.replace("<string,int>", "").split(", "))
+    rows = spark.createDataFrame([cell("a", "agentic"), cell("b", "baseline"), cell("c", "agentic", measured_value=float("inf"), sigma_basis="typical"), cell("d", "agentic", n_tool_calls_by_tool={"get_section_text": 1}, measured_value=float("nan"), sigma_basis="STUB")], schema)
+    found = {r["model"]: (r["exit_code"], r["hard_failures"], r["warnings"]) for r in gates.outcome(gates.gate_rows(rows)).collect()}
+    assert found == {"a": (0, [], []), "b": (1, ["H1_found_accuracy"], []), "c": (1, ["H5_protocol_errors"], []), "d": (2, [], ["S9_silent_failures"])}
+    assert gates.gate_rows(rows.filter("false")).count() == 0
+
+
+def test_released_folders(spark, tmp_path):
+    import os
+
+    from quarryline.session import release, shared_folder
+
+    folder = shared_folder(spark, "gone")
+    spark.range(3).write.parquet(folder)
+    assert os.path.isdir(folder.removeprefix("file:"))
+    assert release(spark) >= 1 and not os.path.isdir(folder.removeprefix("file:"))
+
+
+def test_guard_lets_other_errors_through(monkeypatch):
+    import __spark_entry__
+
+    def broken(name):
+        raise ModuleNotFoundError(f"no {name}", name="zstandard")
+
+    monkeypatch.setattr(__spark_entry__.importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__._optional("quarryline.llm.queries")
+
+
 def test_captions(spark):
     page = "Figure 1.2-1 shows x\nFig. 1 - Forward Current\nFigure 7\n\nBlock diagram\nFigure 17-12.Prescaler"
     rows = layout.captions(spark.createDataFrame([(1, page)], "page int, page_text string"), "page").orderBy("line").collect()
@@ -223,7 +386,7 @@ def test_manifest_and_index(spark):
     assert manifest.to_build(docs, rows, "o").count() == 0
     assert manifest.to_build(docs, rows, "p").count() == 3
     got = {r["doc_id"]: (r["pages"], r["bullets"], r["captions"]) for r in index.manifest(docs).collect()}
-    assert got == {1: (1, 1, 1), 3: (1, 0, 0)}
+    assert got == {1: (1, 1, 1), 2: (1, 0, 0), 3: (1, 0, 0)}  # a null text is one empty page
 
 
 def test_stratified_sample(spark):
