@@ -49,8 +49,8 @@ from .words import grams, mix, word_hashes, words_of
 #: Values of a sketch; lists that two sketches must meet in; members of a short list at most; rows of the table of frequent values.
 K, NEEDED, SHORT, HOT_VALUES = 64, 3, 32, 100_000
 
-#: Bytes and rows of sets in a block, about, columns of a matrix, and pairs of blocks that a worker holds.
-BLOCK_BYTES, BLOCK_ROWS, COLUMNS, BLOCK_PAIRS = 1 << 20, 2048, 8192, 8
+#: Bytes and rows of sets in a block, about, cells of a matrix, and pairs of blocks that a worker holds.
+BLOCK_BYTES, BLOCK_ROWS, CELLS, BLOCK_PAIRS = 1 << 20, 2048, 1 << 21, 4
 
 #: Parts that a list's rows are dealt to where lists are joined.
 SALTS = 32
@@ -240,8 +240,9 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each set of a with each of b: products of their incidence matrices, some columns at a time."""
     shared = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)))
     out = np.zeros((len(a), len(b)), np.float32)
-    for at in range(0, len(shared), COLUMNS):
-        columns = shared[at : at + COLUMNS]
+    width = max(64, CELLS // max(len(a), len(b), 1))
+    for at in range(0, len(shared), width):
+        columns = shared[at : at + width]
         each = []
         for side in (a, b):
             matrix = np.zeros((len(side), len(columns)), np.float32)
