@@ -18,6 +18,7 @@ empty result.  Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -134,9 +135,9 @@ def trigram_query(pattern: str) -> Choice | None:
     return query and frozenset(frozenset(sorted(s)[:: -(-len(s) // MOST_TRIGRAMS)]) for s in query)
 
 
-# the key by which postings find their rows; rows without doc_id share one
 def _key() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    """By which postings find their rows: rows equal in doc_id and text share one, and have the same postings."""
+    return F.xxhash64("doc_id", "text")
 
 
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
@@ -160,27 +161,46 @@ def candidates(index: DataFrame, grams: list[str], rules: tuple[Rule, ...]) -> D
 
 
 #: The mark of a match, and what stands for it where a text holds it; no rule's pattern can match either.
-_MARK, _OTHER = "", ""
+_MARK, _OTHER = "\ue000", "\ue001"
 
 SPAN = "struct<start:int,kind_no:int,stop:int,kind:string>"
 
+#: Elements that are summed up in one go; arrays grow by copies, so longer ones are summed in two levels.
+CHUNK = 128
 
-def spans_of(text: Column, rule: Rule, number: int) -> Column:
-    """An array of the rule's spans in the text."""
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before_each(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array the sum (by ``add``, from 0) of those before it, in time that grows little faster than the array."""
+
+    def running(numbers: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(numbers, start, lambda s, x: F.struct(add(s.at, x).alias("at"), F.concat(s.out, F.array(s.at)).alias("out")), lambda s: s.out)
+
+    def two_levels(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK)))
+        return _bound(chunks, lambda c: F.flatten(F.zip_with(c, running(F.transform(c, lambda x: F.aggregate(x, F.lit(0), add)), F.lit(0)), running)))
+
+    return _bound(values, lambda v: F.when(F.size(v) > CHUNK, two_levels(v)).when(F.size(v) > 0, running(v, F.lit(0))).otherwise(F.expr("cast(array() as array<int>)")))
+
+
+def spans_of(text: Column, rule: Rule, number: int, measure: Callable[[Column], Column] = F.length) -> Column:
+    """An array of the rule's spans in the text; ``measure`` says what positions count."""
     parts = F.split(F.regexp_replace(F.translate(text, _MARK, _OTHER), rule.pattern, f"{_MARK}$0{_MARK}"), _MARK)
     value = lambda part: F.length(F.regexp_extract(part, rule.pattern, rule.valued)) >= rule.least
     none = F.expr(f"cast(array() as array<{SPAN}>)")
 
-    def step(state, part):
-        stop = state.at + F.length(part)
-        span = F.struct(state.at.alias("start"), F.lit(number).alias("kind_no"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
-        found = F.when(state.inside & value(part), F.concat(state.found, F.array(span))).otherwise(state.found)
-        return F.struct(stop.alias("at"), (~state.inside).alias("inside"), found.alias("found"))
+    def found(p: Column) -> Column:
+        places = F.transform(before_each(F.transform(p, measure), lambda a, x: a + x), lambda at, i: F.struct(at.alias("at"), (i % 2 == 1).alias("inside")))
+        each = F.zip_with(p, places, lambda part, at: F.when(at.inside & value(part), F.struct(at.at.alias("start"), F.lit(number).alias("kind_no"), (at.at + measure(part)).alias("stop"), F.lit(rule.kind).alias("kind"))))
+        return F.array_compact(each)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("found"))
-    found = F.aggregate(parts, start, step, lambda state: state.found)
     # a rule with a least length of the whole match needs no look at shorter ones
-    return F.when(F.rlike(text, F.lit(rule.pattern)), found).otherwise(none)
+    return F.when(F.rlike(text, F.lit(rule.pattern)), _bound(parts, found)).otherwise(none)
 
 
 def _narrowed(rule: Rule) -> Rule:
@@ -192,9 +212,8 @@ def _narrowed(rule: Rule) -> Rule:
     return rule
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text and ``found``: the spans of all rules, by start and then by the rules' order."""
-    rows = texts(docs)
+def _spans_of_rows(rows: DataFrame, rules: tuple[Rule, ...], measure: Callable[[Column], Column]) -> DataFrame:
+    """The rows (doc_id, text and others) with ``found``: the spans of all rules, by start and then by the rules' order."""
     queries = [trigram_query(rule.pattern) for rule in rules]
     grams = sorted(set().union(*(s for q in queries if q for s in q)))
     if len(grams) > 62:
@@ -202,18 +221,36 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     index = written(postings(rows, grams), "secret-postings")
     may = candidates(index, grams, rules)
     joined = rows.withColumn("doc_key", _key()).join(may, "doc_key", "left")
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
     each = []
     for k, (rule, query) in enumerate(zip(rules, queries, strict=True)):
-        spans = spans_of(F.col("text"), _narrowed(rule), k)
-        none = F.expr(f"cast(array() as array<{SPAN}>)")
+        spans = spans_of(F.col("text"), _narrowed(rule), k, measure)
         each.append(spans if query is None else F.when(F.coalesce(F.col("rule_bits"), F.lit(0)).bitwiseAND(F.lit(1 << k)) > 0, spans).otherwise(none))
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("found"))
+    return joined.select(*rows.columns, F.array_sort(F.concat(*each)).alias("found"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, text and ``found``: the spans of all rules, by start and then by the rules' order."""
+    return _spans_of_rows(texts(docs), rules, F.length)
 
 
 def span_list(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat(s.kind, F.lit(":"), s.start, F.lit(":"), s.stop)), ",")
 
 
+def without_spans(text: Column, found: Column, by: str) -> Column:
+    """The text with ``by`` in place of each span; spans count bytes, and those that overlap are replaced as one."""
+    data = text.cast("binary")  # a part of a binary value is cut out without counting characters up to it
+
+    def pieces(spans: Column) -> Column:
+        ends = before_each(F.transform(spans, lambda s: s.stop), lambda a, x: F.greatest(a, x))
+        kept = F.zip_with(spans, ends, lambda s, end: F.when(s.start >= end, F.substring(data, end + 1, s.start - end).cast("string")))
+        last = F.array_max(F.transform(spans, lambda s: s.stop))
+        return F.array_join(F.array_compact(F.concat(kept, F.array(F.substring(data, last + 1, F.octet_length(text)).cast("string")))), by)
+
+    return _bound(found, pieces)
+
+
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = "[secret]") -> DataFrame:
     """``docs`` with each span of the rules replaced in the text; texts without spans stay as they are.
 
@@ -222,21 +259,8 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = "[secre
     columns = docs.columns
     whole = docs.withColumn("_row", F.struct(*[F.col(c) for c in columns])).select("doc_id", "text", "_row")
     rows = whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "_row")
-    queries = [trigram_query(rule.pattern) for rule in rules]
-    grams = sorted(set().union(*(s for q in queries if q for s in q)))
-    index = written(postings(rows, grams), "secret-postings")
-    joined = rows.withColumn("doc_key", _key()).join(candidates(index, grams, rules), "doc_key", "left")
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    each = [spans_of(F.col("text"), _narrowed(r), k) if q is None else F.when(F.coalesce(F.col("rule_bits"), F.lit(0)).bitwiseAND(F.lit(1 << k)) > 0, spans_of(F.col("text"), _narrowed(r), k)).otherwise(none) for k, (r, q) in enumerate(zip(rules, queries, strict=True))]
-
-    def step(state, span):
-        fresh = span.start >= state.at
-        piece = F.when(fresh, F.concat(state.out, F.substring(F.col("text"), state.at + 1, span.start - state.at), F.lit(by))).otherwise(state.out)
-        return F.struct(F.greatest(state.at, span.stop).alias("at"), piece.alias("out"))
-
-    end = lambda state: F.concat(state.out, F.substring(F.col("text"), state.at + 1, F.length("text")))
-    clean = F.aggregate(F.col("found"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
-    done = joined.select("_row", "text", F.array_sort(F.concat(*each)).alias("found")).select("_row", F.when(F.size("found") > 0, clean).otherwise(F.col("_row.text")).alias("_text"))
+    found = _spans_of_rows(rows, rules, F.octet_length)
+    done = found.select("_row", F.when(F.size("found") > 0, without_spans(F.col("text"), F.col("found"), by)).otherwise(F.col("_row.text")).alias("_text"))
     changed = {"text": F.col("_text"), "n_chars": F.when(F.col("_text").eqNullSafe(F.col("_row.text")), F.col("_row.n_chars")).otherwise(F.length("_text")).cast("long") if "n_chars" in columns else None}
     return done.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(f"_row.`{c}`") for c in columns])
 

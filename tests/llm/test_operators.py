@@ -392,6 +392,30 @@ def test_secrets(make, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_a_long_text_with_many_secrets(make):
+    """Spans and replaced text of thousands of matches, with characters of several bytes between them and matches of two rules that overlap."""
+    text = "".join(f"ü{k} token=abc{k:06d} 𝔘 {'0a' * 13}{k:04d} token: AKIA{'Q' * 16}{k} password=ab " for k in range(3000))
+    rows = [(1, text), (2, text[:3000]), (None, "token=abcdefgh"), (None, "token=abcdefgh"), (None, "none")]
+    found = secrets.scan(make(*rows)).select("doc_id", secrets.span_list(secrets.F.filter("found", lambda s: s.kind_no < 3)).alias("base")).collect()
+    assert Counter((r["doc_id"], r["base"]) for r in found) == Counter((i, _base_spans(t)) for i, t in rows)
+    spans = sorted(tuple(map(int, x.split(":")[1:])) for x in _base_spans(text).split(","))
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], "[secret]"]
+        at = max(at, b)
+    done = {r["doc_id"]: r["text"] for r in secrets.redacted(make(*rows)).filter("doc_id IS NOT NULL").collect()}
+    assert done[1] == "".join(out) + text[at:]
+
+
+def test_sums_before_each(spark):
+    F = secrets.F
+    for n in (0, 1, 127, 128, 129, 1000):
+        values = [(7 * k) % 5 for k in range(n)]
+        row = spark.createDataFrame([(values,)], "v array<int>").select(secrets.before_each(F.col("v"), lambda a, x: a + x).alias("s"), secrets.before_each(F.col("v"), lambda a, x: F.greatest(a, x)).alias("m")).first()
+        assert row["s"] == [sum(values[:k]) for k in range(n)] and row["m"] == [max([0, *values[:k]]) for k in range(n)]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
     assert secrets.trigram_query(r"[0-9a-f]+") is None
