@@ -637,42 +637,78 @@ def test_long_text_is_whole(edges):
     assert row["kept_text"] == LONG and row["n_removed"] == 0
 
 
+def _groups(docs, window=50):
+    """Leaves of each group that is dealt, as (doc, row, pos)."""
+    F = substring_dedup.F
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(substring_dedup.LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("row_hash"))
+    out = {}
+    for r in substring_dedup.dealt_suffixes(rows, window).filter("leaves IS NOT NULL").collect():
+        for leaf in substring_dedup._unpacked(bytes(r["leaves"])):
+            out.setdefault(int(leaf["group"]), []).append((int(leaf["path"]), int(leaf["doc"]), int(leaf["pos"])))
+    return out
+
+
 def test_a_common_line_makes_no_large_group(make, monkeypatch):
-    """A line of 30 words in different surroundings: its least gram is that of many windows of each document."""
-    monkeypatch.setattr(substring_dedup, "GROUP", 200)
+    """A line of 30 words in different surroundings: windows that begin with it share 8 and 16 words, and are told apart by longer prefixes."""
+    monkeypatch.setattr(substring_dedup, "GROUP", 25)
+    monkeypatch.setattr(substring_dedup, "LOCAL", 1)
     monkeypatch.setattr(substring_dedup, "SUFFIXES", 100)
     line = " ".join(f"licence{k}" for k in range(30))
-    rows = [(d, " ".join(f"x{d % 40}-{k}" for k in range(40)) + f" {line} " + " ".join(f"z{d % 20}-{k}" for k in range(40))) for d in range(60) for side in "x"]
+    rows = [(d, " ".join(f"x{d % 40}-{k}" for k in range(40)) + f" {line} " + " ".join(f"z{d % 20}-{k}" for k in range(40))) for d in range(60)]
     docs = make(*rows)
-    texts = docs.select(docs.doc_id.alias("doc"), "text", substring_dedup.F.xxhash64("text").alias("row_hash"))
-    sizes = substring_dedup.dealt_suffixes(texts).filter("paths IS NOT NULL").groupBy("group_key").agg(substring_dedup.F.expr("sum(length(paths)) / 6").alias("n"))
-    assert sizes.agg({"n": "max"}).first()[0] <= 200
+    groups = _groups(docs)
+    assert max(map(len, groups.values())) <= 25
+    monkeypatch.setattr(substring_dedup, "GROUP", 10**9)
+    assert max(map(len, _groups(docs).values())) > 25
+    monkeypatch.setattr(substring_dedup, "GROUP", 25)
     assert Counter(tuple(r) for r in substring_dedup.without_repeats(docs).collect()) == _removed(rows, 50)
 
 
-def test_a_group_is_not_held_whole(monkeypatch):
-    """Ranges of a group come before its last rows are read, and are those of the whole group."""
+def test_suffixes_of_one_document_alone_are_not_dealt(make):
+    far = [" ".join(f"f{d}-{k}" for k in range(120)) for d in range(6)]
+    assert _groups(make(*enumerate(far))) == {}
+    assert _groups(make((1, far[0]), (1, far[0] + " more"))) == {}
+    assert len(_groups(make((1, far[0]), (2, far[0])))) > 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_shared_runs(size, monkeypatch):
+    """Whatever the batches, runs come back if their gram has a second document; rows told by other blocks count as one."""
     import pyarrow as pa
 
-    monkeypatch.setattr(substring_dedup, "SUFFIXES", 4)
-    paths = substring_dedup._packed(np.array([7, 9], np.uint64), np.array([2])).to_pylist()
-    batches = [pa.RecordBatch.from_arrays([pa.array([5]), pa.array([doc]), pa.array([doc]), pa.array([0], pa.int32()), pa.array([1], pa.int32()), pa.array(paths, pa.binary())], substring_dedup._NAMES) for doc in range(20)]
-    read = []
-    got = substring_dedup._subtrees(50)(read.append(k) or b for k, b in enumerate(batches))
-    first = next(got)
-    assert len(read) < len(batches)
-    assert [(r["doc"], r["start"], r["stop"]) for b in [first, *got] for r in b.to_pylist()] == [(d, 0, 51) for d in range(1, 20)]
+    rng = np.random.default_rng(size)
+    for _ in range(60):
+        rows = sorted((int(rng.integers(0, 4)), bool(rng.random() < 0.1), int(rng.integers(0, 3)), k, k, int(rng.integers(0, 2))) for k in range(int(rng.integers(0, 25))))
+        rows.sort(key=lambda r: (r[0], r[2]))
+        names = substring_dedup._names(substring_dedup._RUNS)
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + size], strict=True), kinds, strict=True)], names) for a in range(0, len(rows), size)]
+        docs = {}
+        for r in rows:
+            if not r[1]:
+                docs.setdefault(r[0], set()).add(r[2])
+        expected = sorted(r[3] for r in rows if r[1] or len(docs[r[0]]) > 1)
+        assert sorted(x for b in substring_dedup._shared_runs(iter(batches)) for x in b.column("row_hash").to_pylist()) == expected
+        monkeypatch.setattr(substring_dedup, "HELD", 2)  # more candidates than needed, never fewer
+        assert set(expected) <= {x for b in substring_dedup._shared_runs(iter(batches)) for x in b.column("row_hash").to_pylist()}
+        monkeypatch.setattr(substring_dedup, "HELD", 500_000)
+
+
+def test_rows_without_ids_hold_no_memory(make, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HELD", 3)
+    far = " ".join(f"f{k}" for k in range(70))
+    rows = [(None, f"{far} {k}") for k in range(30)] + [(5, far)]
+    assert Counter(tuple(r) for r in substring_dedup.without_repeats(make(*rows)).collect()) == _removed(rows, 50)
 
 
 @pytest.mark.parametrize("window", [3, 50])
 def test_split_groups_of_repeating_words(make, monkeypatch, window):
     """A pair of words over and over has two nodes, which come as one row each; other repeats keep their places."""
     monkeypatch.setattr(substring_dedup, "GROUP", 1)
+    monkeypatch.setattr(substring_dedup, "LOCAL", 1)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 300)
     rng = np.random.default_rng(3)
     far = " ".join(f"f{k}" for k in range(90))
     rows = [(1, "a b " * 400), (2, "x " + "a b " * 300), (3, f"{far} u {far} v v {far}"), (4, f"y {far}"), (None, "a b " * 60)]
     rows += [(int(rng.integers(0, 9)), " ".join(rng.choice(["a", "b"], 80))) for _ in range(20)]
     assert Counter(tuple(r) for r in substring_dedup.without_repeats(make(*rows), window).collect()) == _removed(rows, window)
-    docs = make(*rows[:1])
-    texts = docs.select(docs.doc_id.alias("doc"), "text", substring_dedup.F.xxhash64("text").alias("row_hash"))
-    assert substring_dedup.dealt_suffixes(texts, window).count() == 2
