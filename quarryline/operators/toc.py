@@ -21,42 +21,53 @@ def valid_entries(outline: DataFrame) -> DataFrame:
     return outline.withColumn("level", checked).filter(F.col("start_page").between(1, F.col("total_pages")))
 
 
+def _folded(rows: DataFrame, doc: str, fields: list[str], state: str, out: str, step, backwards: bool = False) -> DataFrame:
+    """A document's rows in order of seq through one fold: ``step(open, row)`` gives the next ``open`` and what the row comes to."""
+    entries = F.array_sort(F.collect_list(F.struct("seq", *fields)))
+    start = F.struct(F.expr(f"cast(array() as {state})").alias("open"), F.expr(f"cast(array() as array<{out}>)").alias("done"))
+
+    def both(s: Column, e: Column) -> Column:
+        now, done = step(s.open, e)
+        return F.struct(now.alias("open"), F.concat(s.done, F.array(done)).alias("done"))
+
+    return rows.groupBy(doc).agg(F.aggregate(F.reverse(entries) if backwards else entries, start, both, lambda s: s.done).alias("_done")).select(doc, F.inline("_done"))
+
+
 def with_parents(outline: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """``parent_seq``: the nearest entry before with a smaller level; ``path``: the seqs from the root down to the entry itself.
+    """``parent_seq``: the nearest entry before with a smaller level; ``path`` and ``lineage``: the seqs, and the entries with title and start, from the root down to the entry itself.
 
     One fold over the document's entries in order; the state is the stack of open entries.
     """
-    entry = F.struct("seq", "level", "title", "start_page", "total_pages")
-    node = "struct<seq:bigint,level:int,title:string,start_page:bigint,total_pages:bigint,path:array<bigint>>"
-    start = F.struct(F.expr("cast(array() as array<struct<seq:bigint,level:int>>)").alias("open"), F.expr(f"cast(array() as array<{node}>)").alias("done"))
+    typed = outline.select(doc, F.col("seq").cast("long").alias("seq"), F.col("level").cast("int").alias("level"), "title", F.col("start_page").cast("long").alias("start_page"), F.col("total_pages").cast("long").alias("total_pages"))
+    entry = "struct<seq:bigint,level:int,title:string,start_page:bigint>"
 
-    def step(state: Column, e: Column) -> Column:
-        kept = F.filter(state.open, lambda o: o.level < e.level)
-        path = F.concat(F.transform(kept, lambda o: o.seq), F.array(e.seq))
-        done = F.struct(e.seq.alias("seq"), e.level.alias("level"), e.title.alias("title"), e.start_page.alias("start_page"), e.total_pages.alias("total_pages"), path.alias("path"))
-        return F.struct(F.concat(kept, F.array(F.struct(e.seq.alias("seq"), e.level.alias("level")))).alias("open"), F.concat(state.done, F.array(done)).alias("done"))
+    def step(opened: Column, e: Column) -> tuple[Column, Column]:
+        now = F.concat(F.filter(opened, lambda o: o.level < e.level), F.array(F.struct(e.seq.alias("seq"), e.level.alias("level"), e.title.alias("title"), e.start_page.alias("start_page"))))
+        return now, F.struct(e.seq.alias("seq"), e.total_pages.alias("total_pages"), now.alias("lineage"))
 
-    typed = outline.select(doc, F.col("seq").cast("long").alias("seq"), F.col("level").cast("int").alias("level"), "title", F.col("start_page").cast("long").alias("start_page"), F.col("total_pages").cast("long").alias("total_pages"))
-    folded = typed.groupBy(doc).agg(F.aggregate(F.array_sort(F.collect_list(entry)), start, step, lambda s: s.done).alias("nodes"))
-    rows = folded.select(doc, F.inline("nodes"))
-    depth = F.size("path")
-    return rows.withColumn("parent_seq", F.when(depth > 1, F.element_at("path", -2))).withColumn("depth", depth)
+    rows = _folded(typed, doc, ["level", "title", "start_page", "total_pages"], f"array<{entry}>", f"struct<seq:bigint,total_pages:bigint,lineage:array<{entry}>>", step)
+    own = F.element_at("lineage", -1)
+    tree = rows.select(doc, "seq", own.level.alias("level"), own.title.alias("title"), own.start_page.alias("start_page"), "total_pages", F.transform("lineage", lambda x: x.seq).alias("path"), F.size("lineage").alias("depth"), "lineage")
+    return tree.withColumn("parent_seq", F.when(F.col("depth") > 1, F.element_at("path", -2)))
 
 
 def with_end_pages(tree: DataFrame, doc: str = "doc_id") -> DataFrame:
     """A node ends before its next sibling starts, or with its parent, and never before its own start.
 
     Closed form: with the nearest ancestor-or-self that has a next sibling, the end is the page before
-    that sibling or, if it is larger, the largest start on the path from there down.
+    that sibling or, if it is larger, the largest start on the path from there down.  Those siblings come
+    from one fold backwards, whose state is the start of the next entry on each depth.
     """
-    siblings = Window.partitionBy(doc, "parent_seq").orderBy("seq")
-    own = tree.withColumn("next_start", F.lead("start_page").over(siblings))
-    entry = F.map_from_entries(F.collect_list(F.struct("seq", F.struct("start_page", "next_start").alias("e"))))
-    known = own.groupBy(doc).agg(entry.alias("by_seq"))
-    path = F.transform("path", lambda s: F.element_at("by_seq", s))
-    first = F.struct(F.col("total_pages").cast("long").alias("end"))
-    end = F.aggregate(path, first, lambda s, e: F.struct(F.greatest(F.when(e.next_start.isNotNull(), e.next_start - 1).otherwise(s.end), e.start_page).alias("end")), lambda s: s.end)
-    return own.join(known, doc).withColumn("end_page", end).drop("by_seq", "next_start")
+
+    def step(nexts: Column, e: Column) -> tuple[Column, Column]:
+        known = F.filter(F.transform(F.slice(nexts, F.lit(1), e.depth), lambda x, k: F.struct((k + 1).alias("depth"), x.alias("start"))), lambda x: x.start.isNotNull())
+        upper = F.when(e.depth > 1, F.transform(F.sequence(F.lit(0), F.greatest(e.depth - 2, F.lit(0))), lambda k: F.get(nexts, k))).otherwise(F.slice(nexts, F.lit(1), F.lit(0)))
+        last = F.get(known, F.size(known) - 1)
+        return F.concat(upper, F.array(e.start_page)), F.struct(e.seq.alias("seq"), last.depth.alias("_from"), last.start.alias("_next"))
+
+    found = _folded(tree, doc, ["depth", "start_page"], "array<bigint>", "struct<seq:bigint,_from:int,_next:bigint>", step, backwards=True)
+    starts = F.transform(F.slice("lineage", F.coalesce("_from", F.lit(1)), F.col("depth")), lambda x: x.start_page)
+    return tree.join(found, [doc, "seq"]).withColumn("end_page", F.greatest(F.coalesce(F.col("_next") - 1, F.col("total_pages").cast("long")), F.array_max(starts))).drop("_from", "_next")
 
 
 def with_ids(tree: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -66,10 +77,9 @@ def with_ids(tree: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def with_breadcrumbs(tree: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Trimmed titles from the root down, joined by ' > '; an empty root title adds nothing."""
-    titles_by_seq = tree.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("seq", F.trim("title").alias("t")))).alias("by_seq"))
-    names = F.transform("path", lambda s: F.element_at("by_seq", s))
+    names = F.transform("lineage", lambda x: F.trim(x.title))
     shown = F.when(F.get(names, F.lit(0)) == "", F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0)))).otherwise(names)
-    return tree.join(titles_by_seq, doc).withColumn("breadcrumb", F.array_join(shown, " > ")).drop("by_seq")
+    return tree.withColumn("breadcrumb", F.array_join(shown, " > "))
 
 
 def with_classes(tree: DataFrame, doc: str = "doc_id", families: DataFrame | None = None) -> DataFrame:
@@ -80,14 +90,17 @@ def with_classes(tree: DataFrame, doc: str = "doc_id", families: DataFrame | Non
     """
     own = F.nullif(titles.boilerplate_class(F.col("title")), F.lit(""))
     if families is not None:
-        marked = tree.join(families.select(doc).distinct().withColumn("_family", F.lit(True)), doc, "left")
+        tree = tree.join(families.select(doc).distinct().withColumn("_family", F.lit(True)), doc, "left")
         own = F.when(F.col("_family") & (own == "ordering"), F.lit("")).otherwise(own)
-        tree = marked
-    classed = tree.withColumn("_own", own).drop("_family")
-    by_seq = classed.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("seq", "_own"))).alias("by_seq"))
-    last = F.element_at(F.filter(F.transform("path", lambda s: F.element_at("by_seq", s)), lambda c: c.isNotNull()), -1)
-    found = F.filter(F.transform("path", lambda s: F.element_at("by_seq", s)), lambda c: c.isNotNull())
-    return classed.join(by_seq, doc).withColumn("boilerplate_category", F.when(F.size(found) > 0, last).otherwise(F.lit(""))).drop("by_seq", "_own")
+
+    def step(opened: Column, e: Column) -> tuple[Column, Column]:
+        above = F.filter(opened, lambda o: o.depth < e.depth)
+        kind = F.coalesce(e._own, F.get(above, F.size(above) - 1).kind)
+        return F.concat(above, F.array(F.struct(e.depth.alias("depth"), kind.alias("kind")))), F.struct(e.seq.alias("seq"), F.coalesce(kind, F.lit("")).alias("boilerplate_category"))
+
+    classed = tree.withColumn("_own", own)
+    found = _folded(classed, doc, ["depth", "_own"], "array<struct<depth:int,kind:string>>", "struct<seq:bigint,boilerplate_category:string>", step)
+    return tree.drop("_family").join(found, [doc, "seq"])
 
 
 def build_tree(outline: DataFrame, doc: str = "doc_id") -> DataFrame:

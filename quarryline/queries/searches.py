@@ -120,7 +120,7 @@ def read_sections(pages):
     entries = F.array(entry(k % 3 != 0, F.lit(0), 1, words(0)), entry((k % 2 == 0) & (F.lower(words(0)) != F.lower(words(3))), F.lit(5), 2, words(3)), entry(k % 7 == 0, F.when(page % 2 == 0, 2).otherwise(7), 1, lost))
     last = pages.groupBy("doc_id").agg(F.max("page").alias("pages"))
     rows = pages.select("doc_id", F.col("page").alias("start_page"), F.inline(F.array_compact(entries))).join(last, "doc_id")
-    return rows.select("doc_id", "seq", "level", "title", "start_page", F.least(F.col("start_page") + F.col("seq") % 3, "pages").alias("end_page"), F.array("seq").alias("path"), F.concat(F.lit("in "), "title").alias("breadcrumb"))
+    return rows.select("doc_id", "seq", "level", "title", "start_page", F.least(F.col("start_page") + F.col("seq") % 3, "pages").alias("end_page"), F.array(F.struct("seq", "title")).alias("lineage"), F.concat(F.lit("in "), "title").alias("breadcrumb"))
 
 
 @register("f18_page_headings", f"WITH {_READ_PAGES} SELECT doc_id, seq, CASE WHEN mid THEN place_at ELSE 0 END AS \"offset\" FROM placed WHERE place_at IS NOT NULL")

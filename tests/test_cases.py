@@ -207,7 +207,7 @@ SECTIONS = [(1, 1, 1, "Alpha", 1, 1, [1], "Alpha"), (1, 2, 1, "Beta", 1, 2, [2],
 
 def _document(spark, pages=PAGES, sections=SECTIONS):
     p = spark.createDataFrame(pages, "doc_id long, page long, page_text string")
-    return p, spark.createDataFrame(sections, "doc_id long, seq long, level int, title string, start_page long, end_page long, path array<long>, breadcrumb string")
+    return p, spark.createDataFrame(sections, "doc_id long, seq long, level int, title string, start_page long, end_page long, path array<long>, breadcrumb string").withColumn("lineage", F.transform("path", lambda s: F.struct(s.alias("seq"), F.get(F.array(*[F.lit(x[3]) for x in sections]), s.cast("int") - 1).alias("title"))))
 
 
 def _read(spark, first, last, families=None):
