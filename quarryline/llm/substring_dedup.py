@@ -50,6 +50,9 @@ WINDOW, PREFIXES = 50, (8, 16, 32)
 #: Suffixes of a group from which its prefix is lengthened, of one prefix in a block from which it is counted, and of a bin on average.
 GROUP, LOCAL, SUFFIXES = 125_000, 8, 2_000_000
 
+#: Bins at least: so many that a text's suffixes are spread over them alike whatever the size of the table.
+BINS = 256
+
 #: Bytes of texts in a block, and rows of one gram that are held until a second document comes.
 BLOCK, HELD = 4 << 20, 500_000
 
@@ -143,7 +146,8 @@ def _grams_of_runs(window: int):
             kept = np.concatenate([np.arange(len(gram)), low[shared], high[shared]])  # those at the end tell other blocks
             told = np.arange(len(kept)) >= len(gram)
             passes = known[kept] & ~told
-            key = np.where(passes, row[own[kept]], gram[kept])
+            spread = mix(doc[own[kept]].view(np.uint64), start[kept].astype(np.uint64)).view(np.int64)
+            key = np.where(passes, spread, gram[kept])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(passes), pa.array(doc[own[kept]]), pa.array(row[own[kept]]), pa.array(start[kept]), pa.array(np.where(told, 0, n[kept]).astype(np.int32))], _names(_RUNS))
 
     return run
@@ -343,7 +347,7 @@ def dealt_suffixes(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """The leaves of candidates by bin, and the starts that are settled already; rows: doc_id, doc, text, row_hash."""
     found, large = candidates(rows, window), large_prefixes(rows, window)
     total = found.agg(F.sum("n").alias("n")).first()["n"] or 0
-    bins = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // SUFFIXES)
+    bins = max(BINS, 1 + total // SUFFIXES)
     runs = found.groupBy("doc", "row_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     # all columns of rows, as in the last join, so that the texts are dealt once for both
     wanted = rows.join(runs, ["doc", "row_hash"]).select("doc_id", "doc", "row_hash", "text", "runs")
