@@ -41,6 +41,15 @@ def protocol_error() -> Column:
     return (F.coalesce("repro_error", F.lit("")) != "") | (odd & (F.lower(F.coalesce("sigma_basis", F.lit(""))) != "stub"))
 
 
+def error_rows(cells: DataFrame) -> DataFrame:
+    """claim_id, engine, model, kind and message of each error of an engine or a protocol, and of each silent failure."""
+    value = F.col("measured_value").cast("double")
+    protocol = F.when(F.coalesce("repro_error", F.lit("")) != "", F.col("repro_error")).otherwise(F.concat(F.lit("non_finite_measurement="), value.cast("string")))
+    flags = traces.silent_failure(F.coalesce("overall_pass", F.lit(False)), F.coalesce("n_tool_calls_by_tool", F.expr("map()")))
+    found = [F.when(has_error(), F.struct(F.lit("engine").alias("kind"), F.col("engine_error").alias("message"))), F.when(protocol_error(), F.struct(F.lit("protocol").alias("kind"), protocol.alias("message"))), F.when(F.size(flags) > 0, F.struct(F.lit("silent").alias("kind"), F.array_join(flags, ", ").alias("message")))]
+    return cells.select("claim_id", "engine", "model", F.inline(F.array_compact(F.array(*found))))
+
+
 def contamination_rate(early: DataFrame, by: str = "model") -> DataFrame:
     """The share of cells that called measuring tools before they handed in, from a row (early_calls) for each cell that did hand in."""
     return early.groupBy(by).agg(share(F.col("early_calls") > 0).alias("S8_contamination_rate"))

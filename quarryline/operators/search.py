@@ -62,22 +62,29 @@ def collapsed(text: str) -> tuple[str, list[int]]:
     return "".join([*out, text[at:]]), [*places, *range(at, len(text))]
 
 
-def ordered_span(tokens: list[str], wanted: list[str], first: int, gap: int) -> int | None:
-    """The end of the first way to find the words in order from a given first one, with at most ``gap`` tokens between two."""
-    stack = [(first, 1)]
+def ordered_path(tokens: list[str], wanted: list[str], first: int, gap: int) -> list[int] | None:
+    """The first way to find the words in order from a given first one, with at most ``gap`` tokens between two: their places."""
+    stack = [[first]]
     tried = set()
     while stack:
-        at, k = stack.pop()
-        if k == len(wanted):
-            return at
-        if (at, k) in tried:
+        path = stack.pop()
+        if len(path) == len(wanted):
+            return path
+        at = path[-1]
+        if (at, len(path)) in tried:
             continue
-        tried.add((at, k))
-        nexts = [j for j in range(at + 1, min(at + gap + 2, len(tokens))) if tokens[j] == wanted[k]]
-        stack.extend((j, k + 1) for j in reversed(nexts))
+        tried.add((at, len(path)))
+        nexts = [j for j in range(at + 1, min(at + gap + 2, len(tokens))) if tokens[j] == wanted[len(path)]]
+        stack.extend([*path, j] for j in reversed(nexts))
     return None
 
 
+def ordered_span(tokens: list[str], wanted: list[str], first: int, gap: int) -> int | None:
+    """The place of the last word of that way."""
+    path = ordered_path(tokens, wanted, first, gap)
+    return path and path[-1]
+
+
 def _tokens(folded: str) -> tuple[list[str], list[tuple[int, int]]]:
     found = [(m.group().strip(".,;:!?"), m.span()) for m in re.finditer(r"\S+", folded)]
     return [t for t, _ in found if t], [place for t, place in found if t]

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import gates
 from ..plans import artifacts, index, manifest
 from ..session import shared_folder
 from ..sources import files
 from ..streaming import logs
 from . import register, table, view
-from .evaluation import _C, cells
+from .evaluation import _C, _GATED, cells, gated
 
 
 @register("o11_m09_reuse_decision", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'new' WHEN 1 THEN 'version' WHEN 2 THEN 'incomplete' WHEN 3 THEN 'options' WHEN 4 THEN 'size' WHEN 5 THEN 'content' END AS reason FROM documents")
@@ -147,22 +148,34 @@ def k07(spark, sf_dir):
 
 
 # Smaller operators.
-@register("p16_p29_fields", "SELECT o_orderkey, o_orderstatus, coalesce(nullif(o_totalprice, -999.0), 0) AS price FROM orders")
+# An order's items as a nested payload with fields that an engine wrote, at two depths.
+@register("p16_p29_fields", "SELECT o_orderkey, '{\"found\":' || CASE WHEN o_orderkey % 3 = 0 THEN 'false' ELSE 'true' END || ',\"values\":[' || string_agg('{\"item\":' || l_linenumber || ',\"tax\":' || CASE WHEN l_linenumber % 2 = 0 THEN '-999.0' ELSE '1.5' END || '}', ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) || ']}' AS payload FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def p16(spark, sf_dir):
-    nested = F.struct("o_orderstatus", "o_orderpriority", "o_totalprice").dropFields("o_orderpriority")
-    return table(spark, sf_dir, "orders").select("o_orderkey", nested.alias("r")).select("o_orderkey", "r.o_orderstatus", F.coalesce(F.nullif(F.col("r.o_totalprice"), F.lit(-999.0)), F.lit(0.0)).alias("price"))
+    from ..functions import payloads
 
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    item = F.struct(*order, F.struct(F.col("l_linenumber").alias("item"), F.when(F.col("l_linenumber") % 2 != 0, F.lit(1.5)).alias("tax"), F.lit("x").alias("source_location")).alias("v"))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.v).alias("values"))
+    found = F.when(F.col("o_orderkey") % 3 == 0, F.lit(False))
+    rows = table(spark, sf_dir, "orders").join(items, "o_orderkey").select("o_orderkey", F.struct(found.alias("found"), F.lit("y").alias("process_diagnostics"), "values").alias("payload"))
+    clean = payloads.filled(payloads.without_fields(rows, {"source_location", "process_diagnostics"}), {"tax": F.lit(payloads.NO_NUMBER), "found": F.lit(True)})
+    return clean.select("o_orderkey", F.to_json("payload").alias("payload"))
 
-@register("p30_tool_exclusion", "SELECT event_id, event_type FROM events WHERE event_type = 'purchase' OR event_type NOT IN ('error', 'purchase')")
+
+@register("p30_tool_exclusion", "SELECT o_orderkey, list_filter(['get_section_text', 'search_text', CASE WHEN o_orderkey % 2 = 0 THEN 'submit_extraction' ELSE o_orderstatus END], lambda t: t NOT IN ('search_text', 'O')) AS tools FROM orders")
 def p30(spark, sf_dir):
-    kept, excluded = ["purchase"], ["error", "purchase"]
-    return table(spark, sf_dir, "events").filter(F.col("event_type").isin(kept) | ~F.col("event_type").isin(excluded)).select("event_id", "event_type")
+    from ..functions import payloads
+
+    tools = F.array(F.lit("get_section_text"), F.lit("search_text"), F.when(F.col("o_orderkey") % 2 == 0, "submit_extraction").otherwise(F.col("o_orderstatus")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", payloads.offered(tools, ["search_text", "submit_extraction", "O"]).alias("tools"))
 
 
-@register("p31_k10_rendering", "SELECT l_orderkey, array_to_string(list_sort(list(l_linenumber || '=' || l_returnflag))[1:2], '; ') AS shown FROM lineitem GROUP BY 1")
+@register("p31_k10_rendering", "SELECT l_orderkey, array_to_string(list('min=' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE ', unit=' || l_returnflag END ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)[1:2], '; ') AS shown FROM lineitem GROUP BY 1")
 def p31(spark, sf_dir):
-    item = F.concat_ws("=", "l_linenumber", "l_returnflag")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.substring(F.array_join(F.slice(F.array_sort(F.collect_list(item)), 1, 2), "; "), 1, 240).alias("shown"))
+    from ..functions import payloads
+
+    value = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_linenumber").alias("min"), F.when(F.col("l_linenumber") % 2 != 0, F.col("l_returnflag")).alias("unit"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(payloads.shown_values(F.array_sort(F.collect_list(value)), ["min", "unit"]).alias("shown"))
 
 
 @register("j08_section_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (SELECT max(n_nationkey) FROM nation WHERE n_regionkey = l_linenumber) AS target FROM lineitem")
@@ -200,9 +213,9 @@ def a09(spark, sf_dir):
     return cells(spark, sf_dir).groupBy("engine").agg(share(F.col("verdict") == "inconclusive").alias("inconclusive"), F.avg("confidence").alias("confidence"), F.avg(F.when(F.col("engine") == "O", F.col("n"))).alias("trace_length"))
 
 
-@register("a12_a13_error_lists", f"WITH {_C} SELECT engine_error, list_sort(list(claim_id)) AS claims FROM cells WHERE engine_error <> '' GROUP BY 1")
+@register("a12_a13_error_lists", f"WITH {_C}, {_GATED} SELECT claim_id, engine, model, 'engine' AS kind, engine_error AS message FROM now WHERE engine_error <> '' UNION ALL SELECT claim_id, engine, model, 'protocol', coalesce(repro_error, 'non_finite_measurement=NaN') FROM now WHERE repro_error IS NOT NULL OR (isnan(measured_value) AND sigma_basis <> 'Stub') UNION ALL SELECT claim_id, engine, model, 'silent', CASE WHEN n_read + n_verify = 0 THEN 'tool_bypass' ELSE 'verification_skipped' END FROM now WHERE overall_pass AND n_verify = 0")
 def a12(spark, sf_dir):
-    return cells(spark, sf_dir).filter("engine_error <> ''").groupBy("engine_error").agg(F.array_sort(F.collect_list("claim_id")).alias("claims"))
+    return gates.error_rows(gated(spark, sf_dir).filter("repeat = 2"))
 
 
 @register("a17_failed_cells", f"WITH {_C}, b AS (SELECT * FROM cells WHERE repeat = 1), n AS (SELECT * FROM cells WHERE repeat = 3 AND q % 4 <> 0) SELECT b.claim_id, b.engine, b.model, coalesce(n.overall_pass, false) AS overall_pass FROM b LEFT JOIN n ON b.claim_id = n.claim_id AND b.engine = n.engine AND b.model = n.model")
@@ -245,9 +258,16 @@ def a48(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_type").agg(F.count_if(F.contains(F.lower("p_name"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))))).alias("held"))
 
 
-@register("a57_stub_protocol", f"WITH {_C} SELECT claim_id, engine, model, repeat, 'stub' AS basis FROM cells")
+_PROTOCOL = "CASE p_partkey % 4 WHEN 0 THEN 'mean' WHEN 1 THEN 'precision' WHEN 2 THEN 'range' ELSE 'engagement_diagnostic' END"
+
+
+@register("a57_stub_protocol", f"SELECT p_partkey AS claim_id, sigma_basis, measured FROM (SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'stub' ELSE 'std' END AS sigma_basis, CASE p_partkey % 4 WHEN 0 THEN avg(l_quantity) WHEN 1 THEN coalesce(stddev_samp(l_quantity), 0) WHEN 2 THEN max(l_quantity) - min(l_quantity) END AS measured FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)")
 def a57(spark, sf_dir):
-    return cells(spark, sf_dir).select("claim_id", "engine", "model", "repeat", F.lit("stub").alias("basis"))
+    from ..operators import protocols
+
+    claims = table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey").select(F.col("p_partkey").alias("claim_id"), F.col("p_partkey").alias("experiment"), F.expr(_PROTOCOL).alias("protocol"))
+    found = protocols.dispatched(claims, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("experiment"), F.col("l_quantity").alias("value")))
+    return found.select("claim_id", "sigma_basis", F.nanvl("measured_value", F.lit(None).cast("double")).alias("measured"))
 
 
 @register("a63_a65_outcome_counts", f"WITH {_C} SELECT count(*) AS total, CAST(sum(CASE WHEN engine_error = '' THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN engine_error <> '' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM cells")
@@ -263,17 +283,57 @@ def w13(spark, sf_dir):
     return ranked(e, 5).filter("place = 1").select("doc_id", "a", "b")
 
 
-@register("w15_tail_context", "SELECT o_custkey, list_sort(list(o_orderkey))[-5:] AS last FROM orders GROUP BY 1")
+# Each entry's JSON has a length of its own, so the bound of characters cuts at different places.
+@register("w15_tail_context", """WITH e AS (SELECT o_custkey, '{"k":' || o_orderkey || ',"t":"' || repeat('x', CAST(o_orderkey % 400 AS INT)) || '"}' AS j, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back, o_orderkey FROM orders),
+n AS (SELECT *, 1 + sum(length(j) + 1) OVER (PARTITION BY o_custkey ORDER BY back) AS chars FROM e)
+SELECT o_custkey, '[' || coalesce(string_agg(j, ',' ORDER BY o_orderkey) FILTER (WHERE back <= 5 AND chars <= 900), '') || ']' AS context FROM n GROUP BY 1""")
 def w15(spark, sf_dir):
-    keys = F.array_sort(F.collect_list("o_orderkey"))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(keys.alias("k")).select("o_custkey", F.when(F.size("k") > 5, F.slice("k", -5, 5)).otherwise(F.col("k")).alias("last"))
+    from ..functions import payloads
+
+    entry = F.concat(F.lit('{"k":'), "o_orderkey", F.lit(',"t":"'), F.repeat(F.lit("x"), (F.col("o_orderkey") % 400).cast("int")), F.lit('"}'))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("j")))), lambda x: x.j)
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(payloads.tail_context(entries, most=5, chars=900).alias("context"))
+
+
+# Words of documents' first lines stand in a grid of 60 by 12 points, ten a line; pages are turned by their document's number.
+_WORDS = """words AS (SELECT doc_id, CAST(k // 120 AS BIGINT) + 1 AS page, k % 120 AS seq, w AS word, lower(trim(replace(w, chr(8211), '-'), '.,;:!?')) AS token, (k % 10) * 60.0 AS x0, (k % 120 // 10) * 12.0 AS y0, k % 120 // 10 AS line FROM (SELECT doc_id, unnest(range(len(ws))) AS k, unnest(ws) AS w FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:360] AS ws FROM documents))),
+tokens AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS place FROM words WHERE token <> ''),
+asked AS (SELECT item_id AS pattern_id, lower(trim(string_split(text, ' ')[1], '.,;:!?')) AS a, lower(trim(string_split(text, ' ')[2], '.,;:!?')) AS b FROM benchmark),
+hits AS (SELECT q.pattern_id, s.doc_id, s.page, s.place AS first, s.x0 AS ax, s.y0 AS ay, min(t.place) AS second FROM asked q JOIN tokens s ON s.token = q.a JOIN tokens t ON t.doc_id = s.doc_id AND t.page = s.page AND t.token = q.b AND t.place > s.place AND t.place <= s.place + 9 GROUP BY ALL),
+boxed AS (SELECT h.*, t.x0 AS bx, t.y0 AS b_y, least(h.ax, t.x0) AS x0, least(h.ay, t.y0) AS y0, greatest(h.ax, t.x0) + 50 AS x1, greatest(h.ay, t.y0) + 10 AS y1, CASE WHEN h.ay = t.y0 THEN 1 ELSE 2 END AS n_boxes FROM hits h JOIN tokens t ON t.doc_id = h.doc_id AND t.page = h.page AND t.place = h.second),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, ax, ay, bx, b_y ORDER BY pattern_id, first) AS dup FROM boxed) WHERE dup = 1),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pattern_id, page, first) AS rank FROM once) WHERE rank <= 3),
+turned AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN x0 / 560 WHEN 1 THEN (560 - y1) / 560 WHEN 2 THEN (560 - x1) / 560 ELSE y0 / 560 END AS l, CASE doc_id % 4 WHEN 0 THEN x1 / 560 WHEN 1 THEN (560 - y0) / 560 WHEN 2 THEN (560 - x0) / 560 ELSE y1 / 560 END AS r, CASE doc_id % 4 WHEN 0 THEN y0 / 560 WHEN 1 THEN x0 / 560 WHEN 2 THEN (560 - y1) / 560 ELSE (560 - x1) / 560 END AS t, CASE doc_id % 4 WHEN 0 THEN y1 / 560 WHEN 1 THEN x1 / 560 WHEN 2 THEN (560 - y0) / 560 ELSE (560 - x0) / 560 END AS b FROM top)"""
 
 
-@register("l07_m04_boxes", "SELECT DISTINCT l_orderkey, CAST(round(l_discount * 10) AS BIGINT) AS x, CAST(round(l_tax * 10) AS BIGINT) AS y FROM lineitem")
+@register("l07_m04_boxes", f"WITH {_WORDS} SELECT pattern_id, doc_id, page, n_boxes, greatest(0, least(1, l)) AS \"left\", greatest(0, least(1, r)) AS \"right\", greatest(0, least(1, t)) AS top, greatest(0, least(1, b)) AS bottom FROM turned")
 def l07(spark, sf_dir):
-    clamp = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-    boxes = table(spark, sf_dir, "lineitem").select("l_orderkey", F.round(clamp(F.col("l_discount")) * 10).cast("long").alias("x"), F.round(clamp(F.col("l_tax")) * 10).cast("long").alias("y"))
-    return boxes.dropDuplicates(["l_orderkey", "x", "y"])
+    from ..operators import locate
+
+    listed = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 360)
+    grid = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(listed).alias("k", "word")).select("doc_id", (F.floor(F.col("k") / 120) + 1).alias("page"), (F.col("k") % 120).alias("seq"), "word")
+    line, column = F.floor(F.col("seq") / 10), F.col("seq") % 10
+    words = grid.select("*", (column * 60).alias("x0"), (line * 12).alias("y0"), (column * 60 + 50).alias("x1"), (line * 12 + 10).alias("y1"), F.lit(0).alias("block"), line.alias("line"))
+    pages = grid.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(560).alias("width"), F.lit(560).alias("height"), (F.col("doc_id") % 4 * 90).alias("rotation"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("pattern"))
+    found = locate.located(locate.occurrences_of_words(words, asked), pages, most=3)
+    return found.select("pattern_id", "doc_id", "page", F.size("boxes").alias("n_boxes"), "region.left", "region.right", "region.top", "region.bottom")
+
+
+# A customer's orders are a page's rectangles in order of key: pieces of words that are read over two or three of them.
+@register("m05_rect_groups", "WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), g AS (SELECT o_custkey, n, k, CASE WHEN o_custkey % 2 = 0 AND n % 2 = 0 THEN (k - 1) // 2 ELSE k END AS hit FROM o) SELECT o_custkey AS doc_id, count(DISTINCT hit) AS hits, max(c) AS most FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, hit) AS c FROM g) GROUP BY 1")
+def m05(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from ..operators import locate
+
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rects = table(spark, sf_dir, "orders").select(F.lit(1).alias("pattern_id"), F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page"), k.alias("seq")).select("*", F.lit(0).alias("x0"), (F.col("seq") * 10).alias("y0"), F.lit(9).alias("x1"), (F.col("seq") * 10 + 9).alias("y1"))
+    # of an even customer the two halves of 'R DS' alternate; of an odd one each rectangle holds one character too many
+    letters = F.when(F.col("doc_id") % 2 == 0, F.when(F.col("seq") % 2 == 1, F.array(F.lit("S"), F.lit("r"))).otherwise(F.array(F.lit("d"), F.lit(" ")))).otherwise(F.array(F.lit("r"), F.lit("x")))
+    glyphs = rects.select("doc_id", "page", F.lit(5).alias("x"), (F.col("y0") + 4).alias("y"), F.explode(letters).alias("c"))
+    found = locate.occurrences_of_rects(rects, glyphs, spark.createDataFrame([(1, "R DS")], "pattern_id long, pattern string"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.max(F.size("boxes")).alias("most"))
 
 
 @register("m06_line_boxes", "SELECT l_orderkey, l_linenumber, min(l_discount) AS x0, max(l_discount) AS x1, min(l_tax) AS y0, max(l_tax) AS y1 FROM lineitem GROUP BY 1, 2")
@@ -306,16 +366,27 @@ def f36(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", reply_label(reply, ["view", "click", "purchase"]).alias("r")).select("event_id", "r.label", "r.note")
 
 
-@register("m12_m21_coercions", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS flag, o_orderkey % 500 IN (401, 403) AS permanent FROM orders")
+@register("m12_m21_coercions", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS flag, o_orderkey % 500 IN (401, 403) OR o_orderkey % 7 = 0 AS permanent FROM orders")
 def m12(spark, sf_dir):
-    word = F.when(F.col("o_orderstatus") == "F", "true").when(F.col("o_orderstatus") == "O", "false").otherwise("not_specified")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(word == "true", F.lit(True)).when(word == "false", F.lit(False)).alias("flag"), (F.col("o_orderkey") % 500).isin(401, 403).alias("permanent"))
+    from ..functions import payloads
+
+    word = F.when(F.col("o_orderstatus") == "F", " True").when(F.col("o_orderstatus") == "O", "no").otherwise("not_specified")
+    error = F.when(F.col("o_orderkey") % 7 == 0, "SSL: CERTIFICATE_VERIFY_FAILED").when(F.col("o_orderkey") % 2 == 0, "hassle")
+    return table(spark, sf_dir, "orders").select("o_orderkey", payloads.as_flag(word).alias("flag"), payloads.fails_for_good((F.col("o_orderkey") % 500).cast("int"), error).alias("permanent"))
 
 
-@register("m17_attested_entries", "SELECT o_custkey, CAST(sum(CASE WHEN o_orderkey % 30 < 20 THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM orders GROUP BY 1")
+# A customer's orders are entries; the chunk has marks of each third page and one that the document does not have.
+@register("m17_attested_entries", "WITH e AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 9999 ELSE o_orderkey % 30 END AS page FROM orders) SELECT o_custkey, list_sort(coalesce(list(o_orderkey) FILTER (WHERE page % 3 = o_custkey % 3 AND page BETWEEN 1 AND 25), [])) AS kept, (CASE WHEN o_custkey % 3 = 0 THEN '0' ELSE CAST(o_custkey % 3 AS VARCHAR) END) || '-9999 (gaps)' AS marks FROM e GROUP BY 1")
 def m17(spark, sf_dir):
-    marks = F.sequence(F.lit(0), F.lit(19))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.array_contains(marks, (F.col("o_orderkey") % 30).cast("int"))).alias("kept"))
+    from ..functions import payloads
+
+    page = F.when(F.col("o_orderkey") % 11 == 0, 9999).otherwise(F.col("o_orderkey") % 30)
+    entries = F.array_sort(F.collect_list(F.struct("o_orderkey", page.alias("start_page"))))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(entries.alias("entries"))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.format_string("--- PAGE %d ---\nbody", k * 3 + F.col("o_custkey") % 3))
+    chunk = F.concat(F.array_join(marks, "\n"), F.lit("\nprinted --- PAGE 9999 --- in the body"))
+    kept = F.transform(payloads.attested(F.col("entries"), F.col("chunk"), F.lit(25)), lambda e: e.o_orderkey)
+    return rows.withColumn("chunk", chunk).select("o_custkey", kept.alias("kept"), payloads.described_marks(F.col("chunk")).alias("marks"))
 
 
 @register("x01_table_functions", None)
@@ -328,7 +399,10 @@ def x01(spark, sf_dir):
     return spark.sql("SELECT d.doc_id, t.line_no, t.chars FROM ql_documents d, LATERAL text_lines(d.text) t")
 
 
-@register("x05_protocol_dispatch", "SELECT user_id, avg(value) AS measured FROM events GROUP BY 1")
+@register("x05_protocol_dispatch", f"SELECT {_PROTOCOL} AS protocol, count(*) AS claims, count(*) FILTER (WHERE p_partkey % 4 = 3) AS open FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 1")
 def x05(spark, sf_dir):
-    protocols = {"mean": lambda rows: rows.groupBy("user_id").agg(F.avg("value").alias("measured"))}
-    return protocols["mean"](table(spark, sf_dir, "events"))
+    from ..operators import protocols
+
+    claims = table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey").select(F.col("p_partkey").alias("claim_id"), F.col("p_partkey").alias("experiment"), F.expr(_PROTOCOL).alias("protocol"))
+    found = protocols.dispatched(claims, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("experiment"), F.col("l_quantity").alias("value")))
+    return claims.join(found, "claim_id").groupBy("protocol").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.size("unmatched") > 0).alias("open"))
