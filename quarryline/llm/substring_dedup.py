@@ -300,7 +300,8 @@ def _suffixes(window: int, large: Broadcast, bins: int):
             settled = _repeats(group, path, doc[of])
             if settled.any():
                 docs, rows, starts = _starts_of(of[settled], pos[settled], doc, row)
-                yield pa.RecordBatch.from_arrays([pa.array((np.asarray(rows).view(np.uint64) % np.uint64(bins)).astype(np.int32)), docs, rows, starts, pa.nulls(len(docs), pa.binary())], _names(_BINS))
+                anywhere = mix(np.asarray(docs).view(np.uint64), np.asarray(rows).view(np.uint64)) % np.uint64(bins)
+                yield pa.RecordBatch.from_arrays([pa.array(anywhere.astype(np.int32)), docs, rows, starts, pa.nulls(len(docs), pa.binary())], _names(_BINS))
             left = np.flatnonzero(~settled)
             where = (group[left] % np.uint64(bins)).astype(np.int32)
             order = np.argsort(where, kind="stable")
