@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cells as c
-from ..operators import claims, gates
+from ..operators import claims, gates, reports
 from ..operators import grading as g
 from ..operators import stats as st
 from ..operators import traces as tr
@@ -128,10 +128,9 @@ def a35(spark, sf_dir):
     return cells(spark, sf_dir).groupBy("model").agg(c.share(F.col("overall_pass"), F.col("verdict") == "fail").alias("rate"))
 
 
-@register("a37_a38_zero_bounds", f"WITH {_C}, u AS (SELECT model, count(*) AS cells, count(DISTINCT claim_id) AS claims FROM cells GROUP BY 1) SELECT model, 100 * (1 - pow(0.05, 1.0 / cells)) AS bound_cells, 100 * (1 - pow(0.05, 1.0 / claims)) AS bound_claims FROM u")
+@register("a37_a38_zero_bounds", f"WITH {_C}, u AS (SELECT model, 'cell' AS unit, count(*) AS n FROM cells GROUP BY 1 UNION ALL SELECT model, 'claim_and_model', count(DISTINCT claim_id) FROM cells GROUP BY 1 UNION ALL SELECT model, 'claim', count(DISTINCT claim_id) FROM cells GROUP BY 1) SELECT model, unit, n, 100 * (1 - pow(0.05, 1.0 / n)) AS bound FROM u")
 def a37(spark, sf_dir):
-    u = cells(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("claim_id").alias("claims"))
-    return u.select("model", st.upper_bound(F.lit(0), F.col("cells")).alias("bound_cells"), st.upper_bound(F.lit(0), F.col("claims")).alias("bound_claims"))
+    return reports.pooled_bounds(cells(spark, sf_dir))
 
 
 @register("a46_cohens_kappa", "WITH t AS (SELECT count(*) AS n, sum(CASE WHEN quality = 1 AND toxic = 1 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS b, sum(CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END) AS c, sum(CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END) AS d FROM labels), p AS (SELECT *, (a + d) / n AS p_o, ((a + b) * (a + c) + (d + c) * (d + b)) / (n * n) AS p_e FROM t) SELECT p_o, p_e, (p_o - p_e) / (1 - p_e) AS kappa FROM p")
@@ -168,9 +167,27 @@ def a47(spark, sf_dir):
     return st.label_f1(both)
 
 
-@register("j20_j21_annotators", "SELECT count(*) AS n, CAST(sum(CASE WHEN quality = toxic THEN 1 ELSE 0 END) AS BIGINT) AS same FROM labels JOIN documents USING (doc_id)")
+# Orders as cells: gold labels of their status and priority, another annotator's of status alone for some, none for others.
+_LABELS = "g AS (SELECT o_orderkey AS cell_id, CASE WHEN o_orderkey % 5 = 0 THEN [] ELSE list_distinct([o_orderstatus, o_orderpriority[1:1]]) END AS labels FROM orders), a AS (SELECT o_orderkey AS cell_id, CASE WHEN o_orderkey % 3 = 0 THEN [o_orderstatus] WHEN o_orderkey % 3 = 1 THEN [o_orderpriority[1:1], o_orderstatus, o_orderstatus] ELSE [] END AS labels FROM orders WHERE o_orderkey % 7 <> 0)"
+
+
+def _labels(spark, sf_dir):
+    k, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
+    none = F.expr("cast(array() as array<string>)")
+    orders = table(spark, sf_dir, "orders")
+    gold = orders.select(k.alias("cell_id"), F.when(k % 5 == 0, none).otherwise(F.array_distinct(F.array(status, priority))).alias("labels"))
+    auto = orders.filter(k % 7 != 0).select(k.alias("cell_id"), F.when(k % 3 == 0, F.array(status)).when(k % 3 == 1, F.array(priority, status, status)).otherwise(none).alias("labels"))
+    return gold, auto
+
+
+@register("j20_gold_labels", f"WITH {_LABELS}, b AS (SELECT g.cell_id, g.labels AS g, coalesce(a.labels, []) AS a FROM g LEFT JOIN a USING (cell_id)), e AS (SELECT unnest(list_distinct(list_concat(g, a))) AS label, g, a FROM b) SELECT label, count(*) FILTER (WHERE list_contains(g, label) AND list_contains(a, label)) AS found, count(*) FILTER (WHERE list_contains(g, label) AND NOT list_contains(a, label)) AS missed, count(*) FILTER (WHERE NOT list_contains(g, label)) AS added FROM e GROUP BY 1")
 def j20(spark, sf_dir):
-    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == F.col("toxic")).alias("same"))
+    return reports.gold_against_auto(*_labels(spark, sf_dir))
+
+
+@register("j21_annotators", f"WITH {_LABELS} SELECT count(*) AS both, count(*) FILTER (WHERE list_sort(g.labels) = list_sort(list_distinct(a.labels))) AS same_set, count(*) FILTER (WHERE (len(g.labels) > 0) = (len(a.labels) > 0)) AS same_sign FROM g JOIN a USING (cell_id)")
+def j21(spark, sf_dir):
+    return reports.annotator_agreement(*_labels(spark, sf_dir))
 
 
 _PAIR = f"WITH {_C}, b AS (SELECT * FROM cells WHERE repeat = 1), n AS (SELECT * FROM cells WHERE repeat = 2)"
@@ -393,9 +410,9 @@ def a44(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderdate") > cut).alias("after"), F.count_if(F.col("o_orderdate") <= cut).alias("before"))
 
 
-@register("a41_needle_lengths", "SELECT length(p_name) AS chars, count(*) AS n FROM part GROUP BY 1")
+@register("a41_needle_lengths", "WITH n AS (SELECT unnest([CAST(p_size AS VARCHAR), p_brand, p_name]) AS needle FROM part) SELECT length(needle) AS chars, count(*) FILTER (WHERE regexp_matches(needle, '[0-9]')) AS numeric, count(*) FILTER (WHERE NOT regexp_matches(needle, '[0-9]')) AS words FROM n GROUP BY 1")
 def a41(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.length("p_name").cast("long").alias("chars")).agg(F.count(F.lit(1)).alias("n"))
+    return reports.needle_lengths(table(spark, sf_dir, "part").select(F.array(F.col("p_size").cast("string"), "p_brand", "p_name").alias("value_contains"))).withColumn("chars", F.col("chars").cast("long"))
 
 
 @register("l06_claim_order", f"WITH {_C}, d AS (SELECT DISTINCT claim_id, engine FROM cells) SELECT claim_id, engine, row_number() OVER (ORDER BY CASE engine WHEN 'O' THEN 0 ELSE 1 END, claim_id) AS place FROM d")

@@ -172,7 +172,9 @@ def w16(spark, sf_dir):
     return layout.front_matter(doc_pages(spark, sf_dir), max_chars=1000).select("doc_id", "chars_shown", "pages_shown")
 
 
-@register("w14_page_chunks", None)
+@register("w14_page_chunks", f"""WITH RECURSIVE {_DOC_PAGES}, r AS (SELECT doc_id, page, length(page_text) AS held, 1 AS chunk FROM pages_ WHERE page = 1
+UNION ALL SELECT p.doc_id, p.page, CASE WHEN r.held > 0 AND r.held + length(p.page_text) > 3000 THEN length(p.page_text) ELSE r.held + length(p.page_text) END, r.chunk + CASE WHEN r.held > 0 AND r.held + length(p.page_text) > 3000 THEN 1 ELSE 0 END FROM r JOIN pages_ p ON p.doc_id = r.doc_id AND p.page = r.page + 1)
+SELECT doc_id, page, chunk FROM r""")
 def w14(spark, sf_dir):
     return layout.chunks(doc_pages(spark, sf_dir), size=3000)
 

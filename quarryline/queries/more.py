@@ -31,10 +31,11 @@ def p26(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tt.is_exact_part(_pick(_QUERIES, k), _pick(_FAMILIES, k)).alias("exact"))
 
 
-@register("p09_option_key", "SELECT region.r_regionkey, true AS strip_furniture FROM region")
+@register("p09_option_key", "SELECT c_custkey, lower(trim(CASE c_custkey % 6 WHEN 0 THEN '0' WHEN 1 THEN ' FALSE ' WHEN 2 THEN 'no' WHEN 3 THEN 'Off' WHEN 4 THEN c_mktsegment END)) NOT IN ('0', 'false', 'no', 'off') OR c_custkey % 6 = 5 AS switched_on FROM customer")
 def p09(spark, sf_dir):
-    key = F.from_json(F.lit(options.Options().key()), "strip_furniture boolean")
-    return table(spark, sf_dir, "region").select("r_regionkey", key.strip_furniture.alias("strip_furniture"))
+    words = F.get(F.array(*map(F.lit, ["0", " FALSE ", "no", "Off"])), (F.col("c_custkey") % 6).cast("int"))
+    value = F.when(F.col("c_custkey") % 6 == 4, F.col("c_mktsegment")).when(F.col("c_custkey") % 6 < 4, words)
+    return table(spark, sf_dir, "customer").select("c_custkey", options.is_on(value).alias("switched_on"))
 
 
 @register("x06_x07_model_captions", f"WITH i AS ({_IMAGES}), q AS (SELECT *, CASE WHEN xref = 0 THEN -seq ELSE xref END AS picture FROM i) SELECT doc_id, seq, coalesce(caption, 'picture ' || doc_id || '/' || picture) AS caption FROM q")

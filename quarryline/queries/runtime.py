@@ -79,12 +79,15 @@ def k01(spark, sf_dir):
     return spark.read.schema("claim_id long, engine string").json(folder).groupBy("claim_id", "engine").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("k08_summary_sink", f"WITH {_C} SELECT model, count(*) AS entries FROM cells GROUP BY 1")
+@register("k08_summary_sink", f"WITH {_C}, e AS (SELECT model, claim_id || '|' || engine AS key, overall_pass, confidence FROM cells WHERE repeat = 1) SELECT * FROM e UNION ALL SELECT 'default', key, overall_pass, confidence FROM e WHERE model = 'A'")
 def k08(spark, sf_dir):
-    key = F.concat_ws("|", "claim_id", "engine", "repeat")
-    maps = cells(spark, sf_dir).groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct("overall_pass", "confidence")))).alias("m"))
-    back = maps.select("model", F.from_json(F.to_json("m"), "map<string,struct<overall_pass:boolean,confidence:double>>").alias("m"))
-    return back.select("model", F.size("m").cast("long").alias("entries"))
+    from ..operators import reports
+
+    folder = shared_folder(spark, "summary")
+    entries = reports.summary_entries(cells(spark, sf_dir).filter("repeat = 1").select("claim_id", "engine", "model", "overall_pass", "confidence"), "A")
+    entries.write.partitionBy("model").mode("overwrite").json(folder)
+    back = spark.read.schema("key string, cell string, model string").json(folder)
+    return back.select("model", "key", F.inline(F.array(F.from_json("cell", "struct<overall_pass:boolean,confidence:double>"))))
 
 
 @register("s07_nested_baseline", f"WITH {_C} SELECT claim_id, engine, model, count(*) AS n FROM cells GROUP BY 1, 2, 3")
@@ -178,10 +181,21 @@ def p31(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(payloads.shown_values(F.array_sort(F.collect_list(value)), ["min", "unit"]).alias("shown"))
 
 
-@register("j08_section_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (SELECT max(n_nationkey) FROM nation WHERE n_regionkey = l_linenumber) AS target FROM lineitem")
+# Line items are sections with printed numbers, some of them twice; an order's references name sections and figures.
+@register("j08_section_lookup", """WITH s AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, (l_linenumber % 4) || '.' || (l_suppkey % 2) AS number, l_partkey FROM lineitem),
+last AS (SELECT doc_id, number, arg_max('n' || l_partkey, seq) AS node_id FROM s GROUP BY 1, 2),
+refs AS (SELECT o_orderkey AS doc_id, 'section' AS type, unnest(list_distinct(['1.0', (o_custkey % 4) || '.1'])) AS target FROM orders UNION ALL SELECT o_orderkey, 'figure', 'Figure 1.0' FROM orders) SELECT r.doc_id, r.type, r.target, l.node_id FROM refs r LEFT JOIN last l ON r.type = 'section' AND l.doc_id = r.doc_id AND l.number = r.target""")
 def j08(spark, sf_dir):
-    last = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("l_linenumber")).agg(F.max_by("n_nationkey", "n_nationkey").alias("target"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(last, "l_linenumber", "left")
+    from pyspark.sql import Window
+
+    from ..functions.text import cross_references
+    from ..operators import reports
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    sections = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("seq"), F.concat(F.lit(" "), (F.col("l_linenumber") % 4).cast("string"), F.lit("."), (F.col("l_suppkey") % 2).cast("string"), F.lit(" Limits")).alias("title"), F.concat(F.lit("n"), "l_partkey").alias("node_id"))
+    text = F.concat(F.lit("See Section 1.0 and refer to Section "), (F.col("o_custkey") % 4).cast("string"), F.lit(".1, see Figure 1.0."))
+    references = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.inline(cross_references(text)))
+    return reports.resolved_references(references, sections)
 
 
 @register("j24_verdict_flips", f"WITH {_C} SELECT model, CAST(sum(CASE WHEN overall_pass <> (q % 10 < 7) THEN 1 ELSE 0 END) AS BIGINT) AS flips FROM cells GROUP BY 1")
@@ -218,11 +232,12 @@ def a12(spark, sf_dir):
     return gates.error_rows(gated(spark, sf_dir).filter("repeat = 2"))
 
 
-@register("a17_failed_cells", f"WITH {_C}, b AS (SELECT * FROM cells WHERE repeat = 1), n AS (SELECT * FROM cells WHERE repeat = 3 AND q % 4 <> 0) SELECT b.claim_id, b.engine, b.model, coalesce(n.overall_pass, false) AS overall_pass FROM b LEFT JOIN n ON b.claim_id = n.claim_id AND b.engine = n.engine AND b.model = n.model")
+@register("a17_failed_cells", f"WITH {_C}, b AS (SELECT * FROM cells WHERE repeat = 1), n AS (SELECT * FROM cells WHERE repeat = 3 AND q % 4 <> 0) SELECT b.claim_id, b.engine, b.model, CAST(1 AS BIGINT) AS repeat, coalesce(n.overall_pass, false) AS overall_pass, coalesce(n.confidence, 0) AS confidence, n.verdict, coalesce(n.engine_error, 'no cell') AS engine_error FROM b LEFT JOIN n ON b.claim_id = n.claim_id AND b.engine = n.engine AND b.model = n.model")
 def a17(spark, sf_dir):
+    from ..operators import reports
+
     c = cells(spark, sf_dir)
-    key = ["claim_id", "engine", "model"]
-    return c.filter("repeat = 1").select(*key).join(c.filter("repeat = 3 AND q % 4 <> 0").select(*key, "overall_pass"), key, "left").select(*key, F.coalesce("overall_pass", F.lit(False)).alias("overall_pass"))
+    return reports.imported_repeat(c.filter("repeat = 3 AND q % 4 <> 0"), c.filter("repeat = 1"))
 
 
 @register("a23_fidelity_grid", f"WITH {_C}, g AS (SELECT claim_id, model, max(CASE WHEN overall_pass AND confidence >= 0.85 THEN 1.0 WHEN overall_pass THEN 0.5 ELSE 0.0 END) AS v FROM cells GROUP BY 1, 2) SELECT claim_id, max(CASE WHEN model = 'A' THEN v END) AS A, max(CASE WHEN model = 'N' THEN v END) AS N, max(CASE WHEN model = 'R' THEN v END) AS R FROM g GROUP BY 1")
@@ -246,16 +261,33 @@ def a40(spark, sf_dir):
     return cells(spark, sf_dir).rollup("model").agg(F.avg("n").alias("nav"), F.count(F.lit(1)).alias("cells"))
 
 
-@register("a45_oracle_envelope", "SELECT count(*) AS both_sets FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT p_partkey FROM part WHERE p_size > 25)")
+@register("a45_oracle_envelope", f"WITH {_C}, h AS (SELECT DISTINCT model AS arm, claim_id FROM cells WHERE overall_pass AND engine = 'O'), n AS (SELECT DISTINCT arm FROM h), p AS (SELECT x.arm AS a, y.arm AS b FROM n x JOIN n y ON x.arm < y.arm) SELECT a, b, (SELECT count(*) FROM (SELECT claim_id FROM h WHERE arm = a INTERSECT SELECT claim_id FROM h WHERE arm = b)) AS both, (SELECT count(*) FROM (SELECT claim_id FROM h WHERE arm = a EXCEPT SELECT claim_id FROM h WHERE arm = b)) AS only_a, (SELECT count(*) FROM (SELECT claim_id FROM h WHERE arm = b EXCEPT SELECT claim_id FROM h WHERE arm = a)) AS only_b, (SELECT count(*) FROM (SELECT claim_id FROM h WHERE arm = a UNION SELECT claim_id FROM h WHERE arm = b)) AS either FROM p")
 def a45(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select("l_partkey")
-    b = table(spark, sf_dir, "part").filter("p_size > 25").select("p_partkey")
-    return a.intersect(b).agg(F.count(F.lit(1)).alias("both_sets"))
+    from ..operators import reports
 
+    return reports.envelope(cells(spark, sf_dir).filter("overall_pass AND engine = 'O'").select(F.col("model").alias("arm"), "claim_id"))
 
-@register("a48_unit_containment", "SELECT p_type, CAST(sum(CASE WHEN contains(lower(p_name), lower(split_part(p_name, ' ', 2))) THEN 1 ELSE 0 END) AS BIGINT) AS held FROM part GROUP BY 1")
+
+# Parts are cells: needles of size and brand, values that hold them for some, prose that does for others.
+@register("a48_unit_containment", """WITH c AS (SELECT p_type AS model, CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE 2 END AS needles, p_partkey % 3 = 0 AS in_values, p_partkey % 3 <> 2 AS in_all, p_partkey % 4 <> 0 AS overall_pass, p_partkey % 2 = 0 AS unit FROM part)
+SELECT model, count(*) AS cells, count(*) FILTER (WHERE needles > 0) AS covered, count(*) FILTER (WHERE needles > 0 AND in_values) AS strict, count(*) FILTER (WHERE needles > 0 AND overall_pass AND in_all AND NOT in_values) AS prose_only, count(*) FILTER (WHERE unit) AS unit_held FROM c GROUP BY 1""")
 def a48(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.count_if(F.contains(F.lower("p_name"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))))).alias("held"))
+    from ..operators import reports
+
+    k = F.col("p_partkey")
+    both = F.concat(F.lit("size "), F.col("p_size").cast("string"), F.lit(".0 of "), F.upper("p_brand"))
+    needles = F.when(k % 6 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.col("p_size").cast("string"), F.lower("p_brand")))
+    values = F.concat(F.when(k % 3 == 0, both).otherwise("none"), F.when(k % 2 == 0, " mV").otherwise(" A"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("model"), needles.alias("value_contains"), values.alias("values"), F.when(k % 3 == 1, both).otherwise("text").alias("prose"), F.lit("MV").alias("unit"), (k % 4 != 0).alias("overall_pass"))
+    return reports.rescored(rows)
+
+
+@register("a66_model_summary", f"WITH {_C}, {_GATED} SELECT model, count(*) AS completed, avg(CASE WHEN overall_pass THEN 1.0 ELSE 0.0 END) AS fidelity, avg(CASE WHEN overall_pass AND value_pass THEN 1.0 ELSE 0.0 END) AS strict, count(*) FILTER (WHERE overall_pass AND n_verify = 0) AS flags, avg(n_read + n_verify) AS mean_calls, avg(n_verify) AS mean_nav_calls FROM gated WHERE status = 'ok' AND engine_error = '' GROUP BY 1")
+def a66(spark, sf_dir):
+    from ..operators import reports, traces
+
+    flagged = F.size(traces.silent_failure(F.col("overall_pass"), F.col("n_tool_calls_by_tool"))) > 0
+    return reports.model_summary(gated(spark, sf_dir), ["search_text"], flagged)
 
 
 _PROTOCOL = "CASE p_partkey % 4 WHEN 0 THEN 'mean' WHEN 1 THEN 'precision' WHEN 2 THEN 'range' ELSE 'engagement_diagnostic' END"
@@ -389,7 +421,7 @@ def m17(spark, sf_dir):
     return rows.withColumn("chunk", chunk).select("o_custkey", kept.alias("kept"), payloads.described_marks(F.col("chunk")).alias("marks"))
 
 
-@register("x01_table_functions", None)
+@register("x01_table_functions", "SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS line_no, length(unnest(string_split(text, chr(10)))) AS chars FROM documents")
 def x01(spark, sf_dir):
     """The section reader as a SQL table function over a page's text."""
     from .. import functions
