@@ -117,6 +117,8 @@ def read_png(data: bytes) -> np.ndarray:
             raise ValueError(f"wrong checksum of the chunk {kind!r}")
         body = view[at + 8 : at + 8 + n]
         if kind == b"IHDR":
+            if n != 13:
+                raise ValueError("the head has a wrong length")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             stream.append(body)
@@ -127,7 +129,10 @@ def read_png(data: bytes) -> np.ndarray:
     width, height, *layout = head
     if layout != [8, 0, 0, 0, 0]:
         raise ValueError(f"not a plain grey 8-bit picture: {layout}")
-    lines = np.frombuffer(zlib.decompress(b"".join(stream)), np.uint8)
+    try:
+        lines = np.frombuffer(zlib.decompress(b"".join(stream)), np.uint8)
+    except zlib.error as e:
+        raise ValueError(f"the samples cannot be unpacked: {e}") from e
     if lines.size != height * (width + 1):
         raise ValueError("the samples do not fill the picture")
     lines = lines.reshape(height, width + 1)
