@@ -113,3 +113,50 @@ def resolved_references(references: DataFrame, sections: DataFrame, doc: str = "
     """References (type, target) with the node of the section that they name; null for figures, tables and unknown numbers."""
     numbers = section_numbers(sections, doc).withColumn("type", F.lit("section")).withColumnRenamed("number", "target")
     return references.join(numbers, [doc, "type", "target"], "left")
+
+
+def revision_means(cells: DataFrame, tools: list[str]) -> DataFrame:
+    """Mean calls of the given tools over the passing cells of each model and revision, and their number; a revision without any has a mean of 0."""
+    passing = F.col("overall_pass") & ~has_error()
+    return cells.groupBy("model", "revision").agg(F.count_if(passing).alias("cells"), F.coalesce(F.avg(F.when(passing, _calls(tools))), F.lit(0.0)).alias("mean_calls"))
+
+
+def chronology(runs: DataFrame, cut: Column, by: str = "model") -> DataFrame:
+    """Runs that started before and after a point in time, and the first and last start; a run without a time is counted apart."""
+    at = F.col("started")
+    return runs.groupBy(by).agg(F.count_if(at <= cut).alias("before"), F.count_if(at > cut).alias("after"), F.count_if(at.isNull()).alias("unknown"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+def batch_outcomes(results: DataFrame, error: str = "error") -> DataFrame:
+    """How many documents of a batch there are, how many were built and how many failed."""
+    failed = F.coalesce(F.col(error), F.lit("")) != ""
+    return results.agg(F.count(F.lit(1)).alias("total"), F.count_if(~failed).alias("success_count"), F.count_if(failed).alias("failure_count"))
+
+
+def divergence(measured: DataFrame) -> DataFrame:
+    """One row: claims by verdict (null where a claim's data could not be loaded), and whether the scan is a result at all: only if none was left out."""
+    verdicts = [F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("pass", "inconclusive", "fail")]
+    skipped = F.count_if(F.col("verdict").isNull())
+    return measured.agg(*verdicts, skipped.alias("n_skipped"), (skipped == 0).alias("complete"))
+
+
+def clean_arm(cells: DataFrame, flagged: Column, agentic: str = "agentic") -> DataFrame:
+    """The detector over clean cells: how many agentic ones, how many it looks at (they passed and did not break), how many it flags, and that rate."""
+    arm = cells.filter(F.col("engine") == agentic)
+    engaged = F.coalesce("overall_pass", F.lit(False)) & ~has_error()
+    out = arm.agg(F.count(F.lit(1)).alias("total"), F.count_if(engaged).alias("evaluated"), F.count_if(engaged & flagged).alias("flagged"))
+    return out.withColumn("fp_rate", F.coalesce(F.try_divide("flagged", "evaluated"), F.lit(0.0)))
+
+
+def corpus_shape(documents: DataFrame, figures: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Pages, figures, pictures, captions and whole characters a page of each document; -1 characters where pages or text are unknown."""
+    counts = figures.groupBy(doc).agg(F.count(F.lit(1)).alias("figures"), F.count_if(F.col("kind") == "raster").alias("raster"), F.count_if(F.trim("caption") != "").alias("captioned"))
+    density = F.when((F.col("total_pages") > 0) & F.col("n_chars").isNotNull(), F.floor(F.col("n_chars") / F.col("total_pages"))).otherwise(-1)
+    zero = {c: 0 for c in ("figures", "raster", "captioned")}
+    return documents.join(counts, doc, "left").select(doc, "total_pages", *zero, density.cast("long").alias("chars_per_page")).na.fill(zero)
+
+
+def grouped_events(events: DataFrame) -> DataFrame:
+    """Events by model, claim and engine in order of step, without session marks and events of no claim: the kinds of each group, and how many."""
+    known = events.filter((F.col("kind") != "session_start") & (F.coalesce("claim_id", F.lit("")) != "") & (F.coalesce("engine", F.lit("")) != ""))
+    return known.groupBy("model", "claim_id", "engine").agg(F.count(F.lit(1)).alias("events"), F.transform(F.array_sort(F.collect_list(F.struct("step", "kind"))), lambda x: x.kind).alias("kinds"))

@@ -355,9 +355,11 @@ def w11(spark, sf_dir):
     return tr.keep_first(rows, ["conv_id", "turn"], "o").select("conv_id", "turn", "role")
 
 
-@register("a69_event_groups", f"WITH {_S} SELECT claim_id, list_sort(list(DISTINCT run_id)) AS runs FROM steps GROUP BY 1")
+@register("a69_event_groups", f"WITH {_S}, e AS (SELECT 'm' || run_id % 3 AS model, CASE WHEN claim_id % 7 <> 0 THEN 'c' || claim_id END AS claim_id, CASE WHEN run_id % 2 = 0 THEN 'agentic' ELSE '' END AS engine, CASE WHEN step = 1 THEN 'session_start' ELSE kind END AS kind, run_id * 100000 + step AS step FROM steps) SELECT model, claim_id, engine, count(*) AS events, list(kind ORDER BY step) AS kinds FROM e WHERE kind <> 'session_start' AND claim_id IS NOT NULL AND engine <> '' GROUP BY 1, 2, 3")
 def a69(spark, sf_dir):
-    return steps(spark, sf_dir).groupBy("claim_id").agg(F.array_sort(F.collect_set("run_id")).alias("runs"))
+    run, claim = F.col("run_id"), F.col("claim_id")
+    events = steps(spark, sf_dir).select(F.concat(F.lit("m"), (run % 3).cast("string")).alias("model"), F.when(claim % 7 != 0, F.concat(F.lit("c"), claim.cast("string"))).alias("claim_id"), F.when(run % 2 == 0, "agentic").otherwise("").alias("engine"), F.when(F.col("step") == 1, "session_start").otherwise(F.col("kind")).alias("kind"), (run * 100000 + F.col("step")).alias("step"))
+    return reports.grouped_events(events)
 
 
 # Extractions and expectations from parts.
@@ -404,10 +406,11 @@ def j28(spark, sf_dir):
     return claims.merged_phases(first, second, "o_orderkey", ["measured"])
 
 
-@register("a44_chronology", "SELECT o_orderstatus, CAST(sum(CASE WHEN o_orderdate > TIMESTAMP '1997-01-01' THEN 1 ELSE 0 END) AS BIGINT) AS after, CAST(sum(CASE WHEN o_orderdate <= TIMESTAMP '1997-01-01' THEN 1 ELSE 0 END) AS BIGINT) AS before FROM orders GROUP BY 1")
+@register("a44_chronology", "SELECT o_orderstatus, count(*) FILTER (WHERE s <= TIMESTAMP '1997-01-01') AS before, count(*) FILTER (WHERE s > TIMESTAMP '1997-01-01') AS after, count(*) FILTER (WHERE s IS NULL) AS unknown, epoch(min(s)) AS first, epoch(max(s)) AS last FROM (SELECT o_orderstatus, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END AS s FROM orders) GROUP BY 1")
 def a44(spark, sf_dir):
-    cut = F.lit("1997-01-01").cast("timestamp")
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderdate") > cut).alias("after"), F.count_if(F.col("o_orderdate") <= cut).alias("before"))
+    runs = table(spark, sf_dir, "orders").select("o_orderstatus", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate").cast("timestamp")).alias("started"))
+    found = reports.chronology(runs, F.lit("1997-01-01").cast("timestamp"), "o_orderstatus")
+    return found.withColumns({c: F.unix_timestamp(c).cast("double") for c in ("first", "last")})
 
 
 @register("a41_needle_lengths", "WITH n AS (SELECT unnest([CAST(p_size AS VARCHAR), p_brand, p_name]) AS needle FROM part) SELECT length(needle) AS chars, count(*) FILTER (WHERE regexp_matches(needle, '[0-9]')) AS numeric, count(*) FILTER (WHERE NOT regexp_matches(needle, '[0-9]')) AS words FROM n GROUP BY 1")

@@ -159,9 +159,14 @@ def s12(spark, sf_dir):
     return page_texts(marked_text(doc_pages(spark, sf_dir), "doc_id")).withColumn("page", F.col("page").cast("long"))
 
 
-@register("a68_corpus_shape", f"WITH {_DOC_PAGES} SELECT doc_id, count(*) AS pages, CAST(floor(sum(length(page_text)) / count(*)) AS BIGINT) AS chars_a_page FROM pages_ GROUP BY 1")
+@register("a68_corpus_shape", f"WITH {_DOC_PAGES}, p AS (SELECT doc_id, count(*) AS total_pages, sum(length(page_text)) AS n_chars FROM pages_ GROUP BY 1), f AS (SELECT CAST(l_partkey AS BIGINT) AS doc_id, count(*) AS figures, count(*) FILTER (WHERE l_returnflag = 'R') AS raster, count(*) FILTER (WHERE trim(CASE l_linestatus WHEN 'O' THEN l_shipmode ELSE ' ' END) <> '') AS captioned FROM (SELECT l_partkey, l_returnflag, l_linestatus, 'mode' AS l_shipmode FROM lineitem) GROUP BY 1) SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN total_pages END AS total_pages, coalesce(figures, 0) AS figures, coalesce(raster, 0) AS raster, coalesce(captioned, 0) AS captioned, CASE WHEN doc_id % 9 = 0 OR doc_id % 10 = 0 THEN -1 ELSE CAST(floor(n_chars / total_pages) AS BIGINT) END AS chars_per_page FROM p LEFT JOIN f USING (doc_id)")
 def a68(spark, sf_dir):
-    return doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.floor(F.sum(F.length("page_text")) / F.count(F.lit(1))).alias("chars_a_page"))
+    from ..operators import reports
+
+    sizes = doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("page_text")).alias("chars"))
+    docs = sizes.select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("n")).alias("total_pages"), F.when(F.col("doc_id") % 10 != 0, F.col("chars")).alias("n_chars"))
+    figures = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("doc_id"), F.when(F.col("l_returnflag") == "R", "raster").otherwise("caption").alias("kind"), F.when(F.col("l_linestatus") == "O", "mode").otherwise(" ").alias("caption"))
+    return reports.corpus_shape(docs, figures)
 
 
 @register("w16_front_matter", f"""WITH {_DOC_PAGES}, f AS (SELECT doc_id, page, page_text AS t, length(page_text) AS n, coalesce(sum(length(page_text)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pages_ WHERE page <= 2),

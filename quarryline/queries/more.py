@@ -38,6 +38,27 @@ def p09(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", options.is_on(value).alias("switched_on"))
 
 
+# A stand-in for a model: it answers with the first two words of what it is asked, and with entries of pages that it makes up in part.
+@register("x07_model_summaries", "SELECT doc_id, doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN NULLIF(trim(array_to_string(string_split(text, ' ')[1:2], ' ')), '') END AS summary FROM documents")
+def x07_summaries(spark, sf_dir):
+    sections = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("seq"), F.col("text").alias("section_text"))
+    wanted = sections.select("doc_id", (F.col("doc_id") % 3 == 0).alias("recommend_summaries"))
+    found = enrich.summarised(sections, lambda asked: [" ".join(x.split(" ")[:2]) for x in asked], wanted)
+    return found.select("doc_id", "seq", "summary")
+
+
+@register("x07_model_outline", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, title) AS seq, 1 AS level, title, page AS start_page FROM (SELECT o_orderkey AS doc_id, p.page, 'A ' || p.page AS title FROM orders, (SELECT unnest([1, 2]) AS page) p WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 2, 'B 2' FROM orders WHERE o_orderkey % 5 = 0)")
+def x07_outline(spark, sf_dir):
+    import json
+
+    def ask(chunks: list[str]) -> list[str]:
+        # 'A 1' and 'A 2' stand on pages of the chunk, 'B 2' is said twice, page 7 has no mark, page 9 lies past the end
+        return ["Here:\n" + json.dumps([{"level": 1, "title": t, "page": p} for t, p in (("A 1", 1), ("A 2", 2), ("B 2", 2), ("B 2", 2), ("C", 7), ("D", 9))]) for _ in chunks]
+
+    chunks = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("chunk"), F.lit("--- PAGE 1 ---\na\n--- PAGE 2 ---\nb\n--- PAGE 9 ---").alias("text"), F.lit(8).alias("total_pages"))
+    return enrich.outlined(chunks, ask).select("doc_id", "seq", "level", "title", "start_page")
+
+
 @register("x06_x07_model_captions", f"WITH i AS ({_IMAGES}), q AS (SELECT *, CASE WHEN xref = 0 THEN -seq ELSE xref END AS picture FROM i) SELECT doc_id, seq, coalesce(caption, 'picture ' || doc_id || '/' || picture) AS caption FROM q")
 def x07(spark, sf_dir):
     from ..operators.layout import rasters

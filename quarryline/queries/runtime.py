@@ -302,9 +302,33 @@ def a57(spark, sf_dir):
     return found.select("claim_id", "sigma_basis", F.nanvl("measured_value", F.lit(None).cast("double")).alias("measured"))
 
 
-@register("a63_a65_outcome_counts", f"WITH {_C} SELECT count(*) AS total, CAST(sum(CASE WHEN engine_error = '' THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN engine_error <> '' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM cells")
+@register("a63_batch_outcomes", f"WITH {_C} SELECT count(*) AS total, count(*) FILTER (WHERE engine_error = '') AS success_count, count(*) FILTER (WHERE engine_error <> '') AS failure_count FROM cells")
 def a63(spark, sf_dir):
-    return cells(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("engine_error") == "").alias("done"), F.count_if(F.col("engine_error") != "").alias("failed"))
+    from ..operators import reports
+
+    return reports.batch_outcomes(cells(spark, sf_dir), "engine_error")
+
+
+@register("a65_divergence", f"WITH {_C}, v AS (SELECT CASE WHEN engine_error = '' THEN verdict END AS verdict FROM cells WHERE repeat = 1) SELECT count(*) FILTER (WHERE verdict = 'pass') AS n_pass, count(*) FILTER (WHERE verdict = 'inconclusive') AS n_inconclusive, count(*) FILTER (WHERE verdict = 'fail') AS n_fail, count(*) FILTER (WHERE verdict IS NULL) AS n_skipped, count(*) FILTER (WHERE verdict IS NULL) = 0 AS complete FROM v")
+def a65(spark, sf_dir):
+    from ..operators import reports
+
+    return reports.divergence(cells(spark, sf_dir).filter("repeat = 1").select(F.when(F.col("engine_error") == "", F.col("verdict")).alias("verdict")))
+
+
+@register("a26_revision_means", f"WITH {_C}, {_GATED} SELECT model, 'r' || repeat AS revision, count(*) FILTER (WHERE overall_pass AND engine_error = '') AS cells, coalesce(avg(n_read) FILTER (WHERE overall_pass AND engine_error = ''), 0) AS mean_calls FROM gated GROUP BY 1, 2")
+def a26(spark, sf_dir):
+    from ..operators import reports
+
+    return reports.revision_means(gated(spark, sf_dir).withColumn("revision", F.concat(F.lit("r"), "repeat")), ["get_section_text"])
+
+
+@register("a34_clean_arm", f"WITH {_C}, {_GATED} SELECT count(*) AS total, count(*) FILTER (WHERE overall_pass AND engine_error = '') AS evaluated, count(*) FILTER (WHERE overall_pass AND engine_error = '' AND n_verify = 0) AS flagged, count(*) FILTER (WHERE overall_pass AND engine_error = '' AND n_verify = 0) / count(*) FILTER (WHERE overall_pass AND engine_error = '') AS fp_rate FROM gated WHERE engine = 'O'")
+def a34_clean(spark, sf_dir):
+    from ..operators import reports, traces
+
+    flagged = F.size(traces.silent_failure(F.col("overall_pass"), F.col("n_tool_calls_by_tool"))) > 0
+    return reports.clean_arm(gated(spark, sf_dir), flagged, "O")
 
 
 @register("w13_ranked_evidence", "WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS rank, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_suppkey % 5 AS b FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, a, b) AS rn FROM e) SELECT doc_id, a, b FROM r WHERE rn = 1")

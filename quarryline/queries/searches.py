@@ -180,9 +180,15 @@ def f21(spark, sf_dir):
     return rows.select("doc_id", "page", reads.family_note(family, F.col("shown"), F.col("resolving"), F.col("page"), F.col("page") + 1).alias("note"))
 
 
-@register("f02_page_body", f"WITH {_DOC_PAGES} SELECT doc_id, page, length(page_text) AS chars FROM pages_")
+# One page of each document out of its whole text with marks; the marks and blank ends are gone.
+@register("f02_page_body", f"WITH {_DOC_PAGES} SELECT doc_id, page, regexp_replace(regexp_replace(page_text, '^[\\r\\n]+', ''), '\\s+$', '') AS body FROM pages_ JOIN (SELECT doc_id, max(page) AS pages FROM pages_ GROUP BY 1) USING (doc_id) WHERE page = doc_id % pages + 1")
 def f02(spark, sf_dir):
-    return doc_pages(spark, sf_dir).select("doc_id", "page", F.length("page_text").cast("long").alias("chars"))
+    from ..sources.files import marked_text, page_body
+
+    whole = marked_text(doc_pages(spark, sf_dir), "doc_id")
+    last = doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("pages"))
+    wanted = whole.join(last, "doc_id").withColumn("page", F.col("doc_id") % F.col("pages") + 1)
+    return wanted.select("doc_id", "page", page_body(F.col("text"), F.col("page")).alias("body"))
 
 
 @register("f19_continued_tail", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand || ' row' END AS tail FROM part")

@@ -81,3 +81,12 @@ def marked_text(pages: DataFrame, key: str) -> DataFrame:
     """The way back: one string with page marks for each document."""
     part = F.concat(F.lit("--- PAGE "), F.col("page").cast("string"), F.lit(" ---\n"), F.col("page_text"))
     return pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", part.alias("p")))), lambda x: x.p), "\n").alias("text"))
+
+
+def page_body(text: Column, page: Column) -> Column:
+    """One page of a text with page marks, without its mark and blank ends; null where there is no such page."""
+    mark = F.concat(F.lit("--- PAGE "), page.cast("string"), F.lit(" ---"))
+    at = F.instr(text, mark)
+    rest = F.substring(text, at + F.length(mark), F.length(text))
+    body = F.regexp_replace(rest, rf"(?s){PAGE_MARK}.*\z", "")
+    return F.when(at > 0, F.regexp_replace(F.regexp_replace(body, r"\A[\r\n]+", ""), r"\s+\z", ""))
