@@ -157,3 +157,13 @@ def matched_attempts(steps: DataFrame, cells: DataFrame, tools: list[str]) -> Da
     wanted = F.filter(F.map_entries("n_tool_calls_by_tool"), lambda e: e.key.isin(tools))
     asked = cells.select("model", "claim_id", F.to_json(F.array_sort(F.transform(wanted, lambda e: F.struct(e.key.alias("tool_name"), e.value.cast("int").alias("n"))))).alias("print"))
     return runs.join(asked, ["model", "claim_id", "print"]).groupBy("model", "claim_id").agg(F.count(F.lit(1)).alias("attempts"), F.min("ms").alias("least_ms"), F.max("ms").alias("most_ms"), (F.max("ms") - F.min("ms")).alias("spread_ms"))
+
+
+def claim_order(claims: DataFrame, component: Column) -> DataFrame:
+    """``place`` of each row by component and claim: its place in the component, which is a partition of its own, after the rows of the components before, of which there are few."""
+    rows = claims.withColumn("_component", component)
+    own = F.row_number().over(Window.partitionBy("_component").orderBy("claim_id"))
+    sizes = rows.groupBy("_component").agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each component: the only window without a partition is over these
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_component")) - F.col("_n")).select("_component", "_before")
+    return rows.join(before, "_component").withColumn("place", own + F.col("_before")).drop("_component", "_before")

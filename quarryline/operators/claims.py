@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grading import all_needles
 from .search import MOST_PATTERNS, search
 
 
@@ -123,3 +124,40 @@ def inconclusive_taxonomy(cells: DataFrame, engines: tuple[str, ...] = ("agentic
     kind = inconclusive_class(F.col("cell.rationale"), F.col("cell.unmatched_conditions"))
     sorted_ = one.filter("cell.verdict = 'inconclusive'").select("claim_id", kind.alias("kind"))
     return sorted_.groupBy("kind.class", "kind.sub_class").agg(F.count(F.lit(1)).alias("claims"), F.array_sort(F.collect_list("claim_id")).alias("claim_ids"))
+
+
+def verdict_flips(cells: DataFrame, by: str = "model") -> DataFrame:
+    """Cells graded by our needles and by another annotator's: cells have extraction, ours, theirs (arrays) and overall_pass, the archived verdict.
+
+    Only where our own needles give the archived verdict again (``reproduced``, the control) does a different one by
+    theirs count as a flip, to a pass or to a failure; a cell without needles of theirs is not graded.
+    """
+    by_ours, by_theirs = all_needles(F.col("extraction"), F.col("ours")), all_needles(F.col("extraction"), F.col("theirs"))
+    known = F.coalesce(F.size("theirs") > 0, F.lit(False))
+    same = F.coalesce(by_ours == F.col("overall_pass"), F.lit(False))
+    return cells.groupBy(by).agg(
+        F.count(F.lit(1)).alias("cells"), F.count_if(known & same).alias("reproduced"),
+        F.count_if(known & same & F.col("overall_pass") & ~by_theirs).alias("to_fail"), F.count_if(known & same & ~F.col("overall_pass") & by_theirs).alias("to_pass"),
+    )
+
+
+def regraded(archived: DataFrame, claims: DataFrame) -> DataFrame:
+    """Archived cells (claim_id, model, extraction, overall_pass) graded again by their claims (id, value_contains): ``bucket`` says how that went.
+
+    no_claim, no_extraction, ungradable (the claim has no needle), agree or disagree.
+    """
+    joined = archived.join(claims.select(F.col("id").alias("claim_id"), F.lit(True).alias("_known"), "value_contains"), "claim_id", "left")
+    again = all_needles(F.col("extraction"), F.col("value_contains"))
+    bucket = (
+        F.when(F.col("_known").isNull(), "no_claim")
+        .when(F.trim(F.coalesce("extraction", F.lit(""))) == "", "no_extraction")
+        .when(F.coalesce(F.size("value_contains"), F.lit(0)) <= 0, "ungradable")
+        .when(again.eqNullSafe(F.col("overall_pass")), "agree")
+        .otherwise("disagree")
+    )
+    return joined.withColumn("bucket", bucket).drop("_known")
+
+
+def uncovered(claims: DataFrame, archived: DataFrame) -> DataFrame:
+    """Claims that no archived cell is of."""
+    return claims.join(archived.select(F.col("claim_id").alias("id")).distinct(), "id", "left_anti")

@@ -371,6 +371,31 @@ def f31(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", g.needle_hit(text, needle).alias("number_hit"), word.alias("word_hit"))
 
 
+# Parts are claims, line items of some of them archived extractions; needles are the part's size.
+_ARCHIVE = "claims AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN [] ELSE [CAST(p_size AS VARCHAR)] END AS needles FROM part WHERE p_partkey % 13 <> 0), archive AS (SELECT l_partkey AS claim_id, l_returnflag AS model, l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN ' ' WHEN l_orderkey % 2 = 0 THEN 'found ' || p_size || '.0 V' ELSE 'found none' END AS extraction, p_size, l_linenumber % 3 <> 0 AS overall_pass FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_partkey % 4 <> 0)"
+
+
+def _archive(spark, sf_dir):
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    claimed = part.filter(k % 13 != 0).select(k.alias("id"), F.when(k % 6 != 0, F.array(F.col("p_size").cast("string"))).otherwise(F.expr("cast(array() as array<string>)")).alias("value_contains"))
+    order = F.col("l_orderkey")
+    text = F.when(order % 5 == 0, " ").when(order % 2 == 0, F.concat(F.lit("found "), F.col("p_size").cast("string"), F.lit(".0 V"))).otherwise("found none")
+    cells_ = table(spark, sf_dir, "lineitem").filter("l_partkey % 4 <> 0").join(part.select(k.alias("l_partkey"), "p_size"), "l_partkey")
+    return cells_.select(F.col("l_partkey").alias("claim_id"), F.col("l_returnflag").alias("model"), text.alias("extraction"), (F.col("l_linenumber") % 3 != 0).alias("overall_pass")), claimed
+
+
+@register("j23_regrade", f"WITH {_ARCHIVE}, b AS (SELECT a.model, CASE WHEN c.id IS NULL THEN 'no_claim' WHEN trim(extraction) = '' THEN 'no_extraction' WHEN len(needles) = 0 THEN 'ungradable' WHEN (extraction <> 'found none') = overall_pass THEN 'agree' ELSE 'disagree' END AS bucket FROM archive a LEFT JOIN claims c ON c.id = a.claim_id) SELECT model, bucket, count(*) AS n FROM b GROUP BY 1, 2")
+def j23(spark, sf_dir):
+    return claims.regraded(*_archive(spark, sf_dir)).groupBy("model", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("j23_uncovered_claims", f"WITH {_ARCHIVE} SELECT id FROM claims WHERE id NOT IN (SELECT claim_id FROM archive)")
+def j23_uncovered(spark, sf_dir):
+    archived, claimed = _archive(spark, sf_dir)
+    return claims.uncovered(claimed, archived).select("id")
+
+
 @register("f29_f30_j23_grading", "SELECT p_partkey, CASE WHEN f <> e THEN 'Found mismatch: ' || CASE WHEN e THEN 'expected' ELSE 'not expected' END WHEN e AND c < 0.7 AND NOT v THEN 'confidence too low; value mismatch' WHEN e AND c < 0.7 THEN 'confidence too low' WHEN e AND NOT v THEN 'value mismatch' ELSE '' END AS reason FROM (SELECT p_partkey, p_partkey % 3 <> 0 AS f, p_partkey % 4 <> 0 AS e, (p_size % 10) / 10.0 AS c, p_retailprice > 950 AS v FROM part)")
 def f30(spark, sf_dir):
     k = F.col("p_partkey")
@@ -420,10 +445,7 @@ def a41(spark, sf_dir):
 
 @register("l06_claim_order", f"WITH {_C}, d AS (SELECT DISTINCT claim_id, engine FROM cells) SELECT claim_id, engine, row_number() OVER (ORDER BY CASE engine WHEN 'O' THEN 0 ELSE 1 END, claim_id) AS place FROM d")
 def l06(spark, sf_dir):
-    from pyspark.sql import Window
-
-    d = cells(spark, sf_dir).select("claim_id", "engine").distinct()
-    return d.withColumn("place", F.row_number().over(Window.orderBy(F.when(F.col("engine") == "O", 0).otherwise(1), "claim_id")))
+    return c.claim_order(cells(spark, sf_dir).select("claim_id", "engine").distinct(), F.when(F.col("engine") == "O", 0).otherwise(1))
 
 
 _WHY = "CASE WHEN q % 6 = 0 THEN 'an engagement-diagnostic run' WHEN q % 6 = 1 THEN 'the setup cannot resolve this claim' ELSE 'conditions differ' END"

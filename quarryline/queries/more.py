@@ -95,10 +95,12 @@ def m19(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", cut_note(F.least(n, F.lit(500)), n, 500).alias("note"))
 
 
-@register("p11_range_checks", "SELECT o_orderkey, o_orderkey % 9 BETWEEN 1 AND 7 AS valid FROM orders")
+@register("p11_range_checks", "SELECT o_orderkey, o_orderkey % 9 BETWEEN 1 AND 7 AND o_orderkey % 11 <> 0 AS valid FROM orders")
 def p11(spark, sf_dir):
-    first, last, total = F.col("o_orderkey") % 9, F.col("o_orderkey") % 9 + 1, F.lit(8)
-    return table(spark, sf_dir, "orders").select("o_orderkey", ((first >= 1) & (first <= last) & (last <= total)).alias("valid"))
+    from ..operators.reads import valid_range
+
+    first, last = F.col("o_orderkey") % 9, F.col("o_orderkey") % 9 + F.when(F.col("o_orderkey") % 11 == 0, -1).otherwise(1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", valid_range(first, last, F.lit(8)).alias("valid"))
 
 
 @register("s09_s11_claim_file", "SELECT 'c' || n_nationkey AS id, n_name AS component FROM nation")

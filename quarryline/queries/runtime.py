@@ -198,9 +198,16 @@ def j08(spark, sf_dir):
     return reports.resolved_references(references, sections)
 
 
-@register("j24_verdict_flips", f"WITH {_C} SELECT model, CAST(sum(CASE WHEN overall_pass <> (q % 10 < 7) THEN 1 ELSE 0 END) AS BIGINT) AS flips FROM cells GROUP BY 1")
+@register("j24_verdict_flips", """WITH c AS (SELECT p_type AS model, p_partkey, p_partkey % 3 <> 0 AS ours, p_partkey % 4 <> 0 AS theirs, p_partkey % 5 <> 0 AS known, CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 3 = 0 ELSE p_partkey % 3 <> 0 END AS archived FROM part)
+SELECT model, count(*) AS cells, count(*) FILTER (WHERE known AND ours = archived) AS reproduced, count(*) FILTER (WHERE known AND ours = archived AND archived AND NOT theirs) AS to_fail, count(*) FILTER (WHERE known AND ours = archived AND NOT archived AND theirs) AS to_pass FROM c GROUP BY 1""")
 def j24(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("model").agg(F.count_if(F.col("overall_pass") != (F.col("q") % 10 < 7)).alias("flips"))
+    from ..operators import claims
+
+    k = F.col("p_partkey")
+    text = F.concat(F.when(k % 3 != 0, "12.50 mV").otherwise("7"), F.when(k % 4 != 0, " at 1,300").otherwise(""))
+    archived = F.when(k % 7 == 0, k % 3 == 0).otherwise(k % 3 != 0)
+    rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("model"), text.alias("extraction"), F.array(F.lit("12.5")).alias("ours"), F.when(k % 5 != 0, F.array(F.lit("1300"))).alias("theirs"), archived.alias("overall_pass"))
+    return claims.verdict_flips(rows)
 
 
 # Needles are the sizes, prices and brands of a few parts; files are line comments of documents with some of them.
