@@ -76,6 +76,8 @@ class ChunkEncoder:
     def __init__(self, tokenizer, split, limit: int = 500_000, max_ids: int = 3_000_000, plain=None):
         self.tokenizer, self.split, self.limit, self.max_ids, self.plain = tokenizer, split, limit, max_ids, plain
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        # what an added token opens with before its first letter, which stands there in no other case
+        self.opens = [re.match("[^a-zA-Z]*", a)[0] for a in self.added]
         self._reset()
 
     def _reset(self) -> None:
@@ -110,9 +112,10 @@ class ChunkEncoder:
             self.used += total
 
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        held = [pc.match_substring(texts, a, ignore_case=True) for a in self.added]
-        whole = functools.reduce(pc.or_, held) if held else pa.array(np.zeros(len(texts), bool))
-        if not pc.any(whole).as_py():
+        opened = {o: pc.any(pc.match_substring(texts, o)).as_py() for o in set(self.opens)}
+        may = [a for a, o in zip(self.added, self.opens, strict=True) if opened[o]]
+        whole = functools.reduce(pc.or_, [pc.match_substring(texts, a, ignore_case=True) for a in may]) if may else None
+        if whole is None or not pc.any(whole).as_py():
             return self._chunked(texts)
         ids, counts = self._chunked(pc.if_else(whole, "", texts))
         rows = np.flatnonzero(np.asarray(whole))
