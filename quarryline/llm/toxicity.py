@@ -57,7 +57,7 @@ WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 128, 131_072, 4096
 GRAM, LEAST = 6, 6
 
 #: The settings that are compared: log ratios, levels and margins.
-RATIOS, LEVELS, MARGINS = (2.0, 2.3, 2.7), (9, 16), (0.5, 1.0, 2.0)
+RATIOS, LEVELS, MARGINS = (2.0, 2.3, 2.7), (9, 12), (0.5, 1.0, 2.0)
 
 #: Ordinary texts rejected that a missed toxic one counts as.
 MISS = 3
