@@ -71,12 +71,14 @@ def file_name(text: Column) -> Column:
     return F.substring(F.regexp_replace(text, FILE_NAME_BAD, "_"), 1, FILE_NAME_LONGEST)
 
 
-# Patterns of footnote marks and of references to other places.
-MARK_BARE, MARK_NOTE, MARK_PAREN = r"(?<![0-9])([1-9][0-9]?)\)", r"(Note\s+[0-9]+)", r"\(([0-9]+)\)"
-REF_FIGURE = r"(?:[Ss]ee|[Rr]efer\s+to)\s+((?:Figure|Fig\.)\s+[0-9.\-]+)"
-REF_TABLE = r"(?:[Ss]ee|[Rr]efer\s+to)\s+(Table\s+[0-9.\-]+)"
-REF_SECTION = r"(?:[Ss]ee|[Rr]efer\s+to)\s+[Ss]ection\s+([0-9]+(?:\.[0-9]+)+)"
-CONTINUED_TABLE = r"(Table\s+[0-9.\-]+\s+.+?)\s*\((?:[Cc]ontinued|[Cc]ont\.)\)"
+# Patterns of footnote marks, of references to other places, and of tables that go on.
+MARK_BARE = r"(?<!\d)([1-9]\d?)\)"
+MARK_NOTE = r"(Note\s+\d+)"
+MARK_PAREN = r"\((\d+)\)"
+REF_FIGURE = r"(?:[Ss]ee|[Rr]efer\s+to)\s+((?:Figure|Fig\.)\s+[\d\-\.]+)"
+REF_TABLE = r"(?:[Ss]ee|[Rr]efer\s+to)\s+(Table\s+[\d\-\.]+)"
+REF_SECTION = r"(?:[Ss]ee|[Rr]efer\s+to)\s+[Ss]ection\s+([\d]+(?:\.[\d]+)+)"
+CONTINUED_TABLE = r"(Table\s+[\d\-\.]+\s+.+?)\s*\((?:[Cc]ontinued|[Cc]ont\.)\)"
 CONTINUATION_LINE = r"(?i)[ \t]*(\S.{2,200}?)[ \t]*\((?:continued|cont\.)\)[ \t]*$"
 
 
@@ -100,7 +102,7 @@ def cross_references(text: Column) -> Column:
 
 
 def continued_tables(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CONTINUED_TABLE), 1), one_spaced))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CONTINUED_TABLE), 1))
 
 
 def boundary_titles(next_page: Column) -> Column:

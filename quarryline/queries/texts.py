@@ -155,9 +155,10 @@ def f16(spark, sf_dir):
     return _bodies(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", tx.cross_references(F.col("body")).alias("r")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("r.type").alias("types"), F.col("r.target").alias("targets"))
 
 
-@register("f13_continued_tables", "SELECT p_partkey, ['Table ' || p_size || ' ' || p_name] AS tables FROM part")
+@register("f13_continued_tables", "SELECT p_partkey, ['Table ' || p_size || ' ' || p_name, 'Table ' || p_size || '-' || p_partkey || '  ' || p_brand] AS tables FROM part")
 def f13(spark, sf_dir):
-    text = F.concat(F.lit("x Table "), F.col("p_size"), F.lit(" "), F.col("p_name"), F.lit("  (Continued)\nTable "), F.col("p_size"), F.lit("  "), F.col("p_name"), F.lit(" (cont.) y"))
+    first, second = F.concat(F.lit("Table "), F.col("p_size"), F.lit(" "), F.col("p_name")), F.concat(F.lit("Table "), F.col("p_size"), F.lit("-"), F.col("p_partkey"), F.lit("  "), F.col("p_brand"))
+    text = F.concat(F.lit("x "), first, F.lit("  (Continued)\n"), second, F.lit(" (cont.) y\n"), first, F.lit("(continued)\nTable of contents (Continued)"))
     return table(spark, sf_dir, "part").select("p_partkey", tx.continued_tables(text).alias("tables"))
 
 
