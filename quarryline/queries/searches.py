@@ -1,4 +1,4 @@
-"""Queries over pages of documents; the first words of benchmark passages are the patterns."""
+"""Queries over pages of documents; benchmark passages are the patterns: their first four words, or the whole of them where it says so."""
 
 from __future__ import annotations
 
@@ -16,6 +16,13 @@ def patterns(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("pattern"))
 
 
+def quotations(spark, sf_dir):
+    """Whole passages beside their first four words: odd numbers beside even ones."""
+    b = table(spark, sf_dir, "benchmark")
+    short = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
+    return b.select(F.posexplode(F.array(short, "text")).alias("k", "pattern"), "item_id").select((F.col("item_id") * 2 + F.col("k")).alias("pattern_id"), "pattern")
+
+
 _HITS = f"WITH {_DOC_PAGES}, {_PATTERNS}, h AS (SELECT pattern_id, doc_id, page, page_text, pattern, CAST((length(page_text) - length(replace(lower(page_text), lower(pattern), ''))) / length(pattern) AS BIGINT) AS hits, CAST(instr(lower(page_text), lower(pattern)) - 1 AS BIGINT) AS first_start FROM pages_ JOIN patterns ON contains(lower(page_text), lower(pattern)))"
 
 
@@ -52,7 +59,7 @@ def f05(spark, sf_dir):
 
 @register("f10_search_ladder", None)
 def f10(spark, sf_dir):
-    return s.search(doc_pages(spark, sf_dir), patterns(spark, sf_dir), None).select("pattern_id", "doc_id", "page", "start", "end", "level")
+    return s.search(doc_pages(spark, sf_dir), quotations(spark, sf_dir), None).select("pattern_id", "doc_id", "page", "start", "end", "level")
 
 
 @register("l01_multi_pattern", None)
@@ -197,10 +204,11 @@ def f19(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", s.continued(text, s.heading_offset(text, F.col("p_name"))).alias("tail"))
 
 
-@register("j25_probe_hits", f"WITH {_PATTERNS} SELECT pattern_id, count(*) AS documents FROM documents JOIN patterns ON contains(lower(text), lower(pattern)) GROUP BY 1")
+@register("j25_probe_hits", "SELECT item_id AS pattern_id, count(*) AS documents FROM documents JOIN benchmark b ON contains(lower(documents.text), lower(b.text)) GROUP BY 1")
 def j25(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.col("text").alias("page_text"))
-    return s.search(docs, patterns(spark, sf_dir), None, levels=1).groupBy("pattern_id").agg(F.count_distinct("doc_id").alias("documents"))
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
+    return s.search(docs, passages, None, levels=1).groupBy("pattern_id").agg(F.count_distinct("doc_id").alias("documents"))
 
 
 def flagship(spark, sf_dir):
