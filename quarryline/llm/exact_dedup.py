@@ -43,8 +43,8 @@ STATE_STORE = {
 #: Rows of a part of the state, about; there are no more parts than the session has shuffle partitions.
 STATE_ROWS = 40_000
 
-#: Digests with hits that are sent to all tasks, at most (some 100 bytes each); more meet the texts in a join.
-BROADCAST_HITS = 200_000
+#: Digests with hits of which an eight-byte hash is sent to all tasks, at most (some 32 bytes each there); with more all texts meet them in a join.
+BROADCAST_HITS = 1_000_000
 
 KEY = ["digest", "n_bytes"]
 
@@ -107,9 +107,12 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
         return fingerprints.select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "locator")
     groups = keyed_state(spark, path, rows.schema, f"{folder}/checkpoint")
     hits = groups.filter("group_size > 1").select(*KEY, F.col("locator").alias("retained"))
-    if hits.count() <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
-    texts_of_hits = _content(spark, docs, hits, fingerprints, run, digest).join(hits, KEY)
+    content = _content(spark, docs, hits, fingerprints, run, digest)
+    if hits.count() <= BROADCAST_HITS:  # texts without hits stay where they are
+        hashed = F.xxhash64(*KEY)
+        some = F.broadcast(hits.select(hashed.alias("_hash")).distinct())
+        content = content.withColumn("_hash", hashed).join(some, "_hash", "left_semi").drop("_hash")
+    texts_of_hits = content.join(hits, KEY)
     same = texts_of_hits.groupBy(*KEY).agg(F.min("text").alias("least"), F.max("text").alias("most"), F.max(F.when(F.col("locator").eqNullSafe(F.col("retained")), F.col("text"))).alias("content"))
     collided = written(same.filter(~F.col("least").eqNullSafe(F.col("content")) | (F.col("most") != F.col("content"))).select(*KEY), "dedup-collisions")
     if collided.isEmpty():
