@@ -1,9 +1,9 @@
 """Secret scans by a trigram inverted index, in DataFrame operations only.
 
 ``trigram_query`` derives from a rule's regular expression the trigrams that each match must
-hold: a choice of sets, one of which must be in the text.  The index keeps postings (trigram,
-document) of the trigrams that some rule asks for; the postings of a document are intersected
-into a bit mask and give the rules for which the document is a candidate.  Candidates are then
+hold: a choice of sets, one of which must be in the text.  The index has postings (trigram,
+document) of the trigrams that some rule asks for, and is dealt by document; the postings of a
+document are intersected into a bit mask and give the rules for which the document is a candidate.  Candidates are then
 verified by the expression itself over the whole text.  A rule without mandatory trigrams scans
 all texts.
 
@@ -28,7 +28,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, texts, written
+from .common import documents, texts
 
 
 @dataclass(frozen=True)
@@ -218,8 +218,7 @@ def _spans_of_rows(rows: DataFrame, rules: tuple[Rule, ...], measure: Callable[[
     grams = sorted(set().union(*(s for q in queries if q for s in q)))
     if len(grams) > 62:
         raise ValueError("more trigrams than a mask has bits; split the rules")
-    index = written(postings(rows, grams), "secret-postings")
-    may = candidates(index, grams, rules)
+    may = candidates(postings(rows, grams), grams, rules)
     joined = rows.withColumn("doc_key", _key()).join(may, "doc_key", "left")
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     each = []
