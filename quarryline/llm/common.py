@@ -13,6 +13,9 @@ from ..session import shared_folder, ship
 #: Rows of an Arrow batch; with whole texts the default of 10,000 would hold too much in a worker.
 BATCH_ROWS = 500
 
+#: Rows of a file of a table of pairs of numbers.
+ROWS_A_FILE = 250_000
+
 
 def tuned(spark: SparkSession) -> SparkSession:
     """Brings the package to the workers, and keeps Arrow batches small unless the session has chosen a size itself."""
@@ -34,11 +37,15 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as a table to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows written as a table to the shared folder and read again: lineage ends there, and a lost executor loses nothing.
+
+    ``rows``: how many there are about, where that is known and small; then they come in as few files as hold ROWS_A_FILE.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    df.write.parquet(folder)
+    few = df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)
+    few.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

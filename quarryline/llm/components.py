@@ -24,10 +24,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node and label (the least node of its component) for each node of the links (u, v); nodes without a link are not in it."""
-    edges = written(links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    before = None
+    edges = written(links.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components", links.count())
+    before, most = None, edges.count()
     for _ in range(MOST_ROUNDS):
-        edges = written(_star(_star(edges, True), False), "components")
+        edges = written(_star(_star(edges, True), False), "components", most)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
