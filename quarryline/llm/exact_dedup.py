@@ -112,13 +112,15 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
         hashed = F.xxhash64(*KEY)
         some = F.broadcast(hits.select(hashed.alias("_hash")).distinct())
         content = content.withColumn("_hash", hashed).join(some, "_hash", "left_semi").drop("_hash")
-    texts_of_hits = content.join(hits, KEY)
-    same = texts_of_hits.groupBy(*KEY).agg(F.min("text").alias("least"), F.max("text").alias("most"), F.max(F.when(F.col("locator").eqNullSafe(F.col("retained")), F.col("text"))).alias("content"))
-    collided = written(same.filter(~F.col("least").eqNullSafe(F.col("content")) | (F.col("most") != F.col("content"))).select(*KEY), "dedup-collisions")
+    # summed up before anything is joined, so the texts of a large group stay one row a task
+    last = F.struct("doc_id", "locator")
+    same = content.groupBy(*KEY).agg(F.min("text").alias("least"), F.max("text").alias("most"), F.max_by("text", last).alias("content"), F.max(last).locator.alias("found"))
+    differ = ~F.col("found").eqNullSafe(F.col("retained")) | (F.col("least") != F.col("content")) | (F.col("most") != F.col("content"))
+    collided = written(same.join(hits, KEY).filter(differ).select(*KEY), "dedup-collisions")
     if collided.isEmpty():
         found = fingerprints.select("doc_id", *KEY).join(groups, KEY)
     else:
-        anew = texts_of_hits.join(collided, KEY, "left_semi")
+        anew = content.join(collided, KEY, "left_semi")
         each = anew.groupBy(*KEY, "text").agg(F.max(F.struct("doc_id", "locator")).alias("last"), F.count(F.lit(1)).alias("group_size"))
         again = anew.select("doc_id", *KEY, "text").join(each, [*KEY, "text"]).select("doc_id", *KEY, "last.doc_id", "last.locator", "group_size").toDF("doc_id", *KEY, "keep_id", "locator", "group_size")
         found = fingerprints.select("doc_id", *KEY).join(groups.join(collided, KEY, "left_anti"), KEY).unionByName(again)
