@@ -67,6 +67,19 @@ def test_query(spark, sf, duck, name):
         assert [(x, y) for x, y in zip(a, b, strict=True) if not _same(x, y)] == []
 
 
+def test_boxes_of_odd_items(spark, tmp_path):
+    """Items whose first pieces hold line breaks, a dash or signs only, or that have one piece."""
+    items = ["Was and.\nEdndsh.\nThat it", "was\nand more", "and edndsh", "was  and", "was", "... was", "a\u2013b was", "Was, and.", None]
+    texts = ["It was and. Edndsh that was more and", "was\x0band was a\u2013b was\tand", None, ""]
+    con = duckdb.connect()
+    for name, key, rows in (("benchmark", "item_id", items), ("documents", "doc_id", texts)):
+        pd.DataFrame({key: range(1, len(rows) + 1), "text": rows}).to_parquet(tmp_path / f"{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    a, b = _rows(QUERIES["l07_m04_boxes"](spark, str(tmp_path)).toPandas()), _rows(con.execute(ORACLE_SQL["l07_m04_boxes"]).df())
+    assert len(b) > 2
+    assert [(x, y) for x, y in zip(a, b, strict=True) if not _same(x, y)] == []
+
+
 def test_entry_and_guard(spark):
     import __spark_entry__
 
