@@ -5,12 +5,16 @@ fingerprints of the set.  Equal sets are one node: a 64-bit hash over the full s
 second one over the full set tells sets of one name apart.  Nodes are linked where
 100 * intersection >= percent * union.
 
-1.  Inverted lists of retained values.  Two sets that are similar enough share at least
-    ``least_shared`` retained values (all but surely where sketches are cut; surely where they are
-    whole sets), so it is enough to look at each sketch's rarest values: with ``NEEDED`` more than
-    its complement, two such sketches meet in NEEDED lists, or in all values they must share where
-    these are fewer.  A value's frequency is counted over all sketches; the ``HOT_VALUES`` most
-    frequent are sent to all tasks, in a table of bounded size.
+1.  Inverted lists of runs.  A key is a run of ``run_length`` consecutive retained values, the ends of a
+    set standing as values too.  Two sets that are similar enough share ``meetings`` runs: whole ones
+    surely, cut ones all but surely, as the least values of the union are a sample of it (of 64 values
+    at 0.8, fewer than three begin a shared run of three with a chance of 1 in 70 million).
+    A single value is shared by texts that have nothing but a frequent phrase in common, and the more of
+    them the larger the table; a run is not.  Where the threshold is too low for runs, the keys are a
+    sketch's rarest values: with ``NEEDED`` more than the complement of ``least_shared``, two such
+    sketches meet in NEEDED lists, or in all values they must share where these are fewer.  A key's
+    frequency is counted over all sketches; the ``HOT_VALUES`` most frequent are sent to all tasks,
+    in a table of bounded size.
 2.  A short list gives its pairs, and pairs that meet in too few lists fall away.  A long
     list gives, for each member, a pair with the list's least and with its scattered member: no
     pairs within the group.  After the components of these are known, a long list whose members
@@ -46,7 +50,7 @@ from .common import arrow_rows, documents, fresh, texts, tuned, written
 from .components import components
 from .words import grams, mix, word_hashes, words_of
 
-#: Values of a sketch; lists that two sketches must meet in; members of a short list at most; rows of the table of frequent values.
+#: Values of a sketch; lists that two sketches must meet in at most; members of a short list at most; rows of the table of frequent values.
 K, NEEDED, SHORT, HOT_VALUES = 64, 3, 32, 100_000
 
 #: Bytes and rows of sets in a block, about, cells of a matrix, and pairs of blocks that a worker holds.
@@ -55,8 +59,14 @@ BLOCK_BYTES, BLOCK_ROWS, CELLS, BLOCK_PAIRS = 1 << 20, 2048, 1 << 21, 4
 #: Parts that a list's rows are dealt to where lists are joined.
 SALTS = 32
 
-#: Standard errors that the estimate may lie below the threshold.
-SLACK = 5.5
+#: Standard errors that the estimate may lie below the threshold; the chance to miss a link at the threshold that is taken.
+SLACK, MISSED = 5.5, 1e-7
+
+#: Values of a run at most; orders by which long lists choose their scattered members, so that lists of the same members choose few.
+RUN, ORDERS = 3, 8
+
+#: Stands before and after a set's values.
+_EDGE = np.uint64(0xA0761D6478BD642F)
 
 _SETS = "doc_id long, row_hash long, node long, proof long, n long, sketch array<long>"
 _WHOLE = np.uint64(0x5851F42D4C957F2D)
@@ -118,45 +128,135 @@ def least_shared(size: np.ndarray, k: int, percent: int) -> np.ndarray:
     return np.where(size * 100 <= k * percent, -(-size * percent // 100), max(cut, 1))
 
 
-def _indexed(table: Broadcast, k: int, percent: int):
-    """Rows of short lists (value, node, size) and pairs with the pivots of long lists (value null, node, pivot)."""
+def too_few(k: int, percent: int, run: int, times: int) -> float:
+    """The chance that of k values, each shared with the threshold's chance, fewer than ``times`` begin a run of shared ones."""
+    j, state = percent / 100, {(0, 0): 1.0}
+    for _ in range(k):
+        after: dict[tuple[int, int], float] = {}
+        for (row, found), chance in state.items():
+            more = (min(row + 1, run), found + (row + 1 >= run))
+            if more[1] < times:
+                after[more] = after.get(more, 0) + chance * j
+            after[0, found] = after.get((0, found), 0) + chance * (1 - j)
+        state = after
+    return sum(state.values())
+
+
+def run_length(k: int, percent: int) -> int:
+    """Values of a key: as many as whole sets share in a row surely, and cut ones all but surely."""
+
+    def surely(run: int) -> bool:  # so many values on one side only part the shared ones and the two ends
+        return percent == 100 or all(-(-(-(-percent * m // (100 - percent)) + 2) // (m + 1)) >= run for m in range(1, k + 1))
+
+    return next((r for r in range(RUN, 1, -1) if surely(r) and too_few(k, percent, r, 1) <= MISSED), 1)
+
+
+def meetings(size: np.ndarray, k: int, percent: int, run: int) -> np.ndarray:
+    """Lists that a sketch shares with each one that is similar enough; size: of the larger set."""
+    if run == 1:
+        return np.minimum(least_shared(size, k, percent), NEEDED)
+    cut = max((t for t in range(1, NEEDED + 1) if too_few(k, percent, run, t) <= MISSED), default=1)
+    union = np.arange(k * 100 // percent + 1)
+    surely = union + 3 - run - run * (union * (100 - percent) // 100)  # the keys that shared values and ends have with as many others between them as may be
+    whole = [surely[n : n * 100 // percent + 1].min() for n in range(k + 1)]
+    return np.where(size <= k, np.clip(whole, 1, NEEDED)[np.minimum(size, k)], cut)
+
+
+def keys_of(batch: pa.RecordBatch, k: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all sketches, one after another, and how many each has."""
+    sketch = batch.column("sketch")
+    values, held = np.asarray(sketch.flatten()), np.diff(np.asarray(sketch.offsets)).astype(np.int64)
+    if run == 1:
+        return values, held
+    whole = np.asarray(batch.column("n")) <= k
+    length = held + 1 + whole
+    ends = np.cumsum(length)
+    inside = np.ones(length.sum(), bool)
+    inside[ends - length] = False
+    inside[ends[whole] - 1] = False
+    row = np.full(len(inside), _EDGE)
+    row[inside] = values.view(np.uint64)
+    own = np.repeat(np.arange(len(held)), length)
+    if len(row) < run:
+        return np.zeros(0, np.int64), np.zeros(len(held), np.int64)
+    keys = grams(row, run)
+    return keys[own[: len(keys)] == own[run - 1 :]].view(np.int64), np.maximum(length - run + 1, 0)
+
+
+def _counted(k: int, run: int):
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(batch, k, run)[0])], ["value"])
+
+    return run_
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, often, pivots = table.value
+
+def _listed(table: Broadcast, k: int, percent: int, run: int, long: bool):
+    """Rows (value, node, n) of the long lists that the table names, or of all others."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, often = table.value
         for batch in batches:
-            sketch = batch.column("sketch")
-            values = np.asarray(sketch.flatten())
-            held = np.diff(np.asarray(sketch.offsets)).astype(np.int64)
+            values, held = keys_of(batch, k, run)
             size, node = np.asarray(batch.column("n")), np.asarray(batch.column("node"))
             own = np.repeat(np.arange(len(node)), held)
             place = np.minimum(np.searchsorted(hot, values), max(len(hot) - 1, 0))
             known = hot[place] == values if len(hot) else np.zeros(len(values), bool)
-            freq = np.where(known, often[place] if len(hot) else 0, 0)
-            order = np.lexsort((values, freq, own))
-            rank = np.arange(len(values)) - np.repeat(np.cumsum(held) - held, held)
-            prefix = np.minimum(held, held - least_shared(size, k, percent) + NEEDED)
-            stay = order[rank < prefix[own]]
-            long = known[stay]
-            some = stay[~long]
-            yield pa.RecordBatch.from_arrays([pa.array(values[some]), pa.array(node[own[some]]), pa.array(size[own[some]]), pa.array(np.zeros(len(some), bool))], ["value", "node", "other", "long"])
-            many = stay[long]
-            yield pa.RecordBatch.from_arrays([pa.array(values[many]), pa.array(node[own[many]]), pa.array(size[own[many]]), pa.array(np.ones(len(many), bool))], ["value", "node", "other", "long"])
-            pairs = {(int(u), int(v)) for u, found in zip(node[own[many]], pivots[place[many]], strict=True) for v in found if u != v}
-            if pairs:
-                u, v = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.ones(len(u), bool))], ["value", "node", "other", "long"])
+            if run == 1:
+                freq = np.where(known, often[place] if len(hot) else 0, 0)
+                order = np.lexsort((values, freq, own))
+                rank = np.arange(len(values)) - np.repeat(np.cumsum(held) - held, held)
+                stay = order[rank < np.minimum(held, held - least_shared(size, k, percent) + NEEDED)[own]]
+                stay = stay[known[stay] == long]
+            else:
+                stay = np.flatnonzero(known == long)
+            yield pa.RecordBatch.from_arrays([pa.array(values[stay]), pa.array(node[own[stay]]), pa.array(size[own[stay]])], ["value", "node", "n"])
+
+    return run_
+
+
+def _distinct(columns: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array(c) for c in np.unique(np.stack(columns), axis=1)]
+
+
+def _stars(pivots: Broadcast):
+    """Pairs of a long list's members with its pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, *ends = pivots.value
+        for batch in batches:
+            place, node = np.searchsorted(value, np.asarray(batch.column("value"))), np.asarray(batch.column("node"))
+            u, v = np.tile(node, len(ends)), np.concatenate([end[place] for end in ends])
+            yield pa.RecordBatch.from_arrays(_distinct([np.minimum(u, v)[u != v], np.maximum(u, v)[u != v]]), ["u", "v"])
 
     return run
 
 
-def _list_pairs(k: int, percent: int):
-    """Pairs of the members of each list and the lists they need, from rows sorted by value; a list that is longer than SHORT all the same gives stars and chains."""
+def _opened(lists: Broadcast):
+    """Members of open lists with the list's largest component; a row for several lists of a batch that have the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, main = lists.value
+        for batch in batches:
+            value, node, label = (np.asarray(batch.column(c)) for c in ("value", "node", "label"))
+            place = np.minimum(np.searchsorted(values, value), len(values) - 1)
+            held = values[place] == value
+            yield pa.RecordBatch.from_arrays(_distinct([main[place[held]], node[held], label[held]]), ["main", "node", "label"])
+
+    return run
+
+
+def _list_pairs(k: int, percent: int, run: int):
+    """Pairs of the members of each list and the lists they need, from rows sorted by value; a list that is longer than SHORT all the same gives stars and chains."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, members, n = None, [], 0
         for batch in batches:
             us, vs, star, larger = [], [], [], []
-            for x, node, size in zip(*(batch.column(c).to_pylist() for c in ("value", "node", "other")), strict=True):
+            values = np.asarray(batch.column("value"))
+            same = values[1:] == values[:-1]
+            some = pa.array(np.append(True, same) | np.append(same, True))  # the last row may go on in the next batch
+            for x, node, size in zip(*(batch.column(c).filter(some).to_pylist() for c in ("value", "node", "n")), strict=True):
                 if x != value:
                     value, members, n = x, [], 0
                 if n < SHORT:
@@ -176,10 +276,10 @@ def _list_pairs(k: int, percent: int):
                     members[-1] = (node, size)
                 n += 1
             if us:
-                need = np.minimum(least_shared(np.array(larger), k, percent), NEEDED)
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(star, pa.bool_()), pa.array(need)], ["u", "v", "star", "need"])
+                need = meetings(np.array(larger), k, percent, run)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(star, pa.bool_()), pa.array(need, pa.int64())], ["u", "v", "star", "need"])
 
-    return run
+    return run_
 
 
 def _estimated(k: int, percent: int):
@@ -297,7 +397,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, k: int,
 
 
 def _links_between(open_lists: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int, few_lists: bool) -> DataFrame:
-    """Links between components within the open lists (value, node, label, main); ``few_lists``: there are fewer than HOT_VALUES."""
+    """Links between components within the open lists (main, node, label); ``few_lists``: there are fewer than HOT_VALUES."""
     asks = open_lists.groupBy("main", "node", "label").agg(F.max(F.col("label") != F.col("main")).alias("asks"))
     members = written(asks.join(nodes.select("node", "n"), "node"), "near-members")
     size = lambda side: F.when(F.col("asks") == side, 1)
@@ -347,33 +447,38 @@ def _named(names: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, row_hash, n_shingles, component_id and kept for each row of ``docs``."""
     all_rows, nodes = _told_apart(written(sketches(docs, n, k), "near-sketches"))
-    values = nodes.select("node", F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("often"), F.min("node").alias("first"), F.min_by("node", F.xxhash64("value", "node")).alias("scattered"))
-    hot = values.filter(F.col("often") > SHORT).orderBy(F.desc("often"), "value").limit(HOT_VALUES).toArrow().sort_by("value")
-    pivots = np.stack([hot.column(c).to_numpy() for c in ("first", "scattered")], axis=1) if len(hot) else np.zeros((0, 2), np.int64)
-    table = docs.sparkSession.sparkContext.broadcast((hot.column("value").to_numpy(), hot.column("often").to_numpy(), pivots))  # at most HOT_VALUES rows
-    index = written(nodes.select("node", "n", "sketch").mapInArrow(_indexed(table, k, percent), "value long, node long, other long, long boolean"), "near-index")
-    pair = (F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-    stars = index.filter("value IS NULL").select(*pair)
-    short = index.filter("value IS NOT NULL AND NOT long").select("value", "node", "other").repartition("value").sortWithinPartitions("value", "node").mapInArrow(_list_pairs(k, percent), "u long, v long, star boolean, need long")
+    run, sketched = run_length(k, percent), nodes.select("node", "n", "sketch")
+    often = sketched.mapInArrow(_counted(k, run), "value long").groupBy("value").agg(F.count(F.lit(1)).alias("often"))
+    hot = often.filter(F.col("often") > SHORT).orderBy(F.desc("often"), "value").limit(HOT_VALUES).toArrow().sort_by("value")
+    table = docs.sparkSession.sparkContext.broadcast((hot.column("value").to_numpy(), hot.column("often").to_numpy()))  # at most HOT_VALUES rows
+    in_list = "value long, node long, n long"
+    long = written(sketched.mapInArrow(_listed(table, k, percent, run, True), in_list), "near-long")
+    pivots = long.groupBy("value").agg(F.min("node").alias("first"), F.min_by("node", F.xxhash64(F.pmod("value", F.lit(ORDERS)), "node")).alias("scattered"))
+    ends = pivots.toArrow().sort_by("value")  # at most HOT_VALUES rows
+    stars = long.mapInArrow(_stars(docs.sparkSession.sparkContext.broadcast(tuple(ends.column(c).to_numpy() for c in ("value", "first", "scattered")))), "u long, v long")
+    rest = sketched.mapInArrow(_listed(table, k, percent, run, False), in_list)
+    short = rest.repartition("value").sortWithinPartitions("value", "node").mapInArrow(_list_pairs(k, percent, run), "u long, v long, star boolean, need long")
     meet = short.groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"), F.max("star").alias("star"), F.max("need").alias("need"))
     enough = meet.filter((F.col("lists") >= F.col("need")) | F.col("star")).select("u", "v")
     rows = texts(docs).withColumn("row_hash", F.xxhash64("text"))
     links = _links(stars.unionByName(enough).distinct(), nodes, rows, n, k, percent)
     labels = components(links)
     # what is left: long lists that hold more than one component
-    listed = index.filter("value IS NOT NULL AND long").select("value", "node")
+    listed = long.select("value", "node")
     if len(hot) == HOT_VALUES:  # more values are frequent than the table holds: their lists are long as well
-        others = index.filter("value IS NOT NULL AND NOT long").select("value", "node")
+        others = rest.select("value", "node")
         listed = listed.unionByName(others.join(others.groupBy("value").count().filter(F.col("count") > SHORT).select("value"), "value"))
     members = listed.join(labels, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label"))
     sizes = members.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     few_lists, some = len(hot) < HOT_VALUES, sizes.filter("labels > 1").select("value", "main")
     if few_lists:  # a row for each long list
-        open_lists = members.join(F.broadcast(some), "value")
+        mains = some.toArrow().sort_by("value")
+        table = docs.sparkSession.sparkContext.broadcast(tuple(mains.column(c).to_numpy() for c in ("value", "main")))
+        open_lists = members.mapInArrow(_opened(table), "main long, node long, label long") if len(mains) else members.select(F.col("label").alias("main"), "node", "label").limit(0)
     else:  # one value may have a third of all rows
         salts = F.explode(F.array(*map(F.lit, range(SALTS))))
         open_lists = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(some.select("*", salts.alias("salt")), ["value", "salt"])
-    open_lists = written(open_lists.select("value", "node", "label", "main"), "near-open")
+    open_lists = written(open_lists.select("main", "node", "label"), "near-open")
     if not open_lists.isEmpty():
         more = _links_between(open_lists, nodes, rows, n, percent, few_lists)
         if not more.isEmpty():

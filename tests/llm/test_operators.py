@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -322,6 +323,31 @@ def test_near_groups_of_tiny_sets_in_one_list(make):
     assert got == {i: i // 3 * 3 for i in range(6000)}
 
 
+def test_near_groups_of_frequent_shingles(make, monkeypatch):
+    """Texts of one small vocabulary share many single values, but hardly a run: pairs don't grow with the length of such lists."""
+    rng = np.random.default_rng(8)
+    words = [list(rng.choice([f"v{k}" for k in range(50)], 100)) for _ in range(1500)]
+    words += [[*w[:50], "other", *w[51:]] for w in words[:40]]
+    seen, links = [], near_dedup._links
+    monkeypatch.setattr(near_dedup, "_links", lambda pairs, *more: (seen.append(pairs.count()), links(pairs, *more))[1])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(make(*[(i, " ".join(w)) for i, w in enumerate(words)]), 2).collect()}
+    assert got == {i: i if i < 1500 else i - 1500 for i in range(1540)}
+    assert 40 <= seen[0] < 1540
+
+
+@pytest.mark.parametrize("percent", [60, 74, 80, 90])
+def test_runs_that_similar_sets_share(percent):
+    """Each way to lay out shared values and others of two whole sets: they share as many runs as the lists they must meet in."""
+    run, least = near_dedup.run_length(64, percent), near_dedup.meetings(np.arange(65), 64, percent, near_dedup.run_length(64, percent))
+    assert run > 1
+    for union in range(2, 11):
+        for layout in itertools.product((0, 1, 2), repeat=union):
+            shared = layout.count(0)
+            if union > shared and 100 * shared >= percent * union:
+                row = [1, *[v == 0 for v in layout], 1]
+                assert sum(all(row[k : k + run]) for k in range(len(row) - run + 1)) >= least[shared + max(layout.count(1), layout.count(2))]
+
+
 def test_near_deduplicated(edges, empty):
     kept = near_dedup.deduplicated(edges)
     assert kept.columns == edges.columns
